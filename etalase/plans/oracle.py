@@ -1,6 +1,7 @@
 """The same results in SQL, written independently of the operators."""
 
-from etalase.schemas import DETAIL, SIMILAR, SUMMARY
+from etalase.functions.prompt import BLOCK, template
+from etalase.schemas import DETAIL, RAW, SIMILAR, SUMMARY
 
 _PRODUCTS = """
 sales AS (
@@ -31,6 +32,105 @@ features AS (
 
 _COSINE = "CAST(list_cosine_similarity({0}, {1}) AS FLOAT)"
 
+_REQUESTS = """
+items AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS request_id, CAST(l_partkey + 5 AS VARCHAR) AS product_id,
+         row_number() OVER (PARTITION BY l_orderkey
+           ORDER BY l_linenumber, CAST(l_partkey + 5 AS VARCHAR)) AS place
+  FROM lineitem),
+judged AS (
+  SELECT request_id,
+         CASE WHEN count(*) NOT BETWEEN 2 AND 3 THEN 'size'
+              WHEN count(DISTINCT i.product_id) < count(*) THEN 'duplicate_id'
+              WHEN count(p.product_id) < count(*) THEN 'unknown_id' END AS reason
+  FROM items i LEFT JOIN products p ON p.product_id = i.product_id GROUP BY request_id),
+compared AS (
+  SELECT request_id, place, p.* FROM items JOIN products p USING (product_id)
+  WHERE request_id IN (SELECT request_id FROM judged WHERE reason IS NULL))"""
+
+_ANSWERS = r"""
+sized AS (
+  SELECT *, count(*) OVER (PARTITION BY request_id) AS n, CAST(request_id AS BIGINT) AS k FROM compared),
+answers AS (
+  SELECT request_id, 'Hallo!' || chr(10) || chr(10) || CASE k % 5
+      WHEN 0 THEN 'Saya rekomendasikan **' || product_name || '** Untuk anda beli Karena murah.'
+      WHEN 1 THEN 'Saya rekomendasikan produk ' || upper(product_name) || ' Untuk anda beli Karena bagus'
+      WHEN 2 THEN 'Tidak ada pilihan.'
+      WHEN 3 THEN 'Saya rekomendasikan **Produk lain** Untuk anda beli Karena ' || product_name
+      ELSE 'Saya rekomendasikan **' || product_name || '** saja' END
+    || chr(10) || chr(10) || 'Terima Kasih' AS answer
+  FROM sized WHERE place = k % n + 1),
+read AS (
+  SELECT c.request_id, place, product_id, product_name, answer,
+         lower(regexp_extract(answer, 'Saya rekomendasikan [^\n]* Untuk anda beli Karena [^\n]*')) AS line,
+         regexp_extract(answer, 'Saya rekomendasikan \*\*([^\n]*?)\*\*', 1) AS bold
+  FROM compared c JOIN answers USING (request_id)),
+scored AS (
+  SELECT *, len(list_filter(list_distinct(string_split(lower(product_name), ' ')),
+                            lambda w: contains(line, w))) AS hits FROM read),
+best AS (
+  SELECT request_id, arg_max(product_name, hits * 10 - place) AS name
+  FROM scored WHERE hits > 0 GROUP BY request_id)"""
+
+_RAW = """
+raw AS (
+  SELECT '  Part ' || l_partkey || ' ' AS "Product_Name",
+         'Rp' || replace(format('{:,}', CAST(floor(l_extendedprice) AS BIGINT)), ',', '.') AS "Product_Price",
+         'Stok ' || l_linenumber AS "Stok",
+         CASE WHEN l_returnflag = 'N' THEN 'Terjual ' || CAST(l_quantity AS BIGINT)
+              ELSE 'Belum terjual' END AS "Jumlah_Terjual",
+         CASE WHEN l_linestatus = 'O' THEN '4,' || l_linenumber END AS "Rating",
+         '/img/' || l_partkey || '.jpg 1x' AS "Image_Srcset",
+         l_returnflag AS "Kategori",
+         l_linestatus AS "Brand",
+         '1 pcs' AS "Min_Pembelian",
+         CAST(l_quantity AS BIGINT) || '00 gram' AS "Berat_Satuan",
+         l_linenumber || ' cm x ' || l_linenumber || ' cm' AS "Dimensi_Ukuran",
+         'NATION_' || (l_suppkey % 25) AS "Dikirim_Dari",
+         'Supplier#' || l_suppkey AS "Penjual",
+         'Order ' || l_orderkey AS "Description",
+         '/product/' || l_partkey AS "URL",
+         l_shipdate AS "Update"
+  FROM lineitem)"""
+
+_CLEAN = """
+  SELECT md5("URL") AS product_id, trim("Product_Name") AS product_name,
+         "Image_Srcset" AS image_srcset, "Kategori" AS kategori, "Brand" AS brand,
+         "Dimensi_Ukuran" AS dimensi_ukuran, "Dikirim_Dari" AS dikirim_dari, "Penjual" AS penjual,
+         "Description" AS description,
+         CAST(replace(substr("Product_Price", 3), '.', '') AS BIGINT) AS product_price,
+         CAST(substr("Stok", 6) AS BIGINT) AS stok,
+         CAST(nullif(regexp_extract("Jumlah_Terjual", '[0-9]+'), '') AS BIGINT) AS jumlah_terjual,
+         CAST(1 AS BIGINT) AS min_pembelian,
+         CAST(replace("Berat_Satuan", ' gram', '') AS BIGINT) AS berat_satuan,
+         CAST(replace("Rating", ',', '.') AS DOUBLE) AS rating,
+         CASE WHEN "Jumlah_Terjual" = 'Belum terjual' THEN 'jumlah_terjual' ELSE '' END AS problems
+  FROM """
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _tagged(tag: str) -> str:
+    """Text of the only such tag on a page, with the character references it may hold."""
+    sql = f"regexp_extract(html, '<{tag}>(.*?)</{tag}>', 1)"
+    for written, meant in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")]:
+        sql = f"replace({sql}, {_text(written)}, {_text(meant)})"
+    return f"trim({sql})"
+
+
+_FIELDS = f"""SELECT page_id, url, {_tagged("h1")} AS heading, {_tagged("title")} AS title,
+    CAST(NULL AS VARCHAR) AS error FROM pages"""
+_prompt = template()
+_block = " || ".join(
+    f"{_text(label)} || coalesce(CAST({column} AS VARCHAR), 'None') || chr(10)"
+    for label, column in BLOCK
+)
+_raw_order = ", ".join(
+    ['"Update" DESC NULLS LAST']
+    + [f'"{f.name}" DESC NULLS LAST' for f in RAW.fields if f.name not in ("URL", "Update")]
+)
 _detail = ", ".join(DETAIL)
 _summary = ", ".join(SUMMARY)
 _similar = ", ".join(SIMILAR[:-1])
@@ -83,4 +183,54 @@ ORACLE: dict[str, str] = {
           FROM scored)
         SELECT query_id, rank, product_id, round(CAST(c AS DOUBLE), 6) AS cosine_similarity
         FROM ranked WHERE rank <= 10""",
+    "catalog_json": f"""WITH {_PRODUCTS}
+        SELECT CAST(to_json(s) AS VARCHAR) AS record FROM (SELECT {_summary} FROM products) s""",
+    "compare_requests_valid": f"""WITH {_PRODUCTS}, {_REQUESTS}
+        SELECT request_id, reason IS NULL AS valid, reason FROM judged""",
+    "compare_prompts": f"""WITH {_PRODUCTS}, {_REQUESTS}
+        SELECT request_id, 'user' AS role, {_text(_prompt.head)}
+            || string_agg({_block} || chr(10), '' ORDER BY place) || {_text(_prompt.tail)} AS content
+        FROM compared GROUP BY request_id""",
+    "compare_answers": f"""WITH {_PRODUCTS}, {_REQUESTS}, {_ANSWERS}
+        SELECT s.request_id, any_value(answer) AS comparison_result,
+               coalesce(arg_min(product_id, place) FILTER (WHERE bold <> '' AND product_name = bold),
+                        arg_max(product_id, place) FILTER (WHERE product_name = name)) AS best_product_id
+        FROM scored s LEFT JOIN best USING (request_id) GROUP BY s.request_id""",
+    "listing_frontier": """
+        SELECT category, CAST(page AS INTEGER) AS page,
+               'https://shop.example/c/' || category || '?page=' || page AS url
+        FROM (SELECT DISTINCT lower(p_type || '-' || replace(p_brand, '#', '-')) AS category FROM part)
+        CROSS JOIN range(1, 201) t(page)""",
+    "page_links": """
+        SELECT page_url, CAST(place - 1 AS INTEGER) AS place, href, 'https://shop.example' || href AS url
+        FROM (SELECT url AS page_url, unnest(hrefs) AS href, generate_subscripts(hrefs, 1) AS place
+              FROM (SELECT url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hrefs FROM pages))
+        WHERE contains(href, '/th')""",
+    "page_fields": _FIELDS,
+    "stream_append": _FIELDS,
+    "spec_rows": f"""WITH {_PRODUCTS}
+        SELECT product_name AS "Product_Name", 'Rp' || product_price AS "Product_Price",
+               CAST(stok AS VARCHAR) AS "Stok", 'Terjual ' || jumlah_terjual AS "Jumlah_Terjual",
+               CAST(rating AS VARCHAR) AS "Rating", image_srcset AS "Image_Srcset",
+               kategori AS "Kategori", brand AS "Brand", CAST(min_pembelian AS VARCHAR) AS "Min_Pembelian",
+               CAST(berat_satuan AS VARCHAR) AS "Berat_Satuan", dimensi_ukuran AS "Dimensi_Ukuran",
+               dikirim_dari AS "Dikirim_Dari", penjual AS "Penjual",
+               description || '& lainnya' AS "Description", '/product/' || product_id AS "URL"
+        FROM products""",
+    "append_roundtrip": f"WITH {_RAW} SELECT * FROM raw",
+    "clean_products": f"WITH {_RAW} {_CLEAN} raw",
+    "latest_products": f"""WITH {_RAW},
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY "URL" ORDER BY {_raw_order}) AS n FROM raw)
+        {_CLEAN} ranked WHERE n = 1""",
+    "text_features": r"""
+        WITH places AS (
+          SELECT CAST(doc_id AS VARCHAR) AS product_id,
+                 CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS INTEGER) AS place
+          FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents)),
+        counts AS (SELECT product_id, place, count(*) AS n FROM places GROUP BY ALL),
+        rarity AS (
+          SELECT place, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS rarity
+          FROM counts GROUP BY place)
+        SELECT product_id, place, round(n * rarity, 6) AS weight
+        FROM counts JOIN rarity USING (place) WHERE n * rarity <> 0""",
 }

@@ -5,13 +5,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etalase.operators import catalog, neighbours, similarity
+from etalase.operators import catalog, cleaning, comparison, extraction, neighbours, similarity
+from etalase.operators import text_features as features
 from etalase.plans import views
+from etalase.sources.files import append_raw, as_records, read_raw
+from etalase.sources.workspace import work_dir
+from etalase.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The product the single-product queries ask about.
 TARGET = "7"
+HOST = "https://shop.example"
 
 
 def catalog_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +85,95 @@ def similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("cosine_similarity", F.round(F.col("cosine_similarity").cast("double"), 6))
 
 
+def catalog_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_records(catalog.summary(views.products(spark, sf_dir)))
+
+
+def compare_requests_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.validate_requests(
+        views.request_items(spark, sf_dir), views.products(spark, sf_dir)
+    )
+
+
+def compare_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = comparison.comparison_groups(
+        views.request_items(spark, sf_dir), views.products(spark, sf_dir)
+    )
+    prompts = comparison.comparison_prompts(groups)
+    return prompts.select("request_id", F.inline("messages"))
+
+
+def compare_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = comparison.comparison_groups(
+        views.request_items(spark, sf_dir), views.products(spark, sf_dir)
+    )
+    return comparison.comparison_answers(groups, views.responses(groups))
+
+
+def listing_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.listing_frontier(views.categories(spark, sf_dir), HOST)
+
+
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = extraction.page_links(views.table(spark, sf_dir, "pages"), marker="/th")
+    return links.withColumn("url", extraction.absolute(F.col("href"), F.lit(HOST)))
+
+
+# The test pages have a heading and a title only.
+HEADINGS = {
+    "heading": extraction.Field([("h1", {})]),
+    "title": extraction.Field([("head", {}), ("title", {})]),
+}
+
+
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.page_fields(views.table(spark, sf_dir, "pages"), HEADINGS)
+
+
+def spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages rendered from the products, read back field by field."""
+    rows = extraction.product_rows(views.product_pages(spark, sf_dir))
+    return extraction.good_rows(rows).drop("Update")
+
+
+def append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "product-data")
+    append_raw(views.raw_rows(spark, sf_dir), path)
+    return read_raw(spark, path).withColumn("Update", F.col("Update").cast("timestamp_ntz"))
+
+
+def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page fields again, read as a stream and appended to a table."""
+    path = work_dir(spark, "stream-rows")
+    pages = ingest.stream_pages(spark, sf_dir, glob="pages.parquet")
+    rows = extraction.page_fields(pages, HEADINGS)
+    ingest.append_files(rows, path, work_dir(spark, "stream-log")).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def clean_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = cleaning.clean_products(views.raw_rows(spark, sf_dir))
+    return cleaned.withColumn("problems", F.array_join("problems", ","))
+
+
+def latest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = cleaning.clean_products(cleaning.latest_rows(views.raw_rows(spark, sf_dir)))
+    return cleaned.withColumn("problems", F.array_join("problems", ","))
+
+
+def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of the documents, one row per place that is not zero."""
+    texts = views.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("product_id"), "text"
+    )
+    vectors = features.text_features(texts)
+    return (
+        vectors.select("product_id", F.posexplode("features_vector").alias("place", "weight"))
+        .where(F.col("weight") != 0)
+        .withColumn("weight", F.round("weight", 6))
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in [
@@ -93,8 +187,21 @@ QUERIES: dict[str, Query] = {
         catalog_page_index,
         search_name,
         search_terms,
+        catalog_json,
         similar_products,
         similar_topk_first,
         similar_all,
+        compare_requests_valid,
+        compare_prompts,
+        compare_answers,
+        listing_frontier,
+        page_links,
+        page_fields,
+        spec_rows,
+        append_roundtrip,
+        stream_append,
+        clean_products,
+        latest_products,
+        text_features,
     ]
 }

@@ -1,8 +1,11 @@
 """The catalogue's tables, derived by Spark from the test tables."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from etalase.operators.extraction import PRODUCT_FIELDS
+from etalase.sources.files import to_raw
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,9 +57,120 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def request_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order asks to compare the parts on it, in line order."""
+    """Each order asks to compare the parts on it, in line order.
+
+    Part keys are moved up by five, so some requests name an unknown product.
+    """
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("request_id"),
         F.col("l_linenumber").alias("pos"),
-        F.col("l_partkey").cast("string").alias("product_id"),
+        (F.col("l_partkey") + 5).cast("string").alias("product_id"),
+    )
+
+
+def responses(groups: DataFrame) -> DataFrame:
+    """Model answers to the comparison groups, in five wordings."""
+    key = F.col("request_id").cast("long")
+    chosen = F.element_at("products", (key % F.size("products") + 1).cast("int"))
+    name = chosen["product_name"]
+    start, middle = F.lit("Saya rekomendasikan "), F.lit(" Untuk anda beli Karena ")
+    answer = (
+        F.when(key % 5 == 0, F.concat(start, F.lit("**"), name, F.lit("**"), middle, F.lit("murah.")))
+        .when(key % 5 == 1, F.concat(start, F.lit("produk "), F.upper(name), middle, F.lit("bagus")))
+        .when(key % 5 == 2, F.lit("Tidak ada pilihan."))
+        .when(key % 5 == 3, F.concat(start, F.lit("**Produk lain**"), middle, name))
+        .otherwise(F.concat(start, F.lit("**"), name, F.lit("** saja")))
+    )
+    text = F.concat(F.lit("Hallo!\n\n"), answer, F.lit("\n\nTerima Kasih"))
+    message = F.struct(F.struct(text.alias("content")).alias("message"))
+    return groups.select(
+        "request_id", F.to_json(F.struct(F.array(message).alias("choices"))).alias("response_json")
+    )
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shop page per product, with tags left out where the product has no value."""
+
+    def tag(name: str, classes: str, content: Column) -> Column:
+        return F.concat(F.lit(f'<{name} class="{classes}"> '), content, F.lit(f" </{name}>"))
+
+    def row(label: str, *values: Column) -> Column:
+        cells = [tag("div", "font-[500] text-sm", value) for value in values]
+        name = tag("div", "text-sm text-[#8C9197]", F.lit(label))
+        return F.concat(F.lit("<tr><td>"), name, F.lit("<td>"), *cells)
+
+    def own(name: str, content: Column, depth: int = 0) -> Column:
+        tag_name, wanted = PRODUCT_FIELDS[name].path[depth]
+        return tag(tag_name, wanted["cls"], content)
+
+    def text(column: str) -> Column:
+        return F.col(column).cast("string")
+
+    def said(*pieces: str | Column) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+
+    seller = own("Penjual", F.col("penjual"), 2)
+    description = own("Description", said(F.col("description"), "<br> &amp; lainnya"), 1)
+    stock = said(own("Stok", F.lit("Stok"), 1), own("Stok", text("stok"), 1))
+    parts = [
+        F.lit("<!DOCTYPE html><html><head><script>var t='<h1>no</h1>';</script></head><body>"),
+        said('<div id="product-images"><img src=x><img srcset="', F.col("image_srcset"), '"></div>'),
+        own("Product_Name", F.col("product_name")),
+        own("Product_Price", said("Rp", text("product_price"))),
+        own("Jumlah_Terjual", said("Terjual ", text("jumlah_terjual"))),
+        own("Rating", text("rating")),
+        own("Dikirim_Dari", F.col("dikirim_dari")),
+        own("Penjual", said("<a href='/s'>", seller, "</a>")),
+        own("Description", description),
+        own("Stok", stock),
+        F.lit("<table><tbody>"),
+        row("Kategori", F.lit("lama")),
+        row("Brand", F.col("brand")),
+        row("Kategori"),
+        row("Kategori", F.col("kategori")),
+        row("Min Pembelian", text("min_pembelian")),
+        row("Berat Satuan", text("berat_satuan")),
+        row("Dimensi Ukuran", said(text("stok"), " cm"), said("x ", text("stok"), " cm")),
+        F.lit("</table></body></html>"),
+    ]
+    return products(spark, sf_dir).select(
+        F.col("product_id").cast("long").alias("page_id"),
+        F.concat(F.lit("/product/"), "product_id").alias("url"),
+        F.concat(*[F.coalesce(part, F.lit("")) for part in parts]).alias("html"),
     )
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured product rows, all text: each line item is one capture of its part."""
+    amount = F.translate(F.format_number(F.floor("l_extendedprice"), 0), ",", ".")
+    line = F.col("l_linenumber").cast("string")
+    quantity = F.col("l_quantity").cast("long").cast("string")
+    key = F.col("l_partkey").cast("string")
+    sold = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("Terjual "), quantity))
+    rating = F.when(F.col("l_linestatus") == "O", F.concat(F.lit("4,"), line))
+    origin = (F.col("l_suppkey") % 25).cast("string")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("  Part "), key, F.lit(" ")).alias("Product_Name"),
+        F.concat(F.lit("Rp"), amount).alias("Product_Price"),
+        F.concat(F.lit("Stok "), line).alias("Stok"),
+        sold.otherwise("Belum terjual").alias("Jumlah_Terjual"),
+        rating.alias("Rating"),
+        F.concat(F.lit("/img/"), key, F.lit(".jpg 1x")).alias("Image_Srcset"),
+        F.col("l_returnflag").alias("Kategori"),
+        F.col("l_linestatus").alias("Brand"),
+        F.lit("1 pcs").alias("Min_Pembelian"),
+        F.concat(quantity, F.lit("00 gram")).alias("Berat_Satuan"),
+        F.concat(line, F.lit(" cm x "), line, F.lit(" cm")).alias("Dimensi_Ukuran"),
+        F.concat(F.lit("NATION_"), origin).alias("Dikirim_Dari"),
+        F.concat(F.lit("Supplier#"), F.col("l_suppkey").cast("string")).alias("Penjual"),
+        F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")).alias("Description"),
+        F.concat(F.lit("/product/"), key).alias("URL"),
+        F.col("l_shipdate").alias("Update"),
+    )
+    return to_raw(rows)
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing categories: one per brand and type of ``part``."""
+    slug = F.lower(F.concat_ws("-", "p_type", F.translate("p_brand", "#", "-")))
+    return table(spark, sf_dir, "part").select(slug.alias("category")).distinct()
