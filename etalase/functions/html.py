@@ -1,40 +1,60 @@
 """A small helper that looks up tags in one HTML page.
 
-It runs inside a pandas UDF; Spark splits the pages over tasks.
+It runs inside a pandas UDF; Spark splits the pages over tasks. A page is read
+in one pass; attributes and character references are decoded only where asked.
 """
 
-from html.parser import HTMLParser
+import re
+from bisect import bisect_right
+from html import unescape
 
-# Tags that never have content, per the HTML standard.
-_VOID = frozenset(
-    "area base br col embed hr img input link meta param source track wbr".split()
-)
-# Text inside these is never shown.
-_HIDDEN = frozenset("script style template".split())
+# Tags without content, and tags whose content is plain text, per
+# the HTML standard.
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_UNREAD = frozenset("script style".split())
+_PLAIN = frozenset("title textarea".split())
 # Opening one of these ends an open element of the listed kinds.
 _BLOCKS = (
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6"
     " header hr main nav ol p pre section table ul"
 ).split()
-_ENDS = {tag: ("p",) for tag in _BLOCKS} | {
-    "li": ("li", "p"),
-    "dt": ("dt", "dd", "p"),
-    "dd": ("dt", "dd", "p"),
-    "option": ("option",),
-    "td": ("td", "th", "p"),
-    "th": ("td", "th", "p"),
-    "tr": ("tr", "td", "th", "p"),
-    "tbody": ("tr", "td", "th", "thead", "tbody"),
+_ENDS = {tag: frozenset(["p"]) for tag in _BLOCKS} | {
+    "li": frozenset(["li", "p"]),
+    "dt": frozenset(["dt", "dd", "p"]),
+    "dd": frozenset(["dt", "dd", "p"]),
+    "option": frozenset(["option"]),
+    "td": frozenset(["td", "th", "p"]),
+    "th": frozenset(["td", "th", "p"]),
+    "tr": frozenset(["tr", "td", "th", "p"]),
+    "tbody": frozenset(["tr", "td", "th", "thead", "tbody"]),
 }
 # An implied end never reaches past one of these.
 _WALLS = frozenset("table ul ol dl select div article section body html".split())
 
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>"""
+    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""",
+    re.DOTALL,
+)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+
 
 class Node:
-    __slots__ = ("tag", "attrs", "items")
-
-    def __init__(self, tag, attrs):
-        self.tag, self.attrs, self.items = tag, attrs, []
+    __slots__ = ("page", "tag", "raw", "start", "end", "texts_from", "texts_to", "_attrs")
+
+    def __init__(self, page, tag, raw, start):
+        self.page, self.tag, self.raw, self.start = page, tag, raw, start
+        self.end, self.texts_from, self.texts_to, self._attrs = start, len(page.texts), 0, None
+
+    @property
+    def attrs(self):
+        if self._attrs is None:
+            self._attrs = {}
+            for name, value in _ATTRIBUTE.findall(self.raw):
+                if value[:1] in ("'", '"'):
+                    value = value[1:-1]
+                self._attrs.setdefault(name.lower(), unescape(value))
+        return self._attrs
 
     def all(self, tag, **wanted):
         """Matching elements below this one, in document order.
@@ -42,15 +62,12 @@ class Node:
         ``cls`` matches one class or the whole class text; another attribute
         matches by value, or by being there at all when the value is True.
         """
-        stack = [iter(self.items)]
-        while stack:
-            item = next(stack[-1], None)
-            if item is None:
-                stack.pop()
-            elif isinstance(item, Node):
-                if item.tag == tag and item.fits(wanted):
-                    yield item
-                stack.append(iter(item.items))
+        same = self.page.nodes.get(tag, ())
+        for i in range(bisect_right(same, self.start, key=lambda n: n.start), len(same)):
+            if same[i].start > self.end:
+                return
+            if same[i].fits(wanted):
+                yield same[i]
 
     def first(self, tag, **wanted):
         return next(self.all(tag, **wanted), None)
@@ -58,7 +75,7 @@ class Node:
     def fits(self, wanted):
         for name, value in wanted.items():
             if name == "cls":
-                classes = (self.attrs.get("class") or "").split()
+                classes = self.attrs.get("class", "").split()
                 if value not in classes and value != " ".join(classes):
                     return False
             elif name not in self.attrs or value not in (True, self.attrs[name]):
@@ -67,59 +84,71 @@ class Node:
 
     def text(self):
         """Each piece of text stripped, joined without a separator."""
-        pieces, stack = [], [iter(self.items)]
-        while stack:
-            item = next(stack[-1], None)
-            if item is None:
-                stack.pop()
-            elif isinstance(item, str):
-                pieces.append(item.strip())
-            elif item.tag not in _HIDDEN:
-                stack.append(iter(item.items))
-        return "".join(pieces)
-
-
-class _Builder(HTMLParser):
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open = [Node("", {})]
-
-    def handle_starttag(self, tag, attrs):
-        ended = _ENDS.get(tag)
-        if ended:
-            self._close_implied(ended)
-        node = Node(tag, {name: value or "" for name, value in reversed(attrs)})
-        self.open[-1].items.append(node)
-        if tag not in _VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                return
-
-    def handle_data(self, data):
-        items = self.open[-1].items
-        if items and isinstance(items[-1], str):
-            items[-1] += data
+        pieces = self.page.texts[self.texts_from : self.texts_to]
+        return "".join([unescape(piece).strip() for piece in pieces])
+
+
+class _Page:
+    """Elements by tag and pieces of text, both in document order."""
+
+    def __init__(self, html):
+        self.nodes, self.texts = {}, []
+        self.open, self.count, self.pending = [Node(self, "", "", 0)], 0, ""
+        at, token = 0, _TOKEN.search(html)
+        while token:
+            self.pending += html[at : token.start()]
+            at = token.end()
+            tag = (token["tag"] or "").lower()
+            if not tag:
+                self._flush()
+            elif token["end"]:
+                self._close(frozenset([tag]), frozenset())
+            else:
+                self._open_tag(tag, token["attrs"])
+                if tag in _UNREAD or tag in _PLAIN:
+                    found = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
+                    stop = found.start() if found else len(html)
+                    self.pending = html[at:stop] if tag in _PLAIN else ""
+                    at = stop
+            token = _TOKEN.search(html, at)
+        self.pending += html[at:]
+        root = self.open[0]
+        self._close_down_to(0)
+        self.root = root
+
+    def _flush(self):
+        if self.pending and not any(node.tag == "template" for node in self.open):
+            self.texts.append(self.pending)
+        self.pending = ""
+
+    def _open_tag(self, tag, raw):
+        if tag in _ENDS:
+            self._close(_ENDS[tag], _WALLS - _ENDS[tag], all_of_them=True)
+        self._flush()
+        self.count += 1
+        node = Node(self, tag, raw, self.count)
+        self.nodes.setdefault(tag, []).append(node)
+        if tag in _VOID or raw.endswith("/"):
+            node.texts_to = len(self.texts)
         else:
-            items.append(data)
+            self.open.append(node)
 
-    def _close_implied(self, ended):
+    def _close(self, tags, walls, all_of_them=False):
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.open[depth].tag
-            if tag in ended:
-                del self.open[depth:]
-            elif tag in _WALLS and tag not in ended:
+            if tag in tags:
+                self._close_down_to(depth)
+                if not all_of_them:
+                    return
+            elif tag in walls:
                 return
 
+    def _close_down_to(self, depth):
+        self._flush()
+        for node in self.open[depth:]:
+            node.end, node.texts_to = self.count, len(self.texts)
+        del self.open[depth:]
+
 
-def parse(page: str) -> Node:
-    builder = _Builder()
-    builder.feed(page)
-    builder.close()
-    return builder.open[0]
+def parse(html: str) -> Node:
+    return _Page(html).root

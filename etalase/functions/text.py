@@ -4,10 +4,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANK = r"(?U)[\s\x1c-\x1f]"
+# The same set, character by character.
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"{_BLANK}+$", ""), f"^{_BLANK}+", "")
+    # Most texts have no blank at either end; those skip the character-wise trim.
+    blanks = F.lit(_BLANKS)
+    padded = F.contains(blanks, F.left(text, F.lit(1))) | F.contains(blanks, F.right(text, F.lit(1)))
+    return F.when(padded, F.btrim(text, blanks)).otherwise(text)
 
 
 def words(text: Column) -> Column:

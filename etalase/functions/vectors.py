@@ -13,8 +13,8 @@ def norm(u: Column) -> Column:
     return F.sqrt(dot(u, u))
 
 
-def cosine(u: Column, v: Column) -> Column:
-    """Cosine similarity as a float.
+def cosine(u: Column, v: Column, u_norm: Column | None = None) -> Column:
+    """Cosine similarity as a float; ``u_norm`` saves work where it is known.
 
     Null where either vector is null or has no direction (length zero or not finite).
     Vectors of different size are an error.
@@ -22,13 +22,19 @@ def cosine(u: Column, v: Column) -> Column:
     mismatch = F.raise_error(
         F.format_string("vectors of different size: %s and %s", F.size(u), F.size(v))
     ).cast("double")
-    similarity = F.try_divide(dot(u, v), norm(u) * norm(v))
+    lengths = (norm(u) if u_norm is None else u_norm) * norm(v)
+    similarity = F.try_divide(dot(u, v), lengths)
     similarity = F.when(F.size(u) != F.size(v), mismatch).otherwise(similarity)
     return F.nullif(similarity, F.lit(float("nan"))).cast("float")
 
 
 def unit(u: Column) -> Column:
     """The vector scaled to length one; null if its length is zero or not finite."""
-    length = norm(u)
-    scaled = F.transform(u, lambda x: x.cast("double") / length)
-    return F.when((length > 0) & (length < float("inf")), scaled)
+
+    def scaled(length: Column) -> Column:
+        by_length = F.transform(u, lambda x: x.cast("double") / length)
+        return F.when((length > 0) & (length < float("inf")), by_length)
+
+    # The length is the variable of an outer step, or it would be summed again for
+    # every element.
+    return F.transform(F.array(norm(u)), scaled)[0]

@@ -34,37 +34,39 @@ def clean_products(raw: DataFrame) -> DataFrame:
 
     The id is the MD5 of the address, so later captures keep it.
     """
-    numbers = [whole_number(F.col(c)).alias(c) for c in WHOLE_NUMBERS]
-    typed = raw.select(
+    kinds = dict.fromkeys(WHOLE_NUMBERS, "bigint") | {"rating": "double"}
+    # In steps, so that Spark searches each text once for the value and the check.
+    found = raw.select(
         F.md5(F.col("URL").cast("binary")).alias("product_id"),
         *[strip(F.col(c)).alias(c) for c in TEXTS],
-        *numbers,
-        decimal_number(F.col("rating")).alias("_rating"),
-        F.array(
-            *[_problem(c, whole_number(F.col(c))) for c in WHOLE_NUMBERS],
-            _problem("rating", decimal_number(F.col("rating"))),
-        ).alias("_problems"),
+        *[whole_number(F.col(c)).alias(c) for c in WHOLE_NUMBERS],
+        decimal_number(F.col("rating")).alias("rating"),
     )
-    return typed.select(
+    typed = found.select(
         "product_id",
         *TEXTS,
-        *WHOLE_NUMBERS,
-        F.col("_rating").alias("rating"),
-        F.array_compact("_problems").alias("problems"),
+        *[F.when(F.col(c) != "", F.col(c).try_cast(kind)).alias(c) for c, kind in kinds.items()],
+        *[F.col(c).alias(f"_{c}") for c in kinds],
+    )
+    problems = [
+        F.when(F.col(f"_{c}").isNotNull() & F.col(c).isNull(), F.lit(c)) for c in kinds
+    ]
+    return typed.select(
+        "product_id", *TEXTS, *kinds, F.array_compact(F.array(*problems)).alias("problems")
     )
 
 
 def whole_number(text: Column) -> Column:
-    """The first number of a text, dots taken as thousands marks."""
-    digits = F.regexp_replace(F.regexp_extract(text, r"[0-9][0-9.]*", 0), r"\.", "")
-    return digits.try_cast("bigint")
+    """Digits of the first number of a text, dots taken as thousands marks.
+
+    Empty if a text holds no number, null if there is no text. (The caller casts:
+    a cast that fails costs far more than an empty text.)
+    """
+    digits = F.replace(F.regexp_extract(text, r"[0-9][0-9.]*", 0), F.lit("."), F.lit(""))
+    return F.when(present(text), digits)
 
 
 def decimal_number(text: Column) -> Column:
-    """The first number of a text, a comma or a dot before its decimals."""
+    """The first number of a text, a comma or a dot before its decimals, as above."""
     number = F.regexp_extract(text, r"[0-9]+([.,][0-9]+)?", 0)
-    return F.regexp_replace(number, ",", ".").try_cast("double")
-
-
-def _problem(name: str, parsed: Column) -> Column:
-    return F.when(present(F.col(name)) & parsed.isNull(), F.lit(name))
+    return F.when(present(text), F.replace(number, F.lit(","), F.lit(".")))

@@ -178,7 +178,9 @@ def _page_reader(read, schema: T.StructType):
     def rows(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([attempt(page) for page in pages], columns=schema.names, dtype=object)
 
-    return F.pandas_udf(rows, schema)
+    # Spark copies a deterministic call into filters on its result and would
+    # parse every page twice.
+    return F.pandas_udf(rows, schema).asNondeterministic()
 
 
 def _value(page: Node, field: Field) -> str | None:

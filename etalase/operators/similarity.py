@@ -1,5 +1,6 @@
 """Products most similar to one product."""
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,9 @@ def similar_topk_first(
     """
     top = (
         score(features, product_id, k)
-        .orderBy(F.desc("cosine_similarity"), F.asc("product_id"))
+        .orderBy(F.desc_nulls_last("cosine_similarity"), F.asc("product_id"))
         .limit(k)
+        .where(F.col("cosine_similarity").isNotNull())
     )
     # At most k rows.
     return (
@@ -79,7 +81,8 @@ def score(
     options = F.array(
         *[
             F.struct(
-                F.lit(list(vector)).cast("array<double>").alias("vector"),
+                F.lit([float(x) for x in vector]).cast("array<double>").alias("vector"),
+                F.lit(float(np.linalg.norm(np.asarray(vector, dtype="float64")))).alias("norm"),
                 F.lit(min(copies, k)).alias("copies"),
             )
             for vector, copies in targets
@@ -91,10 +94,8 @@ def score(
         rows = others.withColumn("_target", F.explode(options)).withColumn(
             "_copy", F.explode(F.sequence(F.lit(1), F.col("_target.copies")))
         )
-    return rows.select(
-        "product_id",
-        cosine(F.col("_target.vector"), F.col("features_vector")).alias("cosine_similarity"),
-    ).where(F.col("cosine_similarity").isNotNull())
+    similarity = cosine(F.col("_target.vector"), F.col("features_vector"), F.col("_target.norm"))
+    return rows.select("product_id", similarity.alias("cosine_similarity"))
 
 
 def _score_many(
@@ -134,10 +135,12 @@ def _ranked(scored: DataFrame, details: DataFrame, k: int) -> DataFrame:
     return (
         scored.join(details, "product_id")
         .orderBy(
-            F.desc("cosine_similarity"),
+            F.desc_nulls_last("cosine_similarity"),
             F.desc_nulls_last("rating"),
             F.desc_nulls_last("jumlah_terjual"),
             F.asc("product_id"),
         )
         .limit(k)
+        # Nulls rank last; filtered here, the similarity is worked out only once.
+        .where(F.col("cosine_similarity").isNotNull())
     )

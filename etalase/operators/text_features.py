@@ -18,21 +18,23 @@ def text_features(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     places = F.transform(
         prefix, lambda h: F.pmod(F.conv(h, 16, 10).cast("bigint"), F.lit(dimensions)).cast("int")
     )
-    # Counted in part before the shuffle: at most one row per text and place leaves a task.
+    # Counted in part before the shuffle: at most one row per text and place leaves a
+    # task. A text without words stays in as place -1.
     counts = (
         texts.select("product_id", F.explode_outer(places).alias("place"))
+        .withColumn("place", F.coalesce("place", F.lit(-1)))
         .groupBy("product_id", "place")
         .agg(F.count("*").alias("n"))
     )
     total = texts.agg(F.count("*")).scalar()
-    spread = counts.where(F.col("place").isNotNull()).groupBy("place").agg(F.count("*").alias("in"))
+    # Counting with a condition on ``n`` keeps this branch equal to the one below
+    # up to the shuffle, which Spark then runs once for both.
+    spread = counts.groupBy("place").agg(F.count_if(F.col("n") > 0).alias("in"))
     rarity = spread.select("place", F.log((total + 1) / (F.col("in") + 1)).alias("rarity"))
-    # One row per place: at most ``dimensions`` rows.
-    weighted = counts.join(F.broadcast(rarity), "place", "left")
+    # One row per place: at most ``dimensions`` and one.
+    weighted = counts.join(F.broadcast(rarity), "place")
     weight = F.map_from_entries(
-        F.collect_list(
-            F.when(F.col("place").isNotNull(), F.struct("place", F.col("n") * F.col("rarity")))
-        )
+        F.collect_list(F.struct("place", F.col("n") * F.col("rarity")))
     )
     vector = F.transform(
         F.sequence(F.lit(0), F.lit(dimensions - 1)),

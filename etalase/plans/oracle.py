@@ -113,10 +113,13 @@ def _text(value: str) -> str:
 
 
 def _tagged(tag: str) -> str:
-    """Text of the only such tag on a page, with the character references it may hold."""
+    """Text of the only such tag on a page, with the character references it may hold.
+
+    These references are also read where their semicolon is missing.
+    """
     sql = f"regexp_extract(html, '<{tag}>(.*?)</{tag}>', 1)"
-    for written, meant in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&amp;", "&")]:
-        sql = f"replace({sql}, {_text(written)}, {_text(meant)})"
+    for written, meant in [("&lt", "<"), ("&gt", ">"), ("&quot", '"'), ("&#x27", "'"), ("&amp", "&")]:
+        sql = f"regexp_replace({sql}, '{written};?', {_text(meant)}, 'g')"
     return f"trim({sql})"
 
 
@@ -181,7 +184,7 @@ ORACLE: dict[str, str] = {
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC,
                  rating DESC NULLS LAST, jumlah_terjual DESC NULLS LAST, product_id) AS rank
           FROM scored)
-        SELECT query_id, rank, product_id, round(CAST(c AS DOUBLE), 6) AS cosine_similarity
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, product_id, round(CAST(c AS DOUBLE), 6) AS cosine_similarity
         FROM ranked WHERE rank <= 10""",
     "catalog_json": f"""WITH {_PRODUCTS}
         SELECT CAST(to_json(s) AS VARCHAR) AS record FROM (SELECT {_summary} FROM products) s""",

@@ -133,7 +133,11 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         row("Dimensi Ukuran", said(text("stok"), " cm"), said("x ", text("stok"), " cm")),
         F.lit("</table></body></html>"),
     ]
-    return products(spark, sf_dir).select(
+    # A page is far larger than the row it is made from, so spread the rows first.
+    spread = products(spark, sf_dir).repartition(
+        spark.sparkContext.defaultParallelism, "product_id"
+    )
+    return spread.select(
         F.col("product_id").cast("long").alias("page_id"),
         F.concat(F.lit("/product/"), "product_id").alias("url"),
         F.concat(*[F.coalesce(part, F.lit("")) for part in parts]).alias("html"),
