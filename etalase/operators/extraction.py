@@ -87,19 +87,12 @@ def listing_frontier(categories: DataFrame, host: str, pages: int = LISTING_PAGE
 def page_links(pages: DataFrame, marker: str = PRODUCT_MARKER) -> DataFrame:
     """``(page_url, place, href)``: every link of a page whose target has the marker.
 
-    Repeats are kept, in page order. Comments and scripts hold no links.
+    Repeats are kept, in page order. Comments and scripts hold no links. (A Java
+    pattern that respects quotes recurses per attribute and overflows the stack
+    on a long tag, so the links come from the page reader as well.)
     """
-    visible = F.regexp_replace(
-        "html", r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>", ""
-    )
-    target = (
-        r"""(?i)<a\s(?:[^>"']++|"[^"]*+"|'[^']*+')*?(?<=[\s"'/])"""
-        r"""href\s*=\s*("[^"]*+"|'[^']*+'|[^\s>"']++)"""
-    )
-    quoted = F.regexp_extract_all(visible, F.lit(target), F.lit(1))
-    bare = F.transform(quoted, lambda h: F.regexp_replace(h, r"""^["']|["']$""", ""))
     links = pages.select(
-        F.col("url").alias("page_url"), F.posexplode(_decoded(bare)).alias("place", "href")
+        F.col("url").alias("page_url"), F.posexplode(_targets("html")).alias("place", "href")
     )
     return links.where(F.contains("href", F.lit(marker)))
 
@@ -157,10 +150,11 @@ def counted(rows: DataFrame, progress: Observation | str = "ingest") -> DataFram
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _decoded(targets: pd.Series) -> pd.Series:
-    from html import unescape
+def _targets(pages: pd.Series) -> pd.Series:
+    def targets(page):
+        return None if page is None else [a.attrs["href"] for a in parse(page).all("a", href=True)]
 
-    return targets.map(lambda hrefs: None if hrefs is None else [unescape(h) for h in hrefs])
+    return pages.map(targets)
 
 
 def _page_reader(read, schema: T.StructType):

@@ -82,11 +82,14 @@ def nearest(
     corpus = corpus.withColumn("_n", F.row_number().over(same_vector)).where(F.col("_n") <= k)
     corpus = materialize(corpus.drop("_n"), "corpus")
 
-    pivots = _pivots(corpus, cell_rows)
-    if pivots is None:
-        queries = queries.withColumn("cell", F.lit(0))
-        hits = _compare(queries, corpus.withColumn("cell", F.lit(0)), k, block_rows)
+    size = corpus.count()
+    if size <= cell_rows:
+        sizes = {"q_blocks": queries.count(), "c_blocks": size}
+        blocks = {name: F.lit(max(1, -(-n // block_rows))) for name, n in sizes.items()}
+        one_cell = {"cell": F.lit(0), **blocks}
+        hits = _blocks_met(queries.withColumns(one_cell), corpus.withColumns(one_cell), k)
         return _best(hits, k)
+    pivots = _pivots(corpus, min(-(-size // cell_rows), MAX_PIVOTS))
 
     homed = materialize(_with_cell(corpus, pivots), "corpus-cells")
     asking = materialize(_with_cell(queries, pivots), "query-cells")
@@ -129,11 +132,8 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     return top.groupBy("query").agg(listed.alias("hits"))
 
 
-def _pivots(corpus: DataFrame, cell_rows: int) -> np.ndarray | None:
-    """Vectors spread like the data, one per ``cell_rows`` rows; None for one cell."""
-    wanted = min(-(-corpus.count() // cell_rows), MAX_PIVOTS)
-    if wanted <= 1:
-        return None
+def _pivots(corpus: DataFrame, wanted: int) -> np.ndarray:
+    """Vectors spread like the data; at most MAX_PIVOTS, so the driver can hold them."""
     picked = corpus.orderBy(F.xxhash64("product_id"), "product_id").select("unit").limit(wanted)
     return np.unique(np.array([row.unit for row in picked.collect()]), axis=0)
 
@@ -192,31 +192,35 @@ def _other_cells(df: DataFrame, pivots: np.ndarray, radii: np.ndarray) -> DataFr
 def _compare(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int) -> DataFrame:
     """Best ``k`` of every query within the corpus rows of its cell, per block.
 
-    Both sides of a cell are cut into blocks of about ``block_rows`` by hash;
-    every block of one side meets every block of the other in its own group.
+    Both sides of a cell are cut into blocks of about ``block_rows`` by hash, so a
+    crowded cell is many small groups.
     """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(
-            F.ceil(F.count("*") / block_rows).cast("int").alias(name)
-        )
+        count = F.ceil(F.count("*") / block_rows).cast("int")
+        return df.groupBy("cell").agg(count.alias(name))
 
     # One row per cell, so at most MAX_PIVOTS rows are broadcast.
     grid = F.broadcast(blocks(queries, "q_blocks").join(blocks(corpus, "c_blocks"), "cell"))
+    return _blocks_met(queries.join(grid, "cell"), corpus.join(grid, "cell"), k)
+
+
+def _blocks_met(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Every block of one side meets every block of the other side in its own group."""
 
-    def block(key: str, count: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+    def block(count: str, *key: str) -> Column:
+        return F.pmod(F.xxhash64(*key), F.col(count)).cast("int")
 
     def every(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    left = queries.join(grid, "cell").select(
-        "cell", block("query", "q_blocks").alias("qb"), every("c_blocks").alias("cb"), "query", "unit"
+    left = queries.select(
+        "cell", block("q_blocks", "query").alias("qb"), every("c_blocks").alias("cb"), "query", "unit"
     )
-    right = corpus.join(grid, "cell").select(
+    right = corpus.select(
         "cell",
         every("q_blocks").alias("qb"),
-        block("product_id", "c_blocks").alias("cb"),
+        block("c_blocks", "product_id", "unit").alias("cb"),
         "product_id",
         "unit",
         "rating",
