@@ -2,14 +2,18 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from etalase.functions.text import grams, present
+from etalase.functions.text import grams, present, strip
 from etalase.schemas import DETAIL, SUMMARY
 from etalase.sources.workspace import materialize
 
 
+# Positions looked up one by one in a page request; longer ones go by chunks.
+CHUNK = 4096
+
+
 def detail(products: DataFrame) -> DataFrame:
     return products.select(*DETAIL)
 
@@ -108,6 +112,56 @@ def page_index(products: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
+def requested_pages(products: DataFrame, requests: DataFrame) -> DataFrame:
+    """The rows of many page requests at once.
+
+    ``requests`` holds ``request_id`` and the texts ``limit`` and ``page``; a
+    missing text means 10 and 1. Each asked position is looked up in the page
+    index. ``refused_pages`` lists the requests that ask for nothing sensible.
+    """
+    index = page_index(products).drop("page")
+    asked = _page_request(requests).where(F.col("reason").isNull() & (F.col("limit") > 0))
+    # A limit beyond the catalogue asks for positions that do not exist.
+    last = index.agg(F.max("position")).scalar()
+    asked = asked.withColumn("end", F.least(F.col("start") + F.col("limit") - 1, last))
+    asked = asked.where(F.col("start") <= F.col("end")).select("request_id", "start", "end")
+    long = F.col("end") - F.col("start") >= CHUNK
+
+    position = F.explode(F.sequence("start", "end")).alias("position")
+    few = asked.where(~long).select("request_id", position).join(index, "position")
+    # Long pages go by whole chunks of positions, so no row holds a long list.
+    chunks = F.sequence(F.floor(F.col("start") / CHUNK), F.floor(F.col("end") / CHUNK))
+    many = (
+        asked.where(long)
+        .withColumn("_chunk", F.explode(chunks))
+        .join(index.withColumn("_chunk", F.floor(F.col("position") / CHUNK)), "_chunk")
+        .where(F.col("position").between(F.col("start"), F.col("end")))
+        .drop("_chunk", "start", "end")
+    )
+    return few.unionByName(many)
+
+
+def refused_pages(requests: DataFrame) -> DataFrame:
+    """``(request_id, reason)`` of the page requests that cannot be served."""
+    refused = _page_request(requests).where(F.col("reason").isNotNull())
+    return refused.select("request_id", "reason")
+
+
+def _page_request(requests: DataFrame) -> DataFrame:
+    def number(name: str, default: int) -> Column:
+        text = F.when(F.col(name).isNull(), F.lit(str(default))).otherwise(strip(F.col(name)))
+        return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
+
+    read = requests.select(
+        "request_id", number("limit", 10).alias("limit"), number("page", 1).alias("page")
+    )
+    reason = F.when(F.col("limit").isNull() | F.col("page").isNull(), "not_a_number").when(
+        (F.col("page") < 1) | (F.col("limit") < 0), "out_of_range"
+    )
+    start = F.try_multiply(F.col("page") - 1, F.col("limit"))
+    return read.withColumn("reason", reason).withColumn("start", start)
+
+
 def search_name(products: DataFrame, term: str) -> DataFrame:
     """Products whose name contains the term, in id order, ignoring case.
 

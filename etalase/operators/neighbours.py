@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from etalase.functions.vectors import unit
 from etalase.sources.workspace import materialize
 
-BLOCK_ROWS = 1024
+# Two blocks of this size need about 100 MB while they are compared.
+BLOCK_ROWS = 2048
 CELL_ROWS = 16 * BLOCK_ROWS
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 4096
 # Similarities are compared as floats, so a bound must allow for their rounding.
 SLACK = 1e-6
 
@@ -100,9 +101,7 @@ def nearest(
 
     near = materialize(_top(_compare(asking, homed, k, block_rows), k).drop("place"), "near")
     # The k-th best so far bounds how far away a better one can be.
-    reach = near.groupBy("query").agg(
-        F.count("*").alias("_found"), F.min("c").alias("_worst")
-    )
+    reach = near.groupBy("query").agg(F.count("*").alias("_found"), F.min("c").alias("_worst"))
     reach = reach.select("query", F.when(F.col("_found") >= k, F.col("_worst")).alias("worst"))
     away = materialize(_other_cells(asking.join(reach, "query", "left"), pivots, radii), "away")
     far = _compare(away, homed, k, block_rows)
@@ -145,19 +144,25 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _slices(batches, rows: int = 1024):
+    """Smaller batches: each row meets every pivot in one matrix."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches):
-        for batch in batches:
-            if batch.num_rows:
-                cosines = _matrix(batch.column("unit")) @ shared.value.T
-                cell = cosines.argmax(axis=1)
-                best = np.clip(cosines[np.arange(len(cell)), cell], -1.0, 1.0)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(cell.astype("int32")), pa.array(np.arccos(best))],
-                    names=[*batch.schema.names, "cell", "angle"],
-                )
+        for batch in _slices(batches):
+            cosines = _matrix(batch.column("unit")) @ shared.value.T
+            cell = cosines.argmax(axis=1)
+            best = np.clip(cosines[np.arange(len(cell)), cell], -1.0, 1.0)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(cell.astype("int32")), pa.array(np.arccos(best))],
+                names=[*batch.schema.names, "cell", "angle"],
+            )
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(assign, f"{fields}, cell int, angle double")
@@ -169,9 +174,7 @@ def _other_cells(df: DataFrame, pivots: np.ndarray, radii: np.ndarray) -> DataFr
 
     def choose(batches):
         centres, radius = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches):
             units = _matrix(batch.column("unit"))
             worst = batch.column("worst").to_numpy(zero_copy_only=False).astype("float64")
             limit = np.where(np.isnan(worst), -1.0, np.maximum(worst - SLACK, -1.0))

@@ -21,16 +21,15 @@ def similar_products(
     Order: similarity, rating, units sold (all descending), then id. An unknown
     id gives no rows. Vectors without a direction are no neighbours.
     """
-    scored = score(features, product_id, k, details)
+    # Tagged, so that equal rows of the feature table stay apart below.
+    scored = score(features, product_id, k, details).withColumn(
+        "_row", F.monotonically_increasing_id()
+    )
     # Rank on the narrow columns first, then fetch the wide ones of the winners.
     narrow = _ranked(scored, details.select("product_id", "rating", "jumlah_terjual"), k)
-    # At most k ids, so the broadcasts below have a fixed size bound.
-    winners = F.broadcast(narrow.select("product_id").distinct())
-    return _ranked(
-        scored.join(winners, "product_id", "left_semi"),
-        details.join(winners, "product_id", "left_semi"),
-        k,
-    ).select(*SIMILAR)
+    winners = narrow.select("product_id", "cosine_similarity", "_row").distinct()
+    # At most k rows, so the broadcast has a fixed size bound.
+    return _ranked(F.broadcast(winners), details, k).select(*SIMILAR)
 
 
 def similar_topk_first(

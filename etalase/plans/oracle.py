@@ -30,6 +30,13 @@ _FEATURES = """
 features AS (
   SELECT CAST(vec_id AS VARCHAR) AS product_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
+_PAGE_REQUESTS = """
+asked AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS request_id,
+         CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey ELSE 10 END AS lim,
+         CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 50 ELSE 1 END AS page
+  FROM customer)"""
+
 _COSINE = "CAST(list_cosine_similarity({0}, {1}) AS FLOAT)"
 
 _REQUESTS = """
@@ -153,6 +160,12 @@ ORACLE: dict[str, str] = {
     "catalog_page_index": f"""WITH {_PRODUCTS},
         placed AS (SELECT *, row_number() OVER (ORDER BY product_id) - 1 AS position FROM products)
         SELECT position // 10 + 1 AS page, position, {_summary} FROM placed""",
+    "catalog_pages_requested": f"""WITH {_PRODUCTS}, {_PAGE_REQUESTS},
+        placed AS (SELECT *, row_number() OVER (ORDER BY product_id) - 1 AS position FROM products)
+        SELECT request_id, position, {_summary} FROM asked JOIN placed
+          ON position >= (page - 1) * lim AND position < page * lim WHERE page >= 1""",
+    "catalog_pages_refused": f"""WITH {_PAGE_REQUESTS}
+        SELECT request_id, 'out_of_range' AS reason FROM asked WHERE page < 1""",
     "search_name": f"""WITH {_PRODUCTS} SELECT {_summary} FROM products
         WHERE contains(lower(product_name), 'ring') ORDER BY product_id""",
     "search_terms": f"""WITH {_PRODUCTS},

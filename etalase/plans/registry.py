@@ -54,6 +54,16 @@ def catalog_page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.page_index(views.products(spark, sf_dir), limit=10)
 
 
+def catalog_pages_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.requested_pages(
+        views.products(spark, sf_dir), views.page_requests(spark, sf_dir)
+    )
+
+
+def catalog_pages_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.refused_pages(views.page_requests(spark, sf_dir))
+
+
 def search_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.search_name(views.products(spark, sf_dir), "Ring")
 
@@ -185,6 +195,8 @@ QUERIES: dict[str, Query] = {
         catalog_page,
         catalog_page_after,
         catalog_page_index,
+        catalog_pages_requested,
+        catalog_pages_refused,
         search_name,
         search_terms,
         catalog_json,

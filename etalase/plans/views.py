@@ -178,3 +178,13 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listing categories: one per brand and type of ``part``."""
     slug = F.lower(F.concat_ws("-", "p_type", F.translate("p_brand", "#", "-")))
     return table(spark, sf_dir, "part").select(slug.alias("category")).distinct()
+
+
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer asks for a page; some leave the limit or the page out."""
+    limit, page = F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 50).cast("string")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("request_id"),
+        F.when(F.col("c_custkey") % 7 != 0, limit).alias("limit"),
+        F.when(F.col("c_custkey") % 11 != 0, page).alias("page"),
+    )

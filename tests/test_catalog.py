@@ -142,3 +142,34 @@ def test_published_catalogue_is_pruned_by_id(spark, ten, tmp_path):
     assert "TakeOrderedAndProject" in plan and "description" not in plan
     assert "GreaterThan(product_id,p4)" in plan_text(catalog.page_after(stored, "p4"))
     assert ids(catalog.load_catalog(stored)) == [f"p{i}" for i in range(10)]
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_requested_pages(ten, spark, monkeypatch, chunk):
+    monkeypatch.setattr(catalog, "CHUNK", chunk)
+    requests = [
+        ("default", None, None),
+        ("second", " 4 ", "2"),
+        ("past", "4", "9"),
+        ("none", "0", "1"),
+        ("huge", "99999999999", "1"),
+        ("far", "9000000000000000000", "9000000000000000000"),
+        ("zero", "4", "0"),
+        ("negative", "-5", "1"),
+        ("word", "ten", "1"),
+        ("empty", "", "1"),
+        ("over", "1" * 30, "1"),
+    ]
+    df = spark.createDataFrame(requests, "request_id string, limit string, page string")
+    got = {}
+    for r in catalog.requested_pages(ten, df).orderBy("position").collect():
+        got.setdefault(r.request_id, []).append(r.product_id)
+    everything = [f"p{i}" for i in range(10)]
+    assert got == {"default": everything, "huge": everything, "second": everything[4:8]}
+    assert dict(map(tuple, catalog.refused_pages(df).collect())) == {
+        "zero": "out_of_range",
+        "negative": "out_of_range",
+        "word": "not_a_number",
+        "empty": "not_a_number",
+        "over": "not_a_number",
+    }
