@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from etalase.functions.text import grams, present, strip
+from etalase.functions.text import LONGEST_GRAM, grams, present, strip
 from etalase.schemas import DETAIL, SUMMARY
 from etalase.sources.workspace import materialize
 
@@ -186,26 +186,23 @@ def search_terms(products: DataFrame, terms: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_needle", F.lower("term"))
     )
-    longest = F.array_max(F.transform(grams(F.col("_needle")), lambda g: F.length(g)))
-    pieces = wanted.withColumn("_long", longest).withColumn("_gram", F.explode(grams(F.col("_needle"))))
-    pieces = pieces.where(F.length("_gram") == F.col("_long")).drop("_long")
-
-    named = products.where(present(F.col("product_name")))
-    name_grams = F.explode(grams(F.lower("product_name"))).alias("_gram")
-    spread = (
-        named.select(name_grams)
-        .join(pieces.select("_gram").distinct(), "_gram", "left_semi")
-        .groupBy("_gram")
-        .agg(F.count("*").alias("_names"))
+    pieces = wanted.select("term", "_needle", F.explode(grams(F.col("_needle"))).alias("_gram"))
+    pieces = pieces.where(F.length("_gram") == F.least(F.length("_needle"), F.lit(LONGEST_GRAM)))
+
+    # The lower-case name is a column of its own, so it is made once per row.
+    named = products.where(present(F.col("product_name"))).select(
+        *SUMMARY, F.lower("product_name").alias("_name")
     )
+    name_grams = F.explode(grams(F.col("_name"))).alias("_gram")
+    spread = named.select(name_grams).groupBy("_gram").agg(F.count("*").alias("_names"))
     rarest = (
         pieces.join(spread, "_gram")
         .groupBy("term", "_needle")
         .agg(F.min_by("_gram", F.struct("_names", "_gram")).alias("_gram"))
     )
     return (
-        named.select(*SUMMARY, name_grams)
+        named.select(*SUMMARY, "_name", name_grams)
         .join(rarest, "_gram")
-        .where(F.contains(F.lower("product_name"), F.col("_needle")))
+        .where(F.contains("_name", "_needle"))
         .select("term", *SUMMARY)
     )

@@ -17,7 +17,7 @@ from etalase.sources.workspace import materialize
 
 # Two blocks of this size need about 100 MB while they are compared.
 BLOCK_ROWS = 2048
-CELL_ROWS = 16 * BLOCK_ROWS
+CELL_ROWS = 2 * BLOCK_ROWS
 MAX_PIVOTS = 4096
 # Similarities are compared as floats, so a bound must allow for their rounding.
 SLACK = 1e-6
@@ -49,6 +49,7 @@ def similar_all(
     # Copies of a vector have the same neighbours up to themselves: look up each
     # distinct vector once, with one spare place for the product itself.
     distinct = rows.groupBy("unit").agg(F.min("product_id").alias("query"))
+    distinct = materialize(distinct, "distinct-vectors")
     lists = nearest(distinct, rows.join(keys, "product_id"), k + 1, block_rows, cell_rows)
     lists = lists.join(distinct, "query").select("unit", "hits")
     others = F.filter("hits", lambda hit: hit.product_id != F.col("product_id"))
@@ -84,7 +85,8 @@ def nearest(
     corpus = materialize(corpus.drop("_n"), "corpus")
 
     size = corpus.count()
-    if size <= cell_rows:
+    # A corpus of a few cells is compared whole: there is little to skip.
+    if size <= 4 * cell_rows:
         sizes = {"q_blocks": queries.count(), "c_blocks": size}
         blocks = {name: F.lit(max(1, -(-n // block_rows))) for name, n in sizes.items()}
         one_cell = {"cell": F.lit(0), **blocks}
