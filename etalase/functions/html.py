@@ -30,10 +30,12 @@ _ENDS = {tag: frozenset(["p"]) for tag in _BLOCKS} | {
 }
 # An implied end never reaches past one of these.
 _WALLS = frozenset("table ul ol dl select div article section body html".split())
+_ENDS = {tag: (ended, _WALLS - ended) for tag, ended in _ENDS.items()}
+_RAW = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in _UNREAD | _PLAIN}
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""",
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -93,52 +95,57 @@ class _Page:
 
     def __init__(self, html):
         self.nodes, self.texts = {}, []
-        self.open, self.count, self.pending = [Node(self, "", "", 0)], 0, ""
-        at, token = 0, _TOKEN.search(html)
+        self.open, self.count, self.pending, self.templates = [Node(self, "", "", 0)], 0, "", 0
+        root, at = self.open[0], 0
+        token = _TOKEN.search(html)
         while token:
-            self.pending += html[at : token.start()]
-            at = token.end()
-            tag = (token["tag"] or "").lower()
-            if not tag:
+            start, stop = token.span()
+            if at < start:
+                self.pending += html[at:start]
+            at = stop
+            end, tag, attrs = token.groups()
+            if tag is None:
                 self._flush()
-            elif token["end"]:
-                self._close(frozenset([tag]), frozenset())
+            elif end:
+                self._close((tag.lower(),), ())
             else:
-                self._open_tag(tag, token["attrs"])
-                if tag in _UNREAD or tag in _PLAIN:
-                    found = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
-                    stop = found.start() if found else len(html)
+                tag = tag.lower()
+                self._open_tag(tag, attrs)
+                if tag in _RAW:
+                    close = _RAW[tag].search(html, at)
+                    stop = close.start() if close else len(html)
                     self.pending = html[at:stop] if tag in _PLAIN else ""
                     at = stop
             token = _TOKEN.search(html, at)
         self.pending += html[at:]
-        root = self.open[0]
         self._close_down_to(0)
         self.root = root
 
     def _flush(self):
-        if self.pending and not any(node.tag == "template" for node in self.open):
-            self.texts.append(self.pending)
-        self.pending = ""
+        if self.pending:
+            if not self.templates:
+                self.texts.append(self.pending)
+            self.pending = ""
 
     def _open_tag(self, tag, raw):
         if tag in _ENDS:
-            self._close(_ENDS[tag], _WALLS - _ENDS[tag], all_of_them=True)
+            self._close(*_ENDS[tag], every=True)
         self._flush()
         self.count += 1
         node = Node(self, tag, raw, self.count)
         self.nodes.setdefault(tag, []).append(node)
         if tag in _VOID or raw.endswith("/"):
-            node.texts_to = len(self.texts)
+            node.texts_to = node.texts_from
         else:
             self.open.append(node)
+            self.templates += tag == "template"
 
-    def _close(self, tags, walls, all_of_them=False):
+    def _close(self, tags, walls, every=False):
         for depth in range(len(self.open) - 1, 0, -1):
             tag = self.open[depth].tag
             if tag in tags:
                 self._close_down_to(depth)
-                if not all_of_them:
+                if not every:
                     return
             elif tag in walls:
                 return
@@ -147,6 +154,7 @@ class _Page:
         self._flush()
         for node in self.open[depth:]:
             node.end, node.texts_to = self.count, len(self.texts)
+            self.templates -= node.tag == "template"
         del self.open[depth:]
 
 

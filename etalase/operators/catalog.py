@@ -84,16 +84,17 @@ def page_index(products: DataFrame, limit: int = 10) -> DataFrame:
     """Every product with its place in id order and its page number.
 
     Rows are split by id range and sorted within each range; a place is the
-    row's place in its range plus the size of the ranges before it. Further sort
-    keys let a range boundary fall inside a group of equal ids.
+    row's place in its range plus the size of the ranges before it. A random key
+    lets a range boundary fall inside a group of equal ids; it is stored first,
+    so that a task that runs again sends its rows to the same ranges.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    keys = [F.asc_nulls_first("product_id"), F.xxhash64(*SUMMARY), F.rand(seed=11)]
+    keyed = materialize(summary(products).withColumn("_key", F.rand(seed=11)), "page-rows")
     ranged = (
-        summary(products)
-        .repartitionByRange(*keys)
+        keyed.repartitionByRange(F.asc_nulls_first("product_id"), F.asc("_key"))
         .sortWithinPartitions(F.asc_nulls_first("product_id"))
+        .drop("_key")
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id())
     )

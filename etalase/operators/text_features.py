@@ -1,6 +1,6 @@
 """Feature vectors from product texts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
@@ -14,10 +14,12 @@ def text_features(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     without words gets the zero vector.
     """
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    prefix = F.transform(found, lambda w: F.substring(F.md5(w.cast("binary")), 1, 8))
-    places = F.transform(
-        prefix, lambda h: F.pmod(F.conv(h, 16, 10).cast("bigint"), F.lit(dimensions)).cast("int")
-    )
+
+    def place(word: Column) -> Column:
+        prefix = F.substring(F.md5(word.cast("binary")), 1, 8)
+        return F.pmod(F.conv(prefix, 16, 10).cast("bigint"), F.lit(dimensions)).cast("int")
+
+    places = F.transform(found, place)
     # Counted in part before the shuffle: at most one row per text and place leaves a
     # task. A text without words stays in as place -1.
     counts = (

@@ -5,8 +5,10 @@ the folder the cluster shares, so a lost executor costs a re-read and not a
 recomputation.
 """
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run.
+
+    Not needed where the package is installed on the executors.
+    """
+    context = spark.sparkContext
+    if _shipped.get("application") != context.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="etalase-")) / package.name
+        archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
+        context.addPyFile(archive)
+        _shipped["application"] = context.applicationId
+
+
+_shipped: dict[str, str] = {}
