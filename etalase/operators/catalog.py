@@ -49,7 +49,7 @@ def product_by_id(products: DataFrame, product_id: str) -> DataFrame:
 
 def products_by_ids(products: DataFrame, ids: DataFrame) -> DataFrame:
     """Every product whose id occurs in the ``product_id`` column of ``ids``."""
-    return products.join(ids.select("product_id"), "product_id", "left_semi")
+    return products.join(ids.select("product_id").distinct(), "product_id", "left_semi")
 
 
 def fetch_by_ids(products: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -106,7 +106,7 @@ def page_index(products: DataFrame, limit: int = 10) -> DataFrame:
     ranges = ranges.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     position = F.col("_offset") + F.col("_row") - F.col("_first")
     return (
-        ranged.join(ranges.drop("_size"), "_range")
+        ranged.join(F.broadcast(ranges.drop("_size")), "_range")
         .withColumn("position", position)
         .withColumn("page", F.floor(F.col("position") / limit) + 1)
         .select("page", "position", *SUMMARY)

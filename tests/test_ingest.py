@@ -1,4 +1,5 @@
 import datetime
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
@@ -85,6 +86,24 @@ def test_id_ranges_cover_every_id_once(spark):
         jdbc.hex_boundaries(0)
 
 
+def test_table_reads_and_appends_are_parallel():
+    session, properties = MagicMock(), {"user": "u"}
+    jdbc.read_table(session, "url", "t", properties, boundaries=["5"])
+    session.read.jdbc.assert_called_with(
+        "url", "t", predicates=["product_id < '5' OR product_id IS NULL", "product_id >= '5'"],
+        properties=properties,
+    )
+    jdbc.read_table(session, "url", "t", properties, numeric_column="n", lower=0, upper=9, partitions=3)
+    session.read.jdbc.assert_called_with(
+        "url", "t", column="n", lowerBound=0, upperBound=9, numPartitions=3, properties=properties
+    )
+    rows = MagicMock()
+    jdbc.append_table(rows, "url", "t", properties, partitions=4, batch_rows=50)
+    rows.write.jdbc.assert_called_once_with(
+        "url", "t", mode="append", properties={"user": "u", "batchsize": "50", "numPartitions": "4"}
+    )
+
+
 def test_appends_add_up(spark):
     path = work_dir(spark, "raw")
     rows = raw(spark, {"URL": "/1", "Update": day(1)}, {"URL": "/1", "Update": day(1)})
