@@ -1,5 +1,7 @@
 """Text helpers that treat every Unicode blank as white space."""
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,15 +37,12 @@ def shown(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit("None"))
 
 
-LONGEST_GRAM = 3
-
-
-def grams(text: Column) -> Column:
-    """Distinct substrings of one to ``LONGEST_GRAM`` characters."""
+def grams(text: Column, lengths: Iterable[int]) -> Column:
+    """Distinct substrings of the given lengths."""
 
     def of_length(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
         cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
         return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of_length(n) for n in range(1, LONGEST_GRAM + 1)]))
+    return F.array_distinct(F.concat(*[of_length(n) for n in lengths]))

@@ -5,11 +5,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from etalase.functions.text import LONGEST_GRAM, grams, present, strip
+from etalase.functions.text import grams, present, strip
 from etalase.schemas import DETAIL, SUMMARY
 from etalase.sources.workspace import materialize
 
 
+# Characters of a search term that names are looked up by.
+LONGEST_PIECE = 3
 # Positions looked up one by one in a page request; longer ones go by chunks.
 CHUNK = 4096
 
@@ -187,23 +189,25 @@ def search_terms(products: DataFrame, terms: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_needle", F.lower("term"))
     )
-    pieces = wanted.select("term", "_needle", F.explode(grams(F.col("_needle"))).alias("_gram"))
-    pieces = pieces.where(F.length("_gram") == F.least(F.length("_needle"), F.lit(LONGEST_GRAM)))
-
-    # The lower-case name is a column of its own, so it is made once per row.
+    wanted = wanted.withColumn("_long", F.least(F.length("_needle"), F.lit(LONGEST_PIECE)))
+    # At most LONGEST_PIECE rows: names are cut into pieces of these lengths only.
+    lengths = sorted(row[0] for row in wanted.select("_long").distinct().collect())
+    lengths = lengths or [LONGEST_PIECE]
+    pieces = wanted.select("*", F.explode(grams(F.col("_needle"), lengths)).alias("_gram"))
+    pieces = pieces.where(F.length("_gram") == F.col("_long"))
+
+    # Copies of a name are cut up and tested once. (The lower-case name is a column
+    # of its own, so that it is made once per row.)
     named = products.where(present(F.col("product_name"))).select(
         *SUMMARY, F.lower("product_name").alias("_name")
     )
-    name_grams = F.explode(grams(F.col("_name"))).alias("_gram")
-    spread = named.select(name_grams).groupBy("_gram").agg(F.count("*").alias("_names"))
+    cut = named.select("_name").distinct()
+    cut = cut.select("_name", F.explode(grams(F.col("_name"), lengths)).alias("_gram"))
+    spread = cut.groupBy("_gram").agg(F.count("*").alias("_names"))
     rarest = (
         pieces.join(spread, "_gram")
         .groupBy("term", "_needle")
         .agg(F.min_by("_gram", F.struct("_names", "_gram")).alias("_gram"))
     )
-    return (
-        named.select(*SUMMARY, "_name", name_grams)
-        .join(rarest, "_gram")
-        .where(F.contains("_name", "_needle"))
-        .select("term", *SUMMARY)
-    )
+    hits = cut.join(rarest, "_gram").where(F.contains("_name", "_needle")).select("term", "_name")
+    return named.join(hits, "_name").select("term", *SUMMARY)
