@@ -41,11 +41,7 @@ def similar_all(
     _require_unique(details)
     rows = features.select("product_id", unit(F.col("features_vector")).alias("unit"))
     rows = rows.where(F.col("unit").isNotNull())
-    keys = details.select(
-        "product_id",
-        F.col("rating").cast("double").alias("rating"),
-        F.col("jumlah_terjual").cast("double").alias("sold"),
-    )
+    keys = tie_keys(details)
     # Copies of a vector have the same neighbours up to themselves: look up each
     # distinct vector once, with one spare place for the product itself.
     distinct = rows.groupBy("unit").agg(F.min("product_id").alias("query"))
@@ -110,6 +106,14 @@ def nearest(
     return _best(near.unionByName(far), k)
 
 
+def tie_keys(details: DataFrame) -> DataFrame:
+    """What ranks equally similar products; NaN counts as the highest rating."""
+    rating = F.nanvl(F.col("rating").cast("double"), F.lit(float("inf")))
+    return details.select(
+        "product_id", rating.alias("rating"), F.col("jumlah_terjual").cast("double").alias("sold")
+    )
+
+
 def _require_unique(df: DataFrame) -> None:
     """Stop on a repeated id; reads the id column only."""
     repeated = df.groupBy("product_id").count().where("count > 1").limit(1).collect()
@@ -142,6 +146,9 @@ def _pivots(corpus: DataFrame, wanted: int) -> np.ndarray:
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    sizes = pc.unique(pc.list_value_length(column))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different size: {sorted(sizes.to_pylist())}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
@@ -250,7 +257,10 @@ def _block_best(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
         null_placement="at_end",
     )
     held = held.take(order)
-    cosines = (_matrix(asked["unit"]) @ _matrix(held["unit"]).T).astype("float32") + np.float32(0)
+    ours, theirs = _matrix(asked["unit"]), _matrix(held["unit"])
+    if ours.shape[1] != theirs.shape[1]:
+        raise ValueError(f"vectors of different size: {ours.shape[1]} and {theirs.shape[1]}")
+    cosines = (ours @ theirs.T).astype("float32") + np.float32(0)
     # One integer per pair that sorts like (cosine, place in tie order).
     bits = cosines.view("int32").astype("int64")
     bits = np.where(bits >= 0, bits, -1 - (bits & 0x7FFFFFFF))

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from etalase.functions.vectors import cosine, unit
-from etalase.operators.neighbours import nearest
+from etalase.operators.neighbours import nearest, tie_keys
 from etalase.schemas import SIMILAR
 from etalase.sources.workspace import materialize
 
@@ -112,13 +112,8 @@ def _score_many(
         corpus = corpus.select("*", unknown.alias("rating"), unknown.alias("sold"))
     else:
         # The best detail row of an id decides whether the id can matter at all.
-        best = F.max(
-            F.struct(
-                F.col("rating").cast("double").alias("rating"),
-                F.col("jumlah_terjual").cast("double").alias("sold"),
-            )
-        ).alias("best")
-        keys = details.groupBy("product_id").agg(best)
+        best = F.max(F.struct("rating", "sold")).alias("best")
+        keys = tie_keys(details).groupBy("product_id").agg(best)
         corpus = corpus.join(keys, "product_id").select("product_id", "unit", "best.*")
     copies = F.explode(F.sequence(F.lit(1), F.least(F.col("count"), F.lit(k))))
     return (

@@ -183,6 +183,30 @@ def test_similar_all_refuses_repeated_ids(spark):
         similar_all(features, details(spark, []))
 
 
+def test_similar_all_on_small_tables(spark):
+    none = details(spark, [])
+    features = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0])], FEATURES)
+    known = details(spark, [("a", float("nan"), 1), ("b", 5.0, 1), ("c", 5.0, 1)])
+    assert similar_all(features, none).collect() == []
+    assert similar_all(features.where("false"), known).collect() == []
+    pairs = [(r.query_id, r.rank, r.product_id) for r in similar_all(features, known).collect()]
+    assert sorted(pairs) == [("a", 1, "b"), ("b", 1, "a")]
+
+
+def test_nan_rating_ranks_first_in_both(spark):
+    features = spark.createDataFrame([(i, [1.0, 1.0]) for i in "tabc"], FEATURES)
+    known = details(spark, [("a", 5.0, 1), ("b", float("nan"), 1), ("c", None, 1)])
+    one = [r.product_id for r in similar_products(features, known, "t").collect()]
+    every = similar_all(features, known).where("query_id = 't'").orderBy("rank").collect()
+    assert one == [r.product_id for r in every] == ["b", "a", "c"]
+
+
+def test_similar_all_of_different_sizes_fails(spark):
+    features = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0])], FEATURES)
+    with pytest.raises(PySparkException, match="different size"):
+        similar_all(features, details(spark, [("a", 1.0, 1), ("b", 1.0, 1)])).collect()
+
+
 def test_nearest_keeps_k_of_equal_rows(spark):
     queries = spark.createDataFrame([("q", [1.0, 0.0])], "query string, unit array<double>")
     corpus = spark.createDataFrame(
