@@ -1,7 +1,10 @@
 """Products most similar to one product."""
 
+from collections import Counter
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from etalase.functions.vectors import cosine, unit
@@ -9,8 +12,8 @@ from etalase.operators.neighbours import nearest, tie_keys
 from etalase.schemas import SIMILAR
 from etalase.sources.workspace import materialize
 
-# More distinct vectors than this under one id and the ranking runs as a join.
-MAX_TARGET_VECTORS = 32
+# More feature rows than this under one id and the ranking runs as a join.
+MAX_TARGET_ROWS = 32
 
 
 def similar_products(
@@ -64,24 +67,21 @@ def score(
     """
     same = F.col("product_id") == product_id
     others = features.where(F.col("product_id") != product_id)
-    # One row in a clean feature table; repeats of a vector fold into a count.
-    targets = (
-        features.where(same & F.col("features_vector").isNotNull())
-        .groupBy("features_vector")
-        .agg(F.count("*").alias("copies"))
-        .limit(MAX_TARGET_VECTORS + 1)
-        .collect()
-    )
-    if len(targets) > MAX_TARGET_VECTORS:
+    # One row in a clean feature table. Ordering makes this a single job whose tasks
+    # each send a bounded number of rows.
+    rows = features.where(same & F.col("features_vector").isNotNull()).select("features_vector")
+    rows = rows.orderBy("features_vector").limit(MAX_TARGET_ROWS + 1).collect()
+    if len(rows) > MAX_TARGET_ROWS:
         return _score_many(features.where(same), others, details, k)
+    targets = list(Counter(tuple(row.features_vector) for row in rows).items())
     if not targets:
         targets, others = [([], 0)], others.where(F.lit(False))
     # Copies beyond k cannot change a list of k rows.
     options = F.array(
         *[
             F.struct(
-                F.lit([float(x) for x in vector]).cast("array<double>").alias("vector"),
-                F.lit(float(np.linalg.norm(np.asarray(vector, dtype="float64")))).alias("norm"),
+                _constant(vector).alias("vector"),
+                F.lit(float(np.linalg.norm(np.array(vector, dtype="float64")))).alias("norm"),
                 F.lit(min(copies, k)).alias("copies"),
             )
             for vector, copies in targets
@@ -97,6 +97,15 @@ def score(
     return rows.select("product_id", similarity.alias("cosine_similarity"))
 
 
+def _constant(vector: Sequence[float]) -> Column:
+    """A vector as one text constant, which Spark turns into an array while it plans.
+
+    (An array of literals takes one call to the driver's JVM per element.)
+    """
+    numbers = F.split(F.lit(",".join(repr(float(x)) for x in vector)), ",")
+    return (numbers if vector else F.array()).cast("array<double>")
+
+
 def _score_many(
     targets: DataFrame, others: DataFrame, details: DataFrame | None, k: int
 ) -> DataFrame:

@@ -113,7 +113,7 @@ def test_target_with_many_vectors_gives_the_same_ranking(spark, monkeypatch):
         ]
 
     direct = run()
-    monkeypatch.setattr(similarity, "MAX_TARGET_VECTORS", 2)
+    monkeypatch.setattr(similarity, "MAX_TARGET_ROWS", 2)
     assert run() == direct
 
 
