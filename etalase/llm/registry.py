@@ -2,14 +2,22 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etalase.llm import packing, toxicity
+from etalase.llm import jaccard_join, packing, quality_rules, secret_scans, toxicity, url_filters
 from etalase.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -17,15 +25,36 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out(folds: int) -> Column:
+    return (fold(F.col("doc_id"), folds) == 0).alias("held_out")
+
+
+def counted(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learnable(5))
     scores = toxicity.scored(docs, model)
-    return scores.select(
-        "doc_id",
-        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out(5), "score", predicted)
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [F.struct(*[F.lit(v).alias(c) for c, v in zip(("host", "path", "action"), r, strict=True)]) for r in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rows)))
+    return url_filters.judged(table(spark, sf_dir, "pages"), rules)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
@@ -33,6 +62,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in [op4_toxicity, op7_packing]}
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = secret_scans.scanned(docs.select("doc_id", "text"), secret_scans.train(docs))
+    counts = [counted("base", kind).alias(f"n_{kind}") for kind, *_ in secret_scans.KINDS]
+    return rows.select(
+        "doc_id",
+        *counts,
+        F.sha2(secret_scans.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scans.listed(F.col("found")).alias("spans"),
+    )
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in [op1_jaccard_join, op4_toxicity, op5_url_filters, op6_quality_rules, op7_packing, op9_secret_scans]
+}
 
 ORACLE: dict[str, str] = {}
