@@ -89,7 +89,7 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 200, penalty: f
     return Model((w * ratio).astype(np.float32), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, bound: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, bound: int = 1000) -> Model:
     """Fit on at most ``bound`` labelled rows per class, taken in the order of a hash of the id.
 
     ``labels`` holds doc_id and toxic (0 or 1; others and nulls are ignored); ``learn`` says,
