@@ -5,7 +5,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from etalase.llm import jaccard_join, packing, quality_rules, secret_scans, toxicity, url_filters
+from etalase.llm import (
+    decontamination,
+    jaccard_join,
+    lm_scoring,
+    packing,
+    pii,
+    quality_crf,
+    quality_rules,
+    secret_scans,
+    toxicity,
+    url_filters,
+)
 from etalase.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +48,23 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = lm_scoring.scored(table(spark, sf_dir, "documents"))
+    return scores.select(
+        "doc_id",
+        (F.col("fold") == lm_scoring.HELD_OUT).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.learnable(5))
@@ -62,6 +90,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_crf.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    scores = quality_crf.scored(docs, model)
+    predicted = (F.col("score") >= 0.3).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out(5), "score", predicted)
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = secret_scans.scanned(docs.select("doc_id", "text"), secret_scans.train(docs))
@@ -74,9 +110,79 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.scanned(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        *[counted("base", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("found")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in [op1_jaccard_join, op4_toxicity, op5_url_filters, op6_quality_rules, op7_packing, op9_secret_scans]
+    for q in [
+        op1_jaccard_join,
+        op2_lm_scoring,
+        op3_decontamination,
+        op4_toxicity,
+        op5_url_filters,
+        op6_quality_rules,
+        op7_packing,
+        op8_quality_classifier,
+        op9_secret_scans,
+        op10_pii,
+    ]
 }
 
-ORACLE: dict[str, str] = {}
+_BLANK = r"[\x20\x09-\x0D]"
+
+_RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+
+ORACLE: dict[str, str] = {
+    # Shingles as lists of words, shared shingles counted by a join, groups by a recursive query.
+    "op1_jaccard_join": rf"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '{_BLANK}+'), lambda w: w <> '') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)),
+                lambda i: array_to_string(w[i:least(i + 4, len(w))], ' '))) AS shingle
+            FROM words WHERE len(w) > 0
+        ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY ALL
+        ), links AS (
+            SELECT p.a, p.b FROM pairs p JOIN sizes x ON x.doc_id = p.a JOIN sizes y ON y.doc_id = p.b
+            WHERE 100 * shared >= 75 * (x.n + y.n - shared)
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents
+            UNION
+            SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+        )
+        SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id
+        FROM documents d LEFT JOIN sizes s USING (doc_id)
+        JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)
+    """,
+    "op5_url_filters": rf"""
+        WITH cut AS (
+            SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+            FROM pages
+        ), rules(rule_host, rule_path, action) AS (VALUES {_RULES}
+        ), fits AS (
+            SELECT page_id, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+                max_by(action, length(rule_host || rule_path)) AS action
+            FROM cut JOIN rules
+            ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+            GROUP BY page_id
+        )
+        SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM cut LEFT JOIN fits USING (page_id)
+    """,
+}
