@@ -10,8 +10,11 @@ FEWEST, MOST = 2, 3
 
 
 def request_items(requests: DataFrame) -> DataFrame:
-    """``(request_id, product_ids)`` as one row per asked product."""
-    return requests.select("request_id", F.posexplode("product_ids").alias("pos", "product_id"))
+    """``(request_id, product_ids)`` as one row per asked product.
+
+    A request with an empty list, or none, keeps a row without a place.
+    """
+    return requests.select("request_id", F.posexplode_outer("product_ids").alias("pos", "product_id"))
 
 
 def validate_requests(items: DataFrame, products: DataFrame) -> DataFrame:
@@ -20,40 +23,14 @@ def validate_requests(items: DataFrame, products: DataFrame) -> DataFrame:
     A request is valid if it names two or three different products and each is
     in the catalogue once.
     """
-    asked = _asked(items)
-    refused = asked.where(F.col("reason").isNotNull()).select("request_id", "reason")
-    known = products.groupBy("product_id").agg(F.count("*").alias("_rows"))
-    looked_up = (
-        _candidates(asked)
-        .join(known, "product_id", "left")
-        .groupBy("request_id")
-        .agg(
-            F.count_if(F.col("_rows").isNull()).alias("_unknown"),
-            F.count_if(F.col("_rows") > 1).alias("_repeated"),
-        )
-        .select(
-            "request_id",
-            F.when(F.col("_unknown") > 0, "unknown_id")
-            .when(F.col("_repeated") > 0, "repeated_product")
-            .alias("reason"),
-        )
-    )
-    return refused.unionByName(looked_up).select(
+    return _judged(items, products).select(
         "request_id", F.col("reason").isNull().alias("valid"), "reason"
     )
 
 
 def comparison_groups(items: DataFrame, products: DataFrame) -> DataFrame:
     """``(request_id, products)``: the products of every valid request, in request order."""
-    columns = ["product_id", *[c for _, c in BLOCK]]
-    found = _candidates(_asked(items)).join(products.select(*columns), "product_id")
-    # A product listed more than once makes the request invalid, so one row more
-    # than was asked for is enough to tell.
-    listed = _first_rows(found, ["place", "product_id"], MOST + 1)
-    grouped = listed.groupBy("request_id", "asked").agg(
-        F.sort_array(F.collect_list(F.struct("place", *columns))).alias("products")
-    )
-    return grouped.where(F.size("products") == F.col("asked")).select("request_id", "products")
+    return _judged(items, products).where(F.col("reason").isNull()).select("request_id", "products")
 
 
 def comparison_prompts(groups: DataFrame, text: Template | None = None) -> DataFrame:
@@ -94,10 +71,40 @@ def comparison_answers(groups: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+def _judged(items: DataFrame, products: DataFrame) -> DataFrame:
+    """``(request_id, reason, products)`` of every request; a valid one has no reason.
+
+    Both the answer to "is it valid" and the products come from the same rows, so they
+    cannot differ. ``products`` has one entry per place of the request.
+    """
+    asked = _asked(items)
+    columns = ["product_id", *[c for _, c in BLOCK]]
+    listed = products.groupBy("product_id").agg(
+        F.count("*").alias("_rows"), F.max(F.struct(*columns)).alias("_product")
+    )
+    looked_up = (
+        asked.where(F.col("reason").isNull())
+        .select("request_id", F.posexplode("ids").alias("place", "product_id"))
+        .join(listed, "product_id", "left")
+    )
+    # At most MOST places per request are collected.
+    entry = F.struct("place", *[F.col("_product")[c].alias(c) for c in columns])
+    judged = looked_up.groupBy("request_id").agg(
+        F.when(F.count_if(F.col("_rows").isNull()) > 0, "unknown_id")
+        .when(F.count_if(F.col("_rows") > 1) > 0, "repeated_product")
+        .alias("reason"),
+        F.sort_array(F.collect_list(entry)).alias("products"),
+    )
+    refused = asked.where(F.col("reason").isNotNull()).select("request_id", "reason")
+    return judged.unionByName(refused, allowMissingColumns=True)
+
+
 def _asked(items: DataFrame) -> DataFrame:
     """Ids per request with a reason to refuse it, if its own ids give one."""
     listed = _first_rows(items, ["pos", "product_id"], MOST + 1)
-    ids = F.sort_array(F.collect_list(F.struct("place", "product_id")))["product_id"]
+    # A row without a place stands for an empty request; nulls are not collected.
+    entry = F.when(F.col("pos").isNotNull(), F.struct("place", "product_id"))
+    ids = F.sort_array(F.collect_list(entry))["product_id"]
     grouped = listed.groupBy("request_id").agg(ids.alias("ids"))
     size = F.size("ids")
     reason = F.when(~size.between(FEWEST, MOST), "size").when(
@@ -106,12 +113,6 @@ def _asked(items: DataFrame) -> DataFrame:
     return grouped.withColumn("reason", reason)
 
 
-def _candidates(asked: DataFrame) -> DataFrame:
-    return asked.where(F.col("reason").isNull()).select(
-        "request_id", F.size("ids").alias("asked"), F.posexplode("ids").alias("place", "product_id")
-    )
-
-
 def _first_rows(df: DataFrame, order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows per request, so what is collected later is bounded.
 

@@ -38,6 +38,10 @@ def test_validation(spark, shop):
         same=["a", "a"],
         unknown=["a", "nobody"],
         repeated=["a", "twice"],
+        makes_up=["twice", "nobody"],
+        empty=[],
+        none=None,
+        hole=["a", None],
     )
     got = {r.request_id: (r.valid, r.reason) for r in comparison.validate_requests(items, shop).collect()}
     assert got == {
@@ -49,6 +53,10 @@ def test_validation(spark, shop):
         "same": (False, "duplicate_id"),
         "unknown": (False, "unknown_id"),
         "repeated": (False, "repeated_product"),
+        "makes_up": (False, "unknown_id"),
+        "empty": (False, "size"),
+        "none": (False, "size"),
+        "hole": (False, "unknown_id"),
     }
     groups = comparison.comparison_groups(items, shop).collect()
     assert {g.request_id: [p.product_id for p in g.products] for g in groups} == {
