@@ -12,8 +12,11 @@ from etalase.sources.workspace import materialize
 
 # Characters of a search term that names are looked up by.
 LONGEST_PIECE = 3
-# Positions looked up one by one in a page request; longer ones go by chunks.
-CHUNK = 4096
+# Positions are looked up by chunks of this size, and chunks listed so many at a time.
+CHUNK = 64
+CHUNKS = 4096
+# Pages whose end lies deeper are cut from the page index.
+DEEP = 100_000
 
 
 def detail(products: DataFrame) -> DataFrame:
@@ -62,40 +65,57 @@ def fetch_by_ids(products: DataFrame, ids: Sequence[str]) -> DataFrame:
 def page(products: DataFrame, limit: int = 10, number: int = 1) -> DataFrame:
     """One page in id order; past the end it is empty.
 
-    Each task keeps ``number * limit`` rows at most, which suits the first
-    pages. Use ``page_after`` or ``page_index`` to go deep.
+    Each task keeps ``number * limit`` rows at most, ``DEEP`` of them in all; a page
+    beyond is cut from ``page_index``. ``page_after`` goes on from a known id.
     """
     if number < 1 or limit < 0:
         raise ValueError("number must be at least 1 and limit at least 0")
+    if number * limit > DEEP:
+        place = F.col("position")
+        wanted = (place >= (number - 1) * limit) & (place < number * limit)
+        return page_index(products).where(wanted).orderBy("position").select(*SUMMARY)
     return all_products(products).offset((number - 1) * limit).limit(limit)
 
 
-def page_after(products: DataFrame, last_id: str | None, limit: int = 10) -> DataFrame:
+def page_after(
+    products: DataFrame, last_id: str | None, limit: int = 10, last_key: int | None = None
+) -> DataFrame:
     """The page that follows ``last_id``; None starts at the beginning.
 
     The id bound is pushed to the source, so the cost does not depend on how
-    deep the page is. It needs unique ids.
+    deep the page is. Where ids repeat, pass the ``row_key`` of the last row too;
+    without it the rest of its group is skipped.
     """
     if limit < 0:
         raise ValueError("limit must be at least 0")
-    rows = products if last_id is None else products.where(F.col("product_id") > last_id)
-    return all_products(rows).limit(limit)
+    rows = summary(products)
+    if last_id is not None and last_key is None:
+        rows = rows.where(F.col("product_id") > last_id)
+    elif last_id is not None:
+        same = (F.col("product_id") == last_id) & (row_key() > last_key)
+        rows = rows.where((F.col("product_id") >= last_id) & ((F.col("product_id") > last_id) | same))
+    return rows.orderBy(F.asc_nulls_first("product_id"), row_key()).limit(limit)
+
+
+def row_key() -> Column:
+    """Orders rows of the same id: a hash of the summary columns."""
+    return F.xxhash64(*SUMMARY)
 
 
 def page_index(products: DataFrame, limit: int = 10) -> DataFrame:
     """Every product with its place in id order and its page number.
 
     Rows are split by id range and sorted within each range; a place is the
-    row's place in its range plus the size of the ranges before it. A random key
-    lets a range boundary fall inside a group of equal ids; it is stored first,
-    so that a task that runs again sends its rows to the same ranges.
+    row's place in its range plus the size of the ranges before it. The row key lets
+    a range boundary fall inside a group of equal ids.
     """
     if limit < 1:
         raise ValueError("limit must be at least 1")
-    keyed = materialize(summary(products).withColumn("_key", F.rand(seed=11)), "page-rows")
     ranged = (
-        keyed.repartitionByRange(F.asc_nulls_first("product_id"), F.asc("_key"))
-        .sortWithinPartitions(F.asc_nulls_first("product_id"))
+        summary(products)
+        .withColumn("_key", row_key())
+        .repartitionByRange(F.asc_nulls_first("product_id"), F.asc("_key"))
+        .sortWithinPartitions(F.asc_nulls_first("product_id"), F.asc("_key"))
         .drop("_key")
         .withColumn("_range", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id())
@@ -126,22 +146,22 @@ def requested_pages(products: DataFrame, requests: DataFrame) -> DataFrame:
     asked = _page_request(requests).where(F.col("reason").isNull() & (F.col("limit") > 0))
     # A limit beyond the catalogue asks for positions that do not exist.
     last = index.agg(F.max("position")).scalar()
-    asked = asked.withColumn("end", F.least(F.col("start") + F.col("limit") - 1, last))
-    asked = asked.where(F.col("start") <= F.col("end")).select("request_id", "start", "end")
-    long = F.col("end") - F.col("start") >= CHUNK
-
-    position = F.explode(F.sequence("start", "end")).alias("position")
-    few = asked.where(~long).select("request_id", position).join(index, "position")
-    # Long pages go by whole chunks of positions, so no row holds a long list.
-    chunks = F.sequence(F.floor(F.col("start") / CHUNK), F.floor(F.col("end") / CHUNK))
-    many = (
-        asked.where(long)
-        .withColumn("_chunk", F.explode(chunks))
-        .join(index.withColumn("_chunk", F.floor(F.col("position") / CHUNK)), "_chunk")
+    end = F.coalesce(F.try_add("start", F.col("limit") - 1), last)
+    asked = asked.withColumn("end", F.least(end, last)).where(F.col("start") <= F.col("end"))
+
+    # Whole chunks are looked up, listed in two steps so that no row holds a long list.
+    first, final = F.floor(F.col("start") / CHUNK), F.floor(F.col("end") / CHUNK)
+    stretch = F.explode(F.sequence(F.floor(first / CHUNKS), F.floor(final / CHUNKS)))
+    listed = asked.select("request_id", "start", "end", stretch.alias("_stretch"))
+    low = F.greatest(first, F.col("_stretch") * CHUNKS)
+    high = F.least(final, F.col("_stretch") * CHUNKS + (CHUNKS - 1))
+    chunks = listed.select("request_id", "start", "end", F.explode(F.sequence(low, high)).alias("_chunk"))
+    held = index.withColumn("_chunk", F.floor(F.col("position") / CHUNK))
+    return (
+        chunks.join(held, "_chunk")
         .where(F.col("position").between(F.col("start"), F.col("end")))
         .drop("_chunk", "start", "end")
     )
-    return few.unionByName(many)
 
 
 def refused_pages(requests: DataFrame) -> DataFrame:
@@ -151,18 +171,22 @@ def refused_pages(requests: DataFrame) -> DataFrame:
 
 
 def _page_request(requests: DataFrame) -> DataFrame:
-    def number(name: str, default: int) -> Column:
-        text = F.when(F.col(name).isNull(), F.lit(str(default))).otherwise(strip(F.col(name)))
-        return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("bigint"))
-
-    read = requests.select(
-        "request_id", number("limit", 10).alias("limit"), number("page", 1).alias("page")
-    )
-    reason = F.when(F.col("limit").isNull() | F.col("page").isNull(), "not_a_number").when(
-        (F.col("page") < 1) | (F.col("limit") < 0), "out_of_range"
+    def text(name: str, default: int) -> Column:
+        return F.when(F.col(name).isNull(), F.lit(str(default))).otherwise(strip(F.col(name)))
+
+    whole = "^[+-]?[0-9]+$"
+    read = requests.select("request_id", text("limit", 10).alias("_limit"), text("page", 1).alias("_page"))
+    numbers = F.col("_limit").rlike(whole) & F.col("_page").rlike(whole)
+    read = read.select(
+        "request_id",
+        numbers.alias("_numbers"),
+        *[F.when(numbers, F.col(f"_{c}").try_cast("bigint")).alias(c) for c in ("limit", "page")],
     )
+    # A number that no long holds is null here.
+    fits = (F.col("page") >= 1) & (F.col("limit") >= 0)
+    reason = F.when(~F.col("_numbers"), "not_a_number").when(~F.coalesce(fits, F.lit(False)), "out_of_range")
     start = F.try_multiply(F.col("page") - 1, F.col("limit"))
-    return read.withColumn("reason", reason).withColumn("start", start)
+    return read.select("request_id", "limit", "page", reason.alias("reason"), start.alias("start"))
 
 
 def search_name(products: DataFrame, term: str) -> DataFrame:

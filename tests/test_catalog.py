@@ -2,6 +2,7 @@ import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -144,9 +145,10 @@ def test_published_catalogue_is_pruned_by_id(spark, ten, tmp_path):
     assert ids(catalog.load_catalog(stored)) == [f"p{i}" for i in range(10)]
 
 
-@pytest.mark.parametrize("chunk", [4096, 3])
-def test_requested_pages(ten, spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, chunks", [(64, 4096), (3, 2)])
+def test_requested_pages(ten, spark, monkeypatch, chunk, chunks):
     monkeypatch.setattr(catalog, "CHUNK", chunk)
+    monkeypatch.setattr(catalog, "CHUNKS", chunks)
     requests = [
         ("default", None, None),
         ("second", " 4 ", "2"),
@@ -159,17 +161,38 @@ def test_requested_pages(ten, spark, monkeypatch, chunk):
         ("word", "ten", "1"),
         ("empty", "", "1"),
         ("over", "1" * 30, "1"),
+        ("sum", "10", "5000000000000000000"),
+        ("edge", "9223372036854775807", "1"),
+        ("next", "9223372036854775807", "2"),
     ]
     df = spark.createDataFrame(requests, "request_id string, limit string, page string")
     got = {}
     for r in catalog.requested_pages(ten, df).orderBy("position").collect():
         got.setdefault(r.request_id, []).append(r.product_id)
     everything = [f"p{i}" for i in range(10)]
-    assert got == {"default": everything, "huge": everything, "second": everything[4:8]}
+    assert got == {"default": everything, "huge": everything, "edge": everything, "second": everything[4:8]}
     assert dict(map(tuple, catalog.refused_pages(df).collect())) == {
         "zero": "out_of_range",
         "negative": "out_of_range",
         "word": "not_a_number",
         "empty": "not_a_number",
-        "over": "not_a_number",
+        "over": "out_of_range",
     }
+
+
+def test_deep_pages_come_from_the_index(ten, monkeypatch):
+    monkeypatch.setattr(catalog, "DEEP", 4)
+    for number in (1, 2, 3, 4, 5):
+        assert ids(catalog.page(ten, 3, number)) == [f"p{i}" for i in range(10)][3 * number - 3 : 3 * number]
+
+
+def test_page_after_a_row_of_a_repeated_id(ten):
+    twice = ten.unionByName(ten.withColumn("stok", F.lit(77).cast("bigint")))
+    seen, last = [], (None, None)
+    while True:
+        rows = catalog.page_after(twice, last[0], 3, last[1]).withColumn("key", catalog.row_key()).collect()
+        if not rows:
+            break
+        seen += [(r.product_id, r.key) for r in rows]
+        last = seen[-1]
+    assert len(seen) == len(set(seen)) == 20 and [i for i, _ in seen] == sorted(i for i, _ in seen)
