@@ -15,10 +15,10 @@ _BLANKS = (
 
 
 def strip(text: Column) -> Column:
-    # Most texts have no blank at either end; those skip the character-wise trim.
-    blanks = F.lit(_BLANKS)
-    padded = F.contains(blanks, F.left(text, F.lit(1))) | F.contains(blanks, F.right(text, F.lit(1)))
-    return F.when(padded, F.btrim(text, blanks)).otherwise(text)
+    # Most texts have plain characters at both ends; those skip the character-wise trim.
+    first, last = F.ascii(text), F.ascii(F.right(text, F.lit(1)))
+    plain = first.between(33, 126) & last.between(33, 126)
+    return F.when(plain, text).otherwise(F.btrim(text, F.lit(_BLANKS)))
 
 
 def words(text: Column) -> Column:

@@ -22,17 +22,20 @@ def latest_rows(raw: DataFrame, key: str = "URL") -> DataFrame:
     """The newest row per key; among equally new rows the greatest.
 
     One partial result per key and task is shuffled, however often it was
-    captured.
+    captured. Rows without a key cannot be told apart, so all of them stay.
     """
     others = [c for c in raw.columns if c not in (key, "Update")]
     newest = F.max(F.struct("Update", *others)).alias("_newest")
-    return raw.groupBy(key).agg(newest).select(key, "_newest.*").select(*raw.columns)
+    keyed = raw.where(F.col(key).isNotNull()).groupBy(key).agg(newest)
+    keyed = keyed.select(key, "_newest.*").select(*raw.columns)
+    return keyed.unionByName(raw.where(F.col(key).isNull()))
 
 
 def clean_products(raw: DataFrame) -> DataFrame:
-    """Typed product columns; ``problems`` lists the columns that held no number.
+    """Typed product columns; ``problems`` lists the columns that held no clear number.
 
-    The id is the MD5 of the address, so later captures keep it.
+    The id is the MD5 of the address, so later captures keep it; without an address
+    it is null and ``problems`` names it.
     """
     kinds = dict.fromkeys(WHOLE_NUMBERS, "bigint") | {"rating": "double"}
     # In steps, so that Spark searches each text once for the value and the check.
@@ -51,22 +54,32 @@ def clean_products(raw: DataFrame) -> DataFrame:
     problems = [
         F.when(F.col(f"_{c}").isNotNull() & F.col(c).isNull(), F.lit(c)) for c in kinds
     ]
+    problems.append(F.when(F.col("product_id").isNull(), F.lit("product_id")))
     return typed.select(
         "product_id", *TEXTS, *kinds, F.array_compact(F.array(*problems)).alias("problems")
     )
 
 
+# Words behind a number that change what it counts.
+MULTIPLIERS = "rb|ribu|jt|juta|k|kg|m"
+
+
 def whole_number(text: Column) -> Column:
-    """Digits of the first number of a text, dots taken as thousands marks.
+    """Digits of the only number of a text, dots taken as marks between groups of three.
 
-    Empty if a text holds no number, null if there is no text. (The caller casts:
-    a cast that fails costs far more than an empty text.)
+    Empty if a text holds no number, several, decimals, a sign or a multiplier ("10rb+",
+    "2.5 kg"); null if there is no text. (The caller casts: a cast that fails costs far
+    more than an empty text.)
     """
-    digits = F.replace(F.regexp_extract(text, r"[0-9][0-9.]*", 0), F.lit("."), F.lit(""))
-    return F.when(present(text), digits)
+    number = r"([0-9]{1,3}(?:\.[0-9]{3})+|[0-9]+)(?![0-9.,])"
+    clear = rf"(?i)^[^0-9+-]*{number}\s*+(?!(?:{MULTIPLIERS})\b)[^0-9+]*$"
+    return F.when(present(text), F.replace(F.regexp_extract(text, clear, 1), F.lit("."), F.lit("")))
 
 
 def decimal_number(text: Column) -> Column:
-    """The first number of a text, a comma or a dot before its decimals, as above."""
-    number = F.regexp_extract(text, r"[0-9]+([.,][0-9]+)?", 0)
+    """The first number of a text, a comma or a dot before its decimals; else as above.
+
+    More than one mark ("4,5,6") is not clear.
+    """
+    number = F.regexp_extract(text, r"^[^0-9]*([0-9]+(?:[.,][0-9]+)?+)(?![0-9.,]*[0-9])", 1)
     return F.when(present(text), F.replace(number, F.lit(","), F.lit(".")))
