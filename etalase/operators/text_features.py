@@ -1,17 +1,22 @@
 """Feature vectors from product texts."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from etalase.sources.workspace import materialize
+
 DIMENSIONS = 64
 
 
 def text_features(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """``(product_id, features_vector)`` from ``product_id`` and ``text``.
+    """``(product_id, features_vector)`` from ``product_id`` and ``text``, row by row.
 
     Words are hashed into ``dimensions`` places; a place holds the number of its
     words times the logarithm of how rare the place is among the texts. A text
-    without words gets the zero vector.
+    without words gets the zero vector. Each row is a text of its own, also where
+    an id repeats. Only one count per place is exchanged between tasks.
     """
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
@@ -19,31 +24,16 @@ def text_features(texts: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
         prefix = F.substring(F.md5(word.cast("binary")), 1, 8)
         return F.pmod(F.conv(prefix, 16, 10).cast("bigint"), F.lit(dimensions)).cast("int")
 
-    places = F.transform(found, place)
-    # Counted in part before the shuffle: at most one row per text and place leaves a
-    # task. A text without words stays in as place -1.
-    counts = (
-        texts.select("product_id", F.explode_outer(places).alias("place"))
-        .withColumn("place", F.coalesce("place", F.lit(-1)))
-        .groupBy("product_id", "place")
-        .agg(F.count("*").alias("n"))
-    )
-    total = texts.agg(F.count("*")).scalar()
-    # Counting with a condition on ``n`` keeps this branch equal to the one below
-    # up to the shuffle, which Spark then runs once for both.
-    spread = counts.groupBy("place").agg(F.count_if(F.col("n") > 0).alias("in"))
-    rarity = spread.select("place", F.log((total + 1) / (F.col("in") + 1)).alias("rarity"))
-    # One row per place: at most ``dimensions`` and one.
-    weighted = counts.join(F.broadcast(rarity), "place")
-    weight = F.map_from_entries(
-        F.collect_list(F.struct("place", F.col("n") * F.col("rarity")))
-    )
-    vector = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda i: F.coalesce(F.try_element_at(F.col("weight"), i), F.lit(0.0)),
-    )
-    return (
-        weighted.groupBy("product_id")
-        .agg(weight.alias("weight"))
-        .select("product_id", vector.alias("features_vector"))
-    )
+    placed = texts.select("product_id", F.transform(found, place).alias("places"))
+    places = F.coalesce("places", F.array().cast("array<int>"))
+    placed = placed.select("product_id", places.alias("places"))
+    counts = F.array(*[F.size("places") - F.size(F.array_remove("places", i)) for i in range(dimensions)])
+    # Stored, because the texts are cut up once for the counts and the vectors.
+    counted = materialize(placed.select("product_id", counts.alias("counts")), "word-places")
+
+    # One row with one number per place.
+    held = counted.agg(F.count("*"), *[F.count_if(F.col("counts")[i] > 0) for i in range(dimensions)])
+    total, *spread = held.collect()[0]
+    rarity = F.array(*[F.lit(math.log((total + 1) / (n + 1))) for n in spread])
+    weights = F.zip_with("counts", rarity, lambda n, r: n * r)
+    return counted.select("product_id", weights.alias("features_vector"))
