@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from etalase.functions.vectors import unit
 from etalase.sources.workspace import materialize
 
-# Two blocks of this size need about 100 MB while they are compared.
-BLOCK_ROWS = 2048
+# Rows that travel together, so that each vector is sent to few groups.
+BLOCK_ROWS = 16_384
+# Rows of a block that are compared at a time; two tiles need about 100 MB.
+TILE_ROWS = 2048
 CELL_ROWS = 2 * BLOCK_ROWS
+# Pivots that every task holds; beyond MAX_PIVOTS * CELL_ROWS vectors cells grow.
 MAX_PIVOTS = 4096
 # Similarities are compared as floats, so a bound must allow for their rounding.
 SLACK = 1e-6
@@ -31,26 +34,30 @@ def similar_all(
     k: int = 10,
     block_rows: int = BLOCK_ROWS,
     cell_rows: int = CELL_ROWS,
+    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """The ``k`` most similar products of every product, ranked from 1.
 
     Same order as ``similar_products``: similarity, rating, units sold, id. Both
     tables must have one row per product id; a repeated id is an error.
     """
+    keys = materialize(tie_keys(details), "tie-keys")
+    _require_unique(keys)
     _require_unique(features)
-    _require_unique(details)
     rows = features.select("product_id", unit(F.col("features_vector")).alias("unit"))
-    rows = rows.where(F.col("unit").isNotNull())
-    keys = tie_keys(details)
+    rows = rows.where(F.col("unit").isNotNull()).withColumns(_print())
     # Copies of a vector have the same neighbours up to themselves: look up each
     # distinct vector once, with one spare place for the product itself.
-    distinct = rows.groupBy("unit").agg(F.min("product_id").alias("query"))
+    distinct = rows.groupBy(*_PRINT).agg(
+        F.min("product_id").alias("query"), F.min_by("unit", "product_id").alias("unit")
+    )
     distinct = materialize(distinct, "distinct-vectors")
-    lists = nearest(distinct, rows.join(keys, "product_id"), k + 1, block_rows, cell_rows)
-    lists = lists.join(distinct, "query").select("unit", "hits")
+    corpus = rows.drop(*_PRINT).join(keys, "product_id")
+    lists = nearest(distinct.select("query", "unit"), corpus, k + 1, block_rows, cell_rows, max_pivots)
+    asked = rows.drop("unit").join(distinct.drop("unit"), list(_PRINT)).drop(*_PRINT)
     others = F.filter("hits", lambda hit: hit.product_id != F.col("product_id"))
     return (
-        rows.join(lists, "unit")
+        asked.join(lists, "query")
         .select("product_id", F.posexplode(F.slice(others, 1, k)).alias("place", "hit"))
         .select(
             F.col("product_id").alias("query_id"),
@@ -61,12 +68,21 @@ def similar_all(
     )
 
 
+# Two hashes stand for a vector where rows meet by it: 128 bits instead of the numbers.
+_PRINT = ("_print", "_print2")
+
+
+def _print() -> dict[str, Column]:
+    return {_PRINT[0]: F.xxhash64("unit"), _PRINT[1]: F.xxhash64(F.lit(1), "unit")}
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
     block_rows: int = BLOCK_ROWS,
     cell_rows: int = CELL_ROWS,
+    max_pivots: int = MAX_PIVOTS,
 ) -> DataFrame:
     """``(query, hits)``: the best ``k`` corpus rows of every query, best first.
 
@@ -75,20 +91,13 @@ def nearest(
     """
     # No query needs more than k rows with the same vector. The rank limit is
     # applied before the shuffle too, so a much repeated vector stays small.
-    same_vector = Window.partitionBy("unit").orderBy(*_ties())
-    corpus = corpus.select("product_id", "unit", "rating", "sold")
+    same_vector = Window.partitionBy(*_PRINT).orderBy(*_ties())
+    corpus = corpus.select("product_id", "unit", "rating", "sold").withColumns(_print())
     corpus = corpus.withColumn("_n", F.row_number().over(same_vector)).where(F.col("_n") <= k)
-    corpus = materialize(corpus.drop("_n"), "corpus")
-
-    size = corpus.count()
-    # A corpus of a few cells is compared whole: there is little to skip.
-    if size <= 4 * cell_rows:
-        sizes = {"q_blocks": queries.count(), "c_blocks": size}
-        blocks = {name: F.lit(max(1, -(-n // block_rows))) for name, n in sizes.items()}
-        one_cell = {"cell": F.lit(0), **blocks}
-        hits = _blocks_met(queries.withColumns(one_cell), corpus.withColumns(one_cell), k)
-        return _best(hits, k)
-    pivots = _pivots(corpus, min(-(-size // cell_rows), MAX_PIVOTS))
+    corpus = materialize(corpus.drop("_n", *_PRINT), "corpus")
+    pivots = _pivots(corpus, min(max(1, -(-corpus.count() // cell_rows)), max_pivots))
+    if not len(pivots):
+        return _best(corpus.select(F.lit("").alias("query"), F.lit(0.0).cast("float").alias("c"), "*"), k)
 
     homed = materialize(_with_cell(corpus, pivots), "corpus-cells")
     asking = materialize(_with_cell(queries, pivots), "query-cells")
@@ -101,8 +110,9 @@ def nearest(
     # The k-th best so far bounds how far away a better one can be.
     reach = near.groupBy("query").agg(F.count("*").alias("_found"), F.min("c").alias("_worst"))
     reach = reach.select("query", F.when(F.col("_found") >= k, F.col("_worst")).alias("worst"))
+    # Which query must look in which cell; the vectors join when they are sent there.
     away = materialize(_other_cells(asking.join(reach, "query", "left"), pivots, radii), "away")
-    far = _compare(away, homed, k, block_rows)
+    far = _compare(asking.select("query", "unit").join(away, "query"), homed, k, block_rows)
     return _best(near.unionByName(far), k)
 
 
@@ -192,13 +202,13 @@ def _other_cells(df: DataFrame, pivots: np.ndarray, radii: np.ndarray) -> DataFr
             own = batch.column("cell").to_numpy(zero_copy_only=False)
             may[np.arange(len(own)), own] = False
             row, cell = np.nonzero(may)
-            taken = batch.select(["query", "unit"]).take(pa.array(row))
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(cell.astype("int32"))], names=["query", "unit", "cell"]
+                [batch.column("query").take(pa.array(row)), pa.array(cell.astype("int32"))],
+                names=["query", "cell"],
             )
 
     needed = df.select("query", "unit", "cell", "worst")
-    return needed.mapInArrow(choose, "query string, unit array<double>, cell int")
+    return needed.mapInArrow(choose, "query string, cell int")
 
 
 def _compare(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int) -> DataFrame:
@@ -260,23 +270,42 @@ def _block_best(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
     ours, theirs = _matrix(asked["unit"]), _matrix(held["unit"])
     if ours.shape[1] != theirs.shape[1]:
         raise ValueError(f"vectors of different size: {ours.shape[1]} and {theirs.shape[1]}")
-    cosines = (ours @ theirs.T).astype("float32") + np.float32(0)
-    # One integer per pair that sorts like (cosine, place in tie order).
-    bits = cosines.view("int32").astype("int64")
-    bits = np.where(bits >= 0, bits, -1 - (bits & 0x7FFFFFFF))
     size = held.num_rows
-    keys = bits * size + (size - 1 - np.arange(size))
     top = min(k, size)
-    keys = np.partition(keys, size - top, axis=1)[:, size - top :]
-    place = size - 1 - keys % size
-    flat = place.ravel()
+    tiles = [_tile_best(ours[i : i + TILE_ROWS], theirs, top) for i in range(0, len(ours), TILE_ROWS)]
+    keys = np.concatenate(tiles)
+    flat = (size - 1 - keys % size).ravel()
     row = np.repeat(np.arange(asked.num_rows), top)
     chosen = held.take(pa.array(flat))
     columns = [
         asked["query"].take(pa.array(row)).cast(types[0]),
-        pa.array(cosines[row, flat], types[1]),
+        pa.array(_as_cosine(keys // size).ravel(), types[1]),
         chosen["rating"].cast(types[2]),
         chosen["sold"].cast(types[3]),
         chosen["product_id"].cast(types[4]),
     ]
     return pa.table(columns, names=names)
+
+
+def _tile_best(ours: np.ndarray, theirs: np.ndarray, top: int) -> np.ndarray:
+    """The ``top`` best of ``theirs`` for each of ``ours``, as keys.
+
+    A key is one integer per pair that sorts like (cosine, place in tie order).
+    """
+    size = len(theirs)
+    best = np.empty((len(ours), 0), "int64")
+    for begin in range(0, size, TILE_ROWS):
+        cosines = (ours @ theirs[begin : begin + TILE_ROWS].T).astype("float32") + np.float32(0)
+        bits = cosines.view("int32").astype("int64")
+        bits = np.where(bits >= 0, bits, -1 - (bits & 0x7FFFFFFF))
+        place = begin + np.arange(bits.shape[1])
+        best = np.concatenate([best, bits * size + (size - 1 - place)], axis=1)
+        if best.shape[1] > top:
+            best = np.partition(best, best.shape[1] - top, axis=1)[:, -top:]
+    return best
+
+
+def _as_cosine(bits: np.ndarray) -> np.ndarray:
+    """Back from the sortable integers to the floats they stand for."""
+    signed = np.where(bits >= 0, bits, (-1 - bits) | 0x80000000)
+    return signed.astype("uint32").view("float32")

@@ -1,19 +1,10 @@
 """Products most similar to one product."""
 
-from collections import Counter
-from collections.abc import Sequence
-
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from etalase.functions.vectors import cosine, unit
-from etalase.operators.neighbours import nearest, tie_keys
+from etalase.functions.vectors import cosine, norm
 from etalase.schemas import SIMILAR
-from etalase.sources.workspace import materialize
-
-# More feature rows than this under one id and the ranking runs as a join.
-MAX_TARGET_ROWS = 32
 
 
 def similar_products(
@@ -22,10 +13,11 @@ def similar_products(
     """The ``k`` products closest to ``product_id`` that have a detail row.
 
     Order: similarity, rating, units sold (all descending), then id. An unknown
-    id gives no rows. Vectors without a direction are no neighbours.
+    id gives no rows. Vectors without a direction are no neighbours. Ids that repeat in
+    either table multiply, as in a join.
     """
     # Tagged, so that equal rows of the feature table stay apart below.
-    scored = score(features, product_id, k, details).withColumn(
+    scored = score(features, product_id, k).withColumn(
         "_row", F.monotonically_increasing_id()
     )
     # Rank on the narrow columns first, then fetch the wide ones of the winners.
@@ -57,81 +49,28 @@ def similar_topk_first(
     )
 
 
-def score(
-    features: DataFrame, product_id: str, k: int = 10, details: DataFrame | None = None
-) -> DataFrame:
+def score(features: DataFrame, product_id: str, k: int = 10) -> DataFrame:
     """Similarity of the other feature rows to the feature rows of one product.
 
-    Holds every row that can be among the best ``k``, judged with the ratings
-    and sales in ``details`` where given.
+    One row per other row and feature row of the product; copies of a vector beyond
+    ``k`` cannot change a list of ``k`` rows and are left out. Any other row whose
+    vector has a different size is an error, whether or not it has a detail row.
     """
     same = F.col("product_id") == product_id
-    others = features.where(F.col("product_id") != product_id)
-    # One row in a clean feature table. Ordering makes this a single job whose tasks
-    # each send a bounded number of rows.
-    rows = features.where(same & F.col("features_vector").isNotNull()).select("features_vector")
-    rows = rows.orderBy("features_vector").limit(MAX_TARGET_ROWS + 1).collect()
-    if len(rows) > MAX_TARGET_ROWS:
-        return _score_many(features.where(same), others, details, k)
-    targets = list(Counter(tuple(row.features_vector) for row in rows).items())
-    if not targets:
-        targets, others = [([], 0)], others.where(F.lit(False))
-    # Copies beyond k cannot change a list of k rows.
-    options = F.array(
-        *[
-            F.struct(
-                _constant(vector).alias("vector"),
-                F.lit(float(np.linalg.norm(np.array(vector, dtype="float64")))).alias("norm"),
-                F.lit(min(copies, k)).alias("copies"),
-            )
-            for vector, copies in targets
-        ]
+    mine = features.where(same & F.col("features_vector").isNotNull())
+    # The product's own vectors, one entry each: Spark reads them as part of the same query.
+    folded = mine.groupBy(F.col("features_vector").cast("array<double>").alias("vector")).agg(
+        F.least(F.count("*"), F.lit(k)).alias("copies")
     )
-    if len(targets) == 1 and targets[0][1] <= 1:
-        rows = others.withColumn("_target", options[0])
-    else:
-        rows = others.withColumn("_target", F.explode(options)).withColumn(
-            "_copy", F.explode(F.sequence(F.lit(1), F.col("_target.copies")))
-        )
+    targets = folded.agg(
+        F.collect_list(F.struct("vector", norm(F.col("vector")).alias("norm"), "copies"))
+    ).scalar()
+    rows = features.where(F.col("product_id") != product_id)
+    rows = rows.withColumn("_target", F.explode(targets))
     similarity = cosine(F.col("_target.vector"), F.col("features_vector"), F.col("_target.norm"))
-    return rows.select("product_id", similarity.alias("cosine_similarity"))
-
-
-def _constant(vector: Sequence[float]) -> Column:
-    """A vector as one text constant, which Spark turns into an array while it plans.
-
-    (An array of literals takes one call to the driver's JVM per element.)
-    """
-    numbers = F.split(F.lit(",".join(repr(float(x)) for x in vector)), ",")
-    return (numbers if vector else F.array()).cast("array<double>")
-
-
-def _score_many(
-    targets: DataFrame, others: DataFrame, details: DataFrame | None, k: int
-) -> DataFrame:
-    """The same scores for an id with any number of different vectors."""
-    as_unit = unit(F.col("features_vector")).alias("unit")
-    queries = targets.select(as_unit).where(F.col("unit").isNotNull()).groupBy("unit").count()
-    queries = materialize(
-        queries.withColumn("query", F.monotonically_increasing_id().cast("string")), "target-vectors"
-    )
-    corpus = others.select("product_id", as_unit).where(F.col("unit").isNotNull())
-    if details is None:
-        unknown = F.lit(None).cast("double")
-        corpus = corpus.select("*", unknown.alias("rating"), unknown.alias("sold"))
-    else:
-        # The best detail row of an id decides whether the id can matter at all.
-        best = F.max(F.struct("rating", "sold")).alias("best")
-        keys = tie_keys(details).groupBy("product_id").agg(best)
-        corpus = corpus.join(keys, "product_id").select("product_id", "unit", "best.*")
-    copies = F.explode(F.sequence(F.lit(1), F.least(F.col("count"), F.lit(k))))
-    return (
-        nearest(queries.select("query", "unit"), corpus, k)
-        .join(queries.select("query", "count"), "query")
-        .select("hits", copies)
-        .select(F.explode("hits").alias("hit"))
-        .select("hit.product_id", F.col("hit.c").alias("cosine_similarity"))
-    )
+    scored = rows.select("product_id", similarity.alias("cosine_similarity"), "_target.copies")
+    copies = F.explode(F.sequence(F.lit(1), "copies"))
+    return scored.select("product_id", "cosine_similarity", copies.alias("_copy")).drop("_copy")
 
 
 def _ranked(scored: DataFrame, details: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from etalase.functions.vectors import cosine, unit
-from etalase.operators import similarity
 from etalase.operators.neighbours import nearest, similar_all
 from etalase.operators.similarity import similar_products, similar_topk_first
 
@@ -98,23 +97,30 @@ def test_repeated_rows_multiply(spark):
     assert len(similar_products(features, ranked, "t", k=3).collect()) == 3
 
 
-def test_target_with_many_vectors_gives_the_same_ranking(spark, monkeypatch):
+def test_target_with_many_vectors_ranks_each_of_them(spark):
     rng = np.random.default_rng(5)
-    rows = [("t", [float(x) for x in rng.normal(size=4)]) for _ in range(6)]
+    rows = [("t", [float(x) for x in rng.normal(size=4)]) for _ in range(60)]
     rows += [(f"p{i}", [float(x) for x in rng.normal(size=4)]) for i in range(30)] + [rows[0]]
     features = spark.createDataFrame(rows, FEATURES)
-    ranked = details(spark, [(f"p{i}", float(i % 3), i) for i in range(30)] + [("p1", 9.0, 9)])
-
-    def run():
-        full = similar_products(features, ranked, "t", k=12).collect()
-        first = similar_topk_first(features, ranked, "t", k=12).collect()
-        return [
-            [(r.product_id, round(r.cosine_similarity, 5)) for r in rows] for rows in (full, first)
-        ]
-
-    direct = run()
-    monkeypatch.setattr(similarity, "MAX_TARGET_ROWS", 2)
-    assert run() == direct
+    known = {f"p{i}": (float(i % 3), i) for i in range(0, 30, 2)}
+    ranked = details(spark, [(i, *v) for i, v in known.items()])
+
+    def cosine_of(u, v):
+        return float(np.float32(np.dot(u, v) / (np.linalg.norm(u) * np.linalg.norm(v))))
+
+    pairs = [(cosine_of(u, v), i) for t, u in rows if t == "t" for i, v in rows if i != "t"]
+    wanted = sorted(((c, *known[i], i) for c, i in pairs if i in known), key=lambda x: (-x[0], -x[1], -x[2], x[3]))
+    full = similar_products(features, ranked, "t", k=40).collect()
+    assert [r.product_id for r in full] == [x[3] for x in wanted[:40]]
+    first = similar_topk_first(features, ranked, "t", k=40).collect()
+    top = sorted(pairs, key=lambda x: (-x[0], x[1]))[:40]
+    assert [r.product_id for r in first] == [i for _, i in top if i in known]
+
+
+def test_a_row_without_details_and_another_size_is_an_error(spark):
+    features = spark.createDataFrame([("t", [1.0, 0.0]), ("a", [1.0, 1.0]), ("x", [1.0])], FEATURES)
+    with pytest.raises(PySparkException, match="different size"):
+        similar_products(features, details(spark, [("a", 1.0, 1)]), "t").collect()
 
 
 def clustered(rng, count, size):
