@@ -9,28 +9,48 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-def id_ranges(column: str, boundaries: Sequence[str]) -> list[str]:
+def id_ranges(column: str, boundaries: Sequence[str], binary: str = "{}") -> list[str]:
     """Non-overlapping WHERE clauses that together cover every row.
 
     ``boundaries`` are ascending split points of a text id. ``n`` points make
-    ``n + 1`` partitions; rows with a null id go to the first one.
+    ``n + 1`` partitions; rows with a null id go to the first one. The points are in
+    byte order, so the column must be compared that way too: ``binary`` is the database's
+    expression for it, such as ``CAST({} AS BINARY)`` or ``{} COLLATE "C"``. It may be left
+    out where all ids are written in one case of letters and digits.
     """
     points = list(boundaries)
     if points != sorted(set(points)):
         raise ValueError("boundaries must be ascending and distinct")
     if not points:
         return ["1 = 1"]
+    if binary.count("{}") != 1:
+        raise ValueError("binary must hold {} once, where the column goes")
+    plain = all(p.isascii() and p.isalnum() and p == p.lower() for p in points)
+    if binary == "{}" and not plain:
+        raise ValueError("split points with capitals or marks need a binary comparison")
+    value = binary.format(column)
     inner = [
-        f"{column} >= {_quoted(low)} AND {column} < {_quoted(high)}"
+        f"{value} >= {_quoted(low)} AND {value} < {_quoted(high)}"
         for low, high in zip(points, points[1:])
     ]
     return [
-        f"{column} < {_quoted(points[0])} OR {column} IS NULL",
+        f"{value} < {_quoted(points[0])} OR {column} IS NULL",
         *inner,
-        f"{column} >= {_quoted(points[-1])}",
+        f"{value} >= {_quoted(points[-1])}",
     ]
 
 
+def hash_parts(expression: str, partitions: int) -> list[str]:
+    """WHERE clauses for any kind of id: ``expression`` is the database's non-negative hash of it.
+
+    Rows whose hash is null go to the first part.
+    """
+    if partitions < 1:
+        raise ValueError("partitions must be at least 1")
+    parts = [f"MOD({expression}, {partitions}) = {i}" for i in range(partitions)]
+    return [f"{parts[0]} OR ({expression}) IS NULL", *parts[1:]]
+
+
 def hex_boundaries(partitions: int, digits: int = 4) -> list[str]:
     """Evenly spaced split points for ids that start with hexadecimal digits."""
     space = 16**digits
@@ -47,21 +67,30 @@ def read_table(
     *,
     id_column: str = "product_id",
     boundaries: Sequence[str] | None = None,
+    binary: str = "{}",
+    hashed: str | None = None,
     numeric_column: str | None = None,
     lower: int | None = None,
     upper: int | None = None,
     partitions: int | None = None,
+    one_task: bool = False,
+    fetch_rows: int = 10_000,
 ) -> DataFrame:
     """Scan a table in parallel.
 
-    Text ids are split at ``boundaries``; a numeric column is split evenly
-    between ``lower`` and ``upper`` into ``partitions`` parts. With neither, the
-    database driver serves the whole table to one task.
+    Text ids are split at ``boundaries`` (see ``id_ranges``) or by a hash expression into
+    ``partitions`` parts; a numeric column is split evenly between ``lower`` and ``upper``.
+    Without a split, ``one_task`` must say that one task may read it all. ``fetch_rows``
+    bounds what a connection holds at a time.
     """
+    properties = {"fetchsize": str(fetch_rows), **properties}
+    clauses = None
     if boundaries is not None:
-        return spark.read.jdbc(
-            url, table, predicates=id_ranges(id_column, boundaries), properties=properties
-        )
+        clauses = id_ranges(id_column, boundaries, binary)
+    elif hashed is not None:
+        clauses = hash_parts(hashed, partitions or 1)
+    if clauses is not None:
+        return spark.read.jdbc(url, table, predicates=clauses, properties=properties)
     if numeric_column is not None:
         return spark.read.jdbc(
             url,
@@ -72,6 +101,8 @@ def read_table(
             numPartitions=partitions,
             properties=properties,
         )
+    if not one_task:
+        raise ValueError("give boundaries, a hash or a numeric column to split by, or one_task=True")
     return spark.read.jdbc(url, table, properties=properties)
 
 

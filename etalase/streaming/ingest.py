@@ -12,9 +12,24 @@ from pyspark.sql.streaming import StreamingQuery
 from etalase.schemas import PAGES
 
 
-def stream_pages(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    """Parquet files of pages that appear under ``path``."""
-    return spark.readStream.schema(PAGES).option("pathGlobFilter", glob).parquet(path)
+def stream_pages(
+    spark: SparkSession,
+    path: str,
+    glob: str = "*.parquet",
+    files: int = 1000,
+    size: str | None = None,
+) -> DataFrame:
+    """Parquet files of pages that appear under ``path``.
+
+    A batch takes at most ``files`` files, or files up to ``size`` ("10g") where that is given,
+    so a backlog comes in many batches.
+    """
+    reader = spark.readStream.schema(PAGES).option("pathGlobFilter", glob)
+    if size is not None:
+        reader = reader.option("maxBytesPerTrigger", size)
+    else:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(path)
 
 
 def append_files(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -30,15 +45,15 @@ def append_files(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def append_batches(
-    rows: DataFrame, write: Callable[[DataFrame], None], checkpoint: str
+    rows: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:
-    """Hand each batch to ``write``, for instance a database append.
+    """Hand each batch and its number to ``write``, for instance a database append.
 
-    A batch that fails half-way is written again, so such a table can hold a row
-    twice; ``latest_rows`` folds the repeats.
+    A batch that fails half-way is written again under the same number, so a writer that
+    notes the number can leave it out; otherwise ``latest_rows`` folds the repeats.
     """
     return (
-        rows.writeStream.foreachBatch(lambda batch, _: write(batch))
+        rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)

@@ -10,8 +10,8 @@ from etalase.functions.text import strip, words
 from etalase.operators import cleaning, extraction
 from etalase.operators.text_features import text_features
 from etalase.schemas import PAGES, RAW
-from etalase.sources import files, jdbc
-from etalase.sources.workspace import work_dir
+from etalase.sources import files, jdbc, workspace
+from etalase.sources.workspace import is_local, work_dir
 from etalase.streaming import ingest
 
 FIELDS = {"heading": extraction.Field([("h1", {})])}
@@ -63,6 +63,23 @@ def test_clean(spark):
     assert (two.product_price, two.rating, two.problems) == (None, 5.0, ["product_price"])
 
 
+def test_numbers_that_are_not_clear(spark):
+    texts = ["1,2 rb terjual", "2.5 kg", "10rb+", "1.23", "1.234.5", "3 x 4", "-5", "12k", "7", "Rp1.234", "100 gram", "3 karung"]
+    rows = [{"URL": f"/{i:02}", "Stok": t} for i, t in enumerate(texts)]
+    got = cleaning.clean_products(raw(spark, *rows)).select("stok", "problems", "product_id").collect()
+    assert sorted(r.stok for r in got if r.stok is not None) == [3, 7, 100, 1234]
+    assert all((r.stok is None) == ("stok" in r.problems) for r in got)
+    assert len({r.product_id for r in got}) == len(texts)
+
+
+def test_rows_without_an_address_stay(spark):
+    rows = [{"URL": None, "Update": day(i), "Stok": str(i)} for i in (1, 2, 3)] + [{"URL": "/1", "Update": day(1)}] * 2
+    latest = cleaning.latest_rows(raw(spark, *rows))
+    assert sorted((r.URL or "", r.Stok or "") for r in latest.collect()) == [("", "1"), ("", "2"), ("", "3"), ("/1", "")]
+    problems = cleaning.clean_products(latest).where("product_id is null").collect()
+    assert [r.problems for r in problems] == [["product_id"]] * 3
+
+
 @pytest.mark.parametrize("text", ["", " ", " a ", "　x\x1cy\x85", "a b", "\ta  B a\n", "​z"])
 def test_blanks_are_those_of_python(spark, text):
     got = spark.range(1).select(strip(F.lit(text)).alias("s"), words(F.lit(text)).alias("w")).collect()[0]
@@ -79,7 +96,13 @@ def test_id_ranges_cover_every_id_once(spark):
     counts = [df.where(clause).count() for clause in clauses]
     assert sum(counts) == len(ids) and min(counts) > 45
     assert jdbc.id_ranges("id", []) == ["1 = 1"]
-    assert jdbc.id_ranges("id", ["o'k"])[1] == "id >= 'o''k'"
+    assert jdbc.id_ranges("id", ["o'k"], "CAST({} AS BINARY)")[1] == "CAST(id AS BINARY) >= 'o''k'"
+    for points, binary in ((["o'k"], "{}"), (["A"], "{}"), (["a"], "id")):
+        with pytest.raises(ValueError):
+            jdbc.id_ranges("id", points, binary)
+    parts = jdbc.hash_parts("abs(hash(id)) % 100", 7)
+    counts = [df.where(p).count() for p in parts]
+    assert sum(counts) == len(ids) and min(counts) > 0
     with pytest.raises(ValueError):
         jdbc.id_ranges("id", ["b", "a"])
     with pytest.raises(ValueError):
@@ -91,11 +114,18 @@ def test_table_reads_and_appends_are_parallel():
     jdbc.read_table(session, "url", "t", properties, boundaries=["5"])
     session.read.jdbc.assert_called_with(
         "url", "t", predicates=["product_id < '5' OR product_id IS NULL", "product_id >= '5'"],
-        properties=properties,
+        properties={"fetchsize": "10000", "user": "u"},
     )
+    jdbc.read_table(session, "url", "t", {"fetchsize": "5"}, hashed="h", partitions=2)
+    session.read.jdbc.assert_called_with(
+        "url", "t", predicates=["MOD(h, 2) = 0 OR (h) IS NULL", "MOD(h, 2) = 1"], properties={"fetchsize": "5"}
+    )
+    with pytest.raises(ValueError, match="one_task"):
+        jdbc.read_table(session, "url", "t", properties)
+    jdbc.read_table(session, "url", "t", properties, one_task=True)
     jdbc.read_table(session, "url", "t", properties, numeric_column="n", lower=0, upper=9, partitions=3)
     session.read.jdbc.assert_called_with(
-        "url", "t", column="n", lowerBound=0, upperBound=9, numPartitions=3, properties=properties
+        "url", "t", column="n", lowerBound=0, upperBound=9, numPartitions=3, properties={"fetchsize": "10000", "user": "u"}
     )
     rows = MagicMock()
     jdbc.append_table(rows, "url", "t", properties, partitions=4, batch_rows=50)
@@ -160,9 +190,39 @@ def test_stream_batches_go_to_the_callers_sink(spark, tmp_path):
     add(1, 2, 3)
     out = str(tmp_path / "raw")
     rows = extraction.good_rows(extraction.product_rows(ingest.stream_pages(spark, folder)))
-    query = ingest.append_batches(rows, lambda batch: files.append_raw(batch, out), str(tmp_path / "log"))
+    query = ingest.append_batches(rows, lambda batch, number: files.append_raw(batch, f"{out}/batch={number}"), str(tmp_path / "log"))
     query.awaitTermination()
-    assert sorted(r.URL for r in files.read_raw(spark, out).collect()) == ["/1", "/2", "/3"]
+    assert sorted(r.URL for r in files.read_raw(spark, f"{out}/batch=0").collect()) == ["/1", "/2", "/3"]
+
+
+def test_a_backlog_comes_in_batches(spark, tmp_path):
+    folder, add = page_files(spark, tmp_path)
+    for i in range(5):
+        add(i)
+    numbers = []
+    rows = ingest.stream_pages(spark, folder, files=2)
+    ingest.append_batches(rows, lambda batch, n: numbers.append((n, batch.count())), str(tmp_path / "log")).awaitTermination()
+    assert numbers == [(0, 2), (1, 2), (2, 1)]
+
+
+@pytest.mark.parametrize(
+    "path, local",
+    [("/mnt/x", True), ("x", True), ("file:/x", True), ("file:///x", True), ("hdfs://name/x", False), ("s3a://b/x", False)],
+)
+def test_paths_that_a_machine_may_have_for_itself(path, local):
+    assert is_local(path) == local
+
+
+def test_a_folder_that_loses_rows_is_refused(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(workspace, "_one_machine", lambda master: False)
+    monkeypatch.setattr(workspace, "_shared", {})
+    assert work_dir(spark, "x")
+    monkeypatch.setattr(workspace, "_shared", {})
+    monkeypatch.setattr(workspace, "uuid", MagicMock(uuid4=lambda: MagicMock(hex="same")))
+    spark.range(3).write.parquet(f"{tmp_path}/shared-same")  # as if others' rows were missing
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path: None)
+    with pytest.raises(RuntimeError, match="do not share"):
+        workspace._require_shared(spark, str(tmp_path))
 
 
 def test_text_features_equal_a_direct_count(spark):
