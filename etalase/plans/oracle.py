@@ -1,4 +1,8 @@
-"""The same results in SQL, written independently of the operators."""
+"""The same results in SQL.
+
+The rules are written anew here; column lists, labels and the prompt's wording come from the
+same constants as in the operators, so a slip in those texts does not show.
+"""
 
 from etalase.functions.prompt import BLOCK, template
 from etalase.schemas import DETAIL, RAW, SIMILAR, SUMMARY
@@ -30,6 +34,35 @@ _FEATURES = """
 features AS (
   SELECT CAST(vec_id AS VARCHAR) AS product_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
+_MANY = """
+many AS (SELECT * FROM features
+  UNION ALL SELECT '7', CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id % 25 = 0)"""
+
+_LISTS = """
+listed AS (SELECT * FROM products
+  UNION ALL SELECT * FROM products WHERE CAST(product_id AS BIGINT) % 50 = 0),
+known AS (SELECT product_id, count(*) AS n FROM listed GROUP BY product_id),
+asked AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS request_id, 1 + o_orderkey % 199 AS k, o_orderkey % 9 AS kind FROM orders),
+lists AS (
+  SELECT request_id, CASE kind WHEN 0 THEN [] WHEN 1 THEN [] WHEN 2 THEN [k, k] WHEN 3 THEN [50, -1] WHEN 4 THEN [k]
+    WHEN 5 THEN [k, k + 1, k + 2, k + 3, k + 4] WHEN 6 THEN [k, NULL] WHEN 7 THEN [k, k + 1]
+    ELSE [k + 2, k + 1, k] END AS ids
+  FROM asked),
+wanted AS (SELECT request_id, CAST(unnest(ids) AS VARCHAR) AS product_id FROM lists),
+looked AS (
+  SELECT request_id, count(*) FILTER (WHERE n IS NULL) AS missing, count(*) FILTER (WHERE n > 1) AS twice
+  FROM wanted LEFT JOIN known USING (product_id) GROUP BY request_id),
+judged AS (
+  SELECT request_id, CASE WHEN len(ids) NOT BETWEEN 2 AND 3 THEN 'size'
+    WHEN len(ids) = 2 AND ids[1] = ids[2] THEN 'duplicate_id'
+    WHEN missing > 0 THEN 'unknown_id' WHEN twice > 0 THEN 'repeated_product' END AS reason
+  FROM lists LEFT JOIN looked USING (request_id))"""
+
+_ROUGH_REQUESTS = """
+asked AS (
+  SELECT c_custkey AS k, CASE WHEN c_custkey = 1 THEN 0 ELSE c_custkey % 6 END AS kind FROM customer)"""
+
 _PAGE_REQUESTS = """
 asked AS (
   SELECT CAST(c_custkey AS VARCHAR) AS request_id,
@@ -166,6 +199,14 @@ ORACLE: dict[str, str] = {
           ON position >= (page - 1) * lim AND position < page * lim WHERE page >= 1""",
     "catalog_pages_refused": f"""WITH {_PAGE_REQUESTS}
         SELECT request_id, 'out_of_range' AS reason FROM asked WHERE page < 1""",
+    "catalog_pages_rough": f"""WITH {_PRODUCTS}, {_ROUGH_REQUESTS},
+        placed AS (SELECT *, row_number() OVER (ORDER BY product_id) - 1 AS position FROM products)
+        SELECT CAST(k AS VARCHAR) AS request_id, position, {_summary} FROM asked JOIN placed
+          ON k = 1 OR (kind = 5 AND position BETWEEN 3 AND 5)""",
+    "catalog_pages_rough_refused": f"""WITH {_ROUGH_REQUESTS}
+        SELECT CAST(k AS VARCHAR) AS request_id,
+               CASE kind WHEN 1 THEN 'not_a_number' ELSE 'out_of_range' END AS reason
+        FROM asked WHERE k <> 1 AND kind IN (0, 1, 2)""",
     "search_name": f"""WITH {_PRODUCTS} SELECT {_summary} FROM products
         WHERE contains(lower(product_name), 'ring') ORDER BY product_id""",
     "search_terms": f"""WITH {_PRODUCTS},
@@ -199,10 +240,21 @@ ORACLE: dict[str, str] = {
           FROM scored)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, product_id, round(CAST(c AS DOUBLE), 6) AS cosine_similarity
         FROM ranked WHERE rank <= 10""",
+    "similar_many_vectors": f"""WITH {_PRODUCTS}, {_FEATURES}, {_MANY},
+        scored AS (
+          SELECT b.product_id, {_COSINE.format("a.v", "b.v")} AS c FROM many a, many b
+          WHERE a.product_id = '7' AND b.product_id <> '7')
+        SELECT {_similar}, round(CAST(c AS DOUBLE), 6) AS cosine_similarity
+        FROM scored JOIN products USING (product_id)
+        ORDER BY c DESC, rating DESC NULLS LAST, jumlah_terjual DESC NULLS LAST, product_id
+        LIMIT 10""",
     "catalog_json": f"""WITH {_PRODUCTS}
         SELECT CAST(to_json(s) AS VARCHAR) AS record FROM (SELECT {_summary} FROM products) s""",
     "compare_requests_valid": f"""WITH {_PRODUCTS}, {_REQUESTS}
         SELECT request_id, reason IS NULL AS valid, reason FROM judged""",
+    "compare_requests_all": f"""WITH {_PRODUCTS}, {_LISTS}
+        SELECT request_id, reason IS NULL AS valid, reason,
+               CASE WHEN reason IS NULL THEN CAST(1 AS INTEGER) END AS messages FROM judged""",
     "compare_prompts": f"""WITH {_PRODUCTS}, {_REQUESTS}
         SELECT request_id, 'user' AS role, {_text(_prompt.head)}
             || string_agg({_block} || chr(10), '' ORDER BY place) || {_text(_prompt.tail)} AS content
@@ -233,11 +285,45 @@ ORACLE: dict[str, str] = {
                dikirim_dari AS "Dikirim_Dari", penjual AS "Penjual",
                description || '& lainnya' AS "Description", '/product/' || product_id AS "URL"
         FROM products""",
+    "ingest_faults": f"""WITH {_PRODUCTS},
+        pages_read AS (SELECT '/product/' || product_id AS "URL", CAST(product_id AS BIGINT) % 10 AS kind FROM products),
+        rows_read AS (
+          SELECT CASE WHEN kind IN (3, 4) THEN 'faulty' ELSE 'stored' END AS kind, "URL",
+                 CASE kind WHEN 3 THEN 'no page' WHEN 4 THEN 'LookupError: no span below a' END AS error
+          FROM pages_read)
+        SELECT *, true AS stamped FROM rows_read
+        UNION ALL SELECT 'count of ' || kind, NULL, CAST(count(*) AS VARCHAR), NULL FROM rows_read GROUP BY kind""",
     "append_roundtrip": f"WITH {_RAW} SELECT * FROM raw",
     "clean_products": f"WITH {_RAW} {_CLEAN} raw",
     "latest_products": f"""WITH {_RAW},
         ranked AS (SELECT *, row_number() OVER (PARTITION BY "URL" ORDER BY {_raw_order}) AS n FROM raw)
         {_CLEAN} ranked WHERE n = 1""",
+    "clean_rough": f"""WITH {_RAW},
+        numbered AS (SELECT *, CAST(substr("Description", 7) AS BIGINT) AS o FROM raw),
+        rough AS (
+          SELECT * REPLACE (
+              ['1,2 rb terjual', '10rb+', 'Terjual 1.234', 'Terjual 12.34', '3 terjual', ''][o % 6 + 1] AS "Jumlah_Terjual",
+              ['2.5 kg', '2 kg', '1.500 gram', '500 gram', '10 x 20 gram', '-5 gram'][o % 6 + 1] AS "Berat_Satuan",
+              ['4,5', '4.5/5', '5', '4,5,6', 'belum ada', 'Rating 3.9 bintang'][o % 6 + 1] AS "Rating",
+              CASE WHEN o % 7 <> 0 THEN "URL" END AS "URL")
+          FROM numbered),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY "URL" ORDER BY {_raw_order}) AS n FROM rough)
+        SELECT md5("URL") AS product_id, trim("Product_Name") AS product_name,
+               "Image_Srcset" AS image_srcset, "Kategori" AS kategori, "Brand" AS brand,
+               "Dimensi_Ukuran" AS dimensi_ukuran, "Dikirim_Dari" AS dikirim_dari, "Penjual" AS penjual,
+               "Description" AS description,
+               CAST(replace(substr("Product_Price", 3), '.', '') AS BIGINT) AS product_price,
+               CAST(substr("Stok", 6) AS BIGINT) AS stok,
+               CAST([NULL, NULL, 1234, NULL, 3, NULL][o % 6 + 1] AS BIGINT) AS jumlah_terjual,
+               CAST(1 AS BIGINT) AS min_pembelian,
+               CAST([NULL, NULL, 1500, 500, NULL, NULL][o % 6 + 1] AS BIGINT) AS berat_satuan,
+               CAST([4.5, 4.5, 5, NULL, NULL, 3.9][o % 6 + 1] AS DOUBLE) AS rating,
+               array_to_string(list_filter([
+                 CASE WHEN o % 6 IN (0, 1, 3) THEN 'jumlah_terjual' END,
+                 CASE WHEN o % 6 IN (0, 1, 4, 5) THEN 'berat_satuan' END,
+                 CASE WHEN o % 6 IN (3, 4) THEN 'rating' END,
+                 CASE WHEN "URL" IS NULL THEN 'product_id' END], lambda x: x IS NOT NULL), ',') AS problems
+        FROM ranked WHERE n = 1 OR "URL" IS NULL""",
     "text_features": r"""
         WITH places AS (
           SELECT CAST(doc_id AS VARCHAR) AS product_id,
@@ -250,3 +336,5 @@ ORACLE: dict[str, str] = {
         SELECT product_id, place, round(n * rarity, 6) AS weight
         FROM counts JOIN rarity USING (place) WHERE n * rarity <> 0""",
 }
+
+ORACLE["similar_all_cells"] = ORACLE["similar_all"]

@@ -2,14 +2,14 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from etalase.operators import catalog, cleaning, comparison, extraction, neighbours, similarity
 from etalase.operators import text_features as features
 from etalase.plans import views
 from etalase.sources.files import append_raw, as_records, read_raw
-from etalase.sources.workspace import work_dir
+from etalase.sources.workspace import materialize, work_dir
 from etalase.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,17 @@ def catalog_pages_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.refused_pages(views.page_requests(spark, sf_dir))
 
 
+def catalog_pages_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests beyond every bound, next to good ones."""
+    return catalog.requested_pages(
+        views.products(spark, sf_dir), views.rough_page_requests(spark, sf_dir)
+    )
+
+
+def catalog_pages_rough_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.refused_pages(views.rough_page_requests(spark, sf_dir))
+
+
 def search_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.search_name(views.products(spark, sf_dir), "Ring")
 
@@ -95,6 +106,20 @@ def similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("cosine_similarity", F.round(F.col("cosine_similarity").cast("double"), 6))
 
 
+def similar_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with small cells and blocks, so that cells are compared and ruled out."""
+    return neighbours.similar_all(
+        views.features(spark, sf_dir), views.products(spark, sf_dir), block_rows=128, cell_rows=128
+    ).withColumn("cosine_similarity", F.round(F.col("cosine_similarity").cast("double"), 6))
+
+
+def similar_many_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product with many feature rows: a neighbour can come once for each."""
+    return similarity.similar_products(
+        views.many_vectors(spark, sf_dir, TARGET), views.products(spark, sf_dir), TARGET
+    ).withColumn("cosine_similarity", F.round(F.col("cosine_similarity").cast("double"), 6))
+
+
 def catalog_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_records(catalog.summary(views.products(spark, sf_dir)))
 
@@ -105,6 +130,15 @@ def compare_requests_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def compare_requests_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of every kind with the reason against them, and whether a prompt is made."""
+    items = comparison.request_items(views.request_lists(spark, sf_dir))
+    products = views.listed_twice(spark, sf_dir)
+    prompts = comparison.comparison_prompts(comparison.comparison_groups(items, products))
+    made = prompts.select("request_id", F.size("messages").alias("messages"))
+    return comparison.validate_requests(items, products).join(made, "request_id", "left")
+
+
 def compare_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = comparison.comparison_groups(
         views.request_items(spark, sf_dir), views.products(spark, sf_dir)
@@ -146,6 +180,22 @@ def spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.good_rows(rows).drop("Update")
 
 
+def ingest_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as stored or faulty, with its stamp, and the two counts of the run."""
+    rows = extraction.product_rows(views.faulty_pages(spark, sf_dir))
+    # Stored, as an ingest stores its rows, so that pages are read once and counted there.
+    progress = Observation("ingest")
+    kept = materialize(extraction.counted(rows, progress), "ingest")
+    stamped = F.col("Update").isNotNull().alias("stamped")
+    good = extraction.good_rows(kept).select(F.lit("stored").alias("kind"), "URL", F.lit(None).cast("string").alias("error"), stamped)
+    bad = extraction.faulty_rows(kept).select(F.lit("faulty").alias("kind"), "URL", "error", stamped)
+    totals = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(str(n)).alias("error")) for k, n in progress.get.items()])
+    counts = spark.range(1).select(F.inline(totals)).select(
+        F.concat(F.lit("count of "), "kind").alias("kind"), F.lit(None).cast("string").alias("URL"), "error", F.lit(None).cast("boolean").alias("stamped")
+    )
+    return good.unionByName(bad).unionByName(counts)
+
+
 def append_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "product-data")
     append_raw(views.raw_rows(spark, sf_dir), path)
@@ -171,6 +221,12 @@ def latest_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.withColumn("problems", F.array_join("problems", ","))
 
 
+def clean_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest of rows whose numbers are hard to read, and all rows without an address."""
+    cleaned = cleaning.clean_products(cleaning.latest_rows(views.rough_rows(spark, sf_dir)))
+    return cleaned.withColumn("problems", F.array_join("problems", ","))
+
+
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the documents, one row per place that is not zero."""
     texts = views.table(spark, sf_dir, "documents").select(
@@ -197,23 +253,30 @@ QUERIES: dict[str, Query] = {
         catalog_page_index,
         catalog_pages_requested,
         catalog_pages_refused,
+        catalog_pages_rough,
+        catalog_pages_rough_refused,
         search_name,
         search_terms,
         catalog_json,
         similar_products,
         similar_topk_first,
         similar_all,
+        similar_all_cells,
+        similar_many_vectors,
         compare_requests_valid,
+        compare_requests_all,
         compare_prompts,
         compare_answers,
         listing_frontier,
         page_links,
         page_fields,
         spec_rows,
+        ingest_faults,
         append_roundtrip,
         stream_append,
         clean_products,
         latest_products,
+        clean_rough,
         text_features,
     ]
 }

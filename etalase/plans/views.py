@@ -188,3 +188,88 @@ def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("c_custkey") % 7 != 0, limit).alias("limit"),
         F.when(F.col("c_custkey") % 11 != 0, page).alias("page"),
     )
+
+
+def many_vectors(spark: SparkSession, sf_dir: str, product_id: str) -> DataFrame:
+    """The features, with every 25th vector once more under one product id."""
+    rows = table(spark, sf_dir, "embeddings")
+    more = rows.where(F.col("vec_id") % 25 == 0).select(
+        F.lit(product_id).alias("product_id"), F.col("embedding").alias("features_vector")
+    )
+    return features(spark, sf_dir).unionByName(more)
+
+
+def request_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order asks for a list of products: none, too many, repeated, unknown or good ones."""
+    key = 1 + F.col("o_orderkey") % 199
+
+    def ids(*numbers: Column) -> Column:
+        return F.array(*[n.cast("string") for n in numbers])
+
+    kind = F.col("o_orderkey") % 9
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("request_id"),
+        F.when(kind == 0, F.array().cast("array<string>"))
+        .when(kind == 1, F.lit(None).cast("array<string>"))
+        .when(kind == 2, ids(key, key))
+        .when(kind == 3, ids(F.lit(50), F.lit(-1)))
+        .when(kind == 4, ids(key))
+        .when(kind == 5, ids(key, key + 1, key + 2, key + 3, key + 4))
+        .when(kind == 6, ids(key, F.lit(None)))
+        .when(kind == 7, ids(key, key + 1))
+        .otherwise(ids(key + 2, key + 1, key))
+        .alias("product_ids"),
+    )
+
+
+def listed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The products, every 50th of them twice."""
+    rows = products(spark, sf_dir)
+    return rows.unionByName(rows.where(F.col("product_id").cast("long") % 50 == 0))
+
+
+def rough_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured rows whose numbers are hard to read, some without an address."""
+    order = F.substring("Description", 7, 20).cast("long")
+    sold = [F.lit(t) for t in ("1,2 rb terjual", "10rb+", "Terjual 1.234", "Terjual 12.34", "3 terjual", "")]
+    weight = [F.lit(t) for t in ("2.5 kg", "2 kg", "1.500 gram", "500 gram", "10 x 20 gram", "-5 gram")]
+    rating = [F.lit(t) for t in ("4,5", "4.5/5", "5", "4,5,6", "belum ada", "Rating 3.9 bintang")]
+
+    def one_of(texts: list[Column]) -> Column:
+        return F.element_at(F.array(*texts), (order % len(texts) + 1).cast("int"))
+
+    return raw_rows(spark, sf_dir).withColumns(
+        {
+            "Jumlah_Terjual": one_of(sold),
+            "Berat_Satuan": one_of(weight),
+            "Rating": one_of(rating),
+            "URL": F.when(order % 7 != 0, F.col("URL")),
+        }
+    )
+
+
+def rough_page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page requests with numbers beyond every bound; one asks for the whole catalogue."""
+    key = F.col("c_custkey")
+    limit = (
+        F.when(key == 1, "9223372036854775807")
+        .when(key % 6 == 0, "99999999999999999999")
+        .when(key % 6 == 1, "ten")
+        .when(key % 6 == 2, "-1")
+        .when(key % 6 == 3, "9223372036854775807")
+        .otherwise("3")
+    )
+    page = F.when(key == 1, "1").when(key % 6 == 4, "5000000000000000000").otherwise("2")
+    return table(spark, sf_dir, "customer").select(
+        key.cast("string").alias("request_id"), limit.alias("limit"), page.alias("page")
+    )
+
+
+def faulty_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product pages, some missing and some without a seller's name."""
+    html = F.col("html")
+    nameless = F.replace(html, F.lit('<span class="text-base'), F.lit('<b class="text-base'))
+    kind = F.col("page_id") % 10
+    return product_pages(spark, sf_dir).withColumn(
+        "html", F.when(kind == 3, None).when(kind == 4, nameless).otherwise(html)
+    )
