@@ -95,9 +95,14 @@ def _pair_hashes(codes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
 
 
 def _dealt(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of hashes by range, and where each range ends."""
+    """The order of hashes, and where each of the ranges that their first bits name ends."""
     part = (hashes >> np.uint64(64 - bits)).astype(np.uint32) if bits else np.zeros(len(hashes), np.uint32)
-    return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=1 << bits))
+    return np.argsort(hashes), np.cumsum(np.bincount(part, minlength=1 << bits))
+
+
+def _steps_up(values: np.ndarray) -> np.ndarray:
+    """Differences (modulo 2**64) of unsigned numbers; small where they ascend, so they compress."""
+    return np.diff(values, prepend=np.uint64(0))
 
 
 def _batch_rows(number: int, ids: list, folds: list[int], texts: list[np.ndarray], bits: int) -> Iterator[dict]:
@@ -114,7 +119,8 @@ def _batch_rows(number: int, ids: list, folds: list[int], texts: list[np.ndarray
         "folds": folds,
         "sizes": sizes.tolist(),
         "tokens": zlib.compress(_planes(tokens, 4), 1),
-        "vocabulary": vocabulary.tobytes(),
+        # Words that are equally common are in the order of their hashes.
+        "vocabulary": zlib.compress(_planes(_steps_up(vocabulary), 8), 1),
     }
     which = np.repeat(np.array(folds), sizes)
     kept, known = (which != HELD_OUT) & (which != DELETED), which != HELD_OUT
@@ -133,7 +139,7 @@ def _batch_rows(number: int, ids: list, folds: list[int], texts: list[np.ndarray
                     "part": p,
                     "batch": number,
                     "pairs": pairs,
-                    "hashes": _planes(rest[begin:end], 5),
+                    "hashes": _planes(_steps_up(rest[begin:end]), 5),
                     "kept": _counts(sorted_amounts[0][begin:end]),
                     "all": _counts(sorted_amounts[1][begin:end]),
                 }
@@ -173,7 +179,7 @@ def _answer(group: pa.Table) -> pa.Table:
         asked = group.filter(pc.equal(group.column("pairs"), pairs)).select(["batch", "hashes", "kept", "all"])
         if not len(asked):
             continue
-        hashes = [_numbers(h, 5) for h in asked.column("hashes").to_pylist()]
+        hashes = [np.cumsum(_numbers(h, 5)) for h in asked.column("hashes").to_pylist()]
         ends = np.cumsum([len(h) for h in hashes])
         order = np.argsort(np.concatenate(hashes))
         hashes = np.concatenate(hashes)[order]
@@ -209,7 +215,7 @@ def context_class(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(float))[1]
 
 
-def _steps(values: np.ndarray) -> np.ndarray:
+def _log_steps(values: np.ndarray) -> np.ndarray:
     with np.errstate(divide="ignore"):
         found = np.abs(np.rint(STEPS * np.log2(values)))
     return np.where(values > 0, np.minimum(found, NONE - 1), NONE).astype(np.int64)
@@ -223,7 +229,7 @@ def _count(bits: int):
         if rows[0]["batch"] < 0:
             return _table(COUNTED, rows)
         (head,) = [r for r in rows if r["ids"] is not None]
-        vocabulary = np.frombuffer(head["vocabulary"], np.uint64)
+        vocabulary = np.cumsum(_numbers(zlib.decompress(head["vocabulary"]), 8))
         tokens = _numbers(zlib.decompress(head["tokens"]), 4).astype(np.int64)
         codes, at = np.unique(_pairs(tokens, len(vocabulary)), return_inverse=True)
         found = {}
@@ -236,7 +242,7 @@ def _count(bits: int):
         words, context, both = tokens[mask], np.roll(tokens, 1)[mask], at[mask]
         seen = found[False, "kept"][context]
         share = found[True, "kept"][both] / np.maximum(seen, 1)
-        bins = (context_class(seen) * 512 + _steps(share)) * 512 + _steps(found[False, "kept"][words])
+        bins = (context_class(seen) * 512 + _log_steps(share)) * 512 + _log_steps(found[False, "kept"][words])
         bins, weights = np.unique(bins, return_counts=True)
         row = {k: head[k] for k in ("batch", "ids", "folds", "sizes", "tokens")}
         row |= {"word_counts": _counts(found[False, "all"]), "pair_counts": _counts(found[True, "all"])}
