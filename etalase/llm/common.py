@@ -46,7 +46,7 @@ def lowered(text: str | None) -> bytes:
 class WordHashes(dict):
     """64-bit hash of each word, kept while the table is small."""
 
-    LIMIT = 400_000
+    LIMIT = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -34,7 +34,7 @@ class PieceIds(dict):
     words in turn. The table starts anew when it is full, which bounds its memory.
     """
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
     MARK = "\x01"
 
     def __init__(self, path: str):
