@@ -27,7 +27,7 @@ EDITS = 0.2  # of an item's words, rounded down
 RECALL = 0.95
 DRAWN, DIFFER = 6, 0.3  # steps drawn by a repetition; share of steps that differ at the greatest distance
 BLOCK_ITEMS = 20_000
-CHUNK_WORDS = 1_000_000
+CHUNK_WORDS = 300_000
 STRETCH = 3  # steps of a walk for each word
 MATCHES = "doc_id long, item_id long, distance int, start_word long, n_words int"
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
