@@ -64,14 +64,15 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 200, penalty: f
     if not sets or toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(toxic) else 0.0
         return Model(np.zeros(size, np.float32), float(np.log((share + 0.01) / (1.01 - share))))
-    places = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    counts = [np.bincount(places[toxic[row] == k], minlength=size) + alpha for k in (False, True)]
+    counts = np.full((2, size), alpha)
+    for found, label in zip(sets, toxic, strict=True):
+        counts[int(label), found] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     # Ratios that chance explains say nothing about new texts.
     ratio[np.abs(ratio) < SURE * np.sqrt(1 / counts[0] + 1 / counts[1])] = 0.0
-    keep = ratio[places] != 0
-    places, row = places[keep], row[keep]
+    sets = [found[ratio[found] != 0] for found in sets]
+    places = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     values = ratio[places]
     norm = np.bincount(row, values**2, len(sets))
     rate = 4.0 / max(float(np.percentile(norm, 90)), 1e-9)
@@ -114,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, bound: int = 1000)
 
     found = rows.mapInArrow(run, "doc_id long, toxic int, places binary").collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.places)))
-    sets = [np.frombuffer(r.places, "<i4").astype(np.int64) for r in found]
+    sets = [np.frombuffer(r.places, "<i4") for r in found]
     toxic = np.array([r.toxic == 1 for r in found], bool)
     return fit(sets, toxic)
 
