@@ -138,6 +138,8 @@ QUERIES: dict[str, Query] = {
 
 _BLANK = r"[\x20\x09-\x0D]"
 
+_STOPS = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
+
 _RULES = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
 ORACLE: dict[str, str] = {
@@ -185,4 +187,36 @@ ORACLE: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM cut LEFT JOIN fits USING (page_id)
     """,
+    # Runs of five words as rows; covered words counted once each.
+    "op6_quality_rules": rf"""
+        WITH cut AS (
+            SELECT doc_id, coalesce(text, '') AS t,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '{_BLANK}+'), lambda w: w <> '') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)),
+                    lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), runs AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS run
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM cut)
+        ), twice AS (SELECT doc_id, run FROM runs GROUP BY ALL HAVING count(*) > 1
+        ), covered AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n
+            FROM runs JOIN twice USING (doc_id, run) CROSS JOIN range(5) r(k) GROUP BY doc_id
+        ), counted AS (
+            SELECT doc_id, len(w) AS n_words,
+                CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+                length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')) AS n_symbols,
+                len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+                len(lines) AS n_lines,
+                len(list_filter(w, lambda x: rtrim(lower(x), '.,;:!?') IN ({_STOPS}))) AS stops,
+                len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x)) AS loud
+            FROM cut LEFT JOIN covered USING (doc_id)
+        ), failed AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.2
+                AND stops / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.35 AND loud / n_words <= 0.4 AS kept
+        FROM failed
+    """,
 }
