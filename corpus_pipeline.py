@@ -28,11 +28,14 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows alike in id and text one stays. Rows without an id cannot be named and stay.
     """
+    rows = "_rows"
+    while rows in docs.columns:
+        rows = f"_{rows}"
     groups = jaccard_join.joined(docs)
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows))
     chosen = docs.join(stored(first, "firsts"), "doc_id")
-    single = chosen.where("_rows = 1")
-    repeated = chosen.where("_rows > 1").dropDuplicates(["doc_id", "text"])
+    single = chosen.where(F.col(rows) == 1)
+    repeated = chosen.where(F.col(rows) > 1).dropDuplicates(["doc_id", "text"])
     kept = single.unionByName(repeated).select(*[F.col(c) for c in docs.columns])
     return kept.unionByName(docs.where("doc_id is null"))
 

@@ -181,7 +181,8 @@ def redacted(docs: DataFrame, model: list[float], least: float = LEAST_RATIO, in
 
     Overlapping spans are replaced as one. ``n_chars``, where there is one, follows the text.
     """
-    rows = scanned(docs, model, least)
+    # The columns travel as one, so that none of them can share a name with the spans.
+    rows = scanned(docs.select("text", F.struct(*docs.columns).alias("row")), model, least)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     new = F.aggregate(
         "found",
@@ -197,8 +198,10 @@ def redacted(docs: DataFrame, model: list[float], least: float = LEAST_RATIO, in
         ),
         lambda acc: F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    rows = rows.withColumn("text", F.when(F.size("found") > 0, new).otherwise(F.col("text")))
+    hit = F.size("found") > 0
+    rows = rows.select("row", hit.alias("hit"), F.when(hit, new).otherwise(F.col("text")).alias("text"))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        size = F.when(F.size("found") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
-        rows = rows.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
-    return rows.select(*[F.col(c) for c in docs.columns])
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("hit"), size).otherwise(F.col("row")["n_chars"])
+    return rows.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
