@@ -33,7 +33,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         rows = f"_{rows}"
     groups = jaccard_join.joined(docs)
     first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias(rows))
-    chosen = docs.join(stored(first, "firsts"), "doc_id")
+    # The ids grow with the documents, so they are never sent whole to every task.
+    chosen = docs.join(stored(first, "firsts").hint("merge"), "doc_id")
     single = chosen.where(F.col(rows) == 1)
     repeated = chosen.where(F.col(rows) > 1).dropDuplicates(["doc_id", "text"])
     kept = single.unionByName(repeated).select(*[F.col(c) for c in docs.columns])
