@@ -3,9 +3,8 @@
 After information-theoretic sanitisation: a term reveals a protected value as far as the two are
 informative about each other. With chances from the corpus, PMI(value; term) / IC(value) is the share
 of the value's information that the term gives away: 1 when the term only ever stands by that value.
-Co-occurrence is counted over distinct surroundings of the values (copies of a text count once), the
-terms' own frequency over all documents. Terms above the upper threshold are removed, terms above the
-lower one generalised.
+All counts are over distinct texts (copies of a text count once). Terms above the upper threshold are
+removed, terms above the lower one generalised.
 """
 
 import hashlib
@@ -35,7 +34,7 @@ _EDGE = ".,;:!?\"'()[]{}<>|*#$%&"
 
 NEAR_WORDS, NEAR_CHARACTERS, LEAST_LETTERS = 8, 160, 3
 GENERALISE, REMOVE, LEAST_SURROUNDINGS = 0.6, 0.9, 3
-FILTER_BITS = 20
+FILTER_BITS = PRINT_BITS = 20
 
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 NEAR = "struct<value:string,term:string,start:int,end:int,around:binary>"
@@ -119,7 +118,7 @@ def found(docs: DataFrame) -> DataFrame:
                 text = text or ""
                 spans = base_spans(text)
                 ids.append(doc_id)
-                prints.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest())
+                prints.append(_print(text))
                 base.append([dict(zip(("start", "rank", "kind", "end"), s, strict=True)) for s in spans])
                 near.append(_near(text, spans))
             arrays = [pa.array(ids, pa.int64()), pa.array(prints, pa.binary())]
@@ -130,45 +129,94 @@ def found(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
 
 
-def frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """In how many documents each of ``terms`` (a column term) stands, over all documents.
+def _print(text: str | None) -> bytes:
+    return hashlib.blake2b((text or "").encode("utf-8", "replace"), digest_size=16).digest()
 
-    A bit per hash of a wanted term goes to every task (a fixed 128 KB), which then counts little else.
+
+def _print_place(mark: bytes) -> int:
+    return int.from_bytes(mark[:3], "big") >> (24 - PRINT_BITS)
+
+
+def distinct_texts(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Each different text once (column text); ``prints`` holds the print of every row.
+
+    A bit per hash of a repeated print goes to every task (a fixed 128 KB). Rows whose bit is not set
+    are the only ones of their text and stay where they are; only the others are shuffled.
     """
-    wanted = terms.select("term").distinct()
     ship_package(docs.sparkSession)
+    repeated = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = hashed_words([w.encode("utf-8") for w in batch.column(0).to_pylist()]) >> np.uint64(64 - FILTER_BITS)
-            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64))], ["place"])
+            places = sorted({_print_place(p) for p in batch.column(0).to_pylist()})
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64())], ["place"])
 
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    for row in wanted.mapInArrow(codes, "place long").distinct().collect():
-        bits[row.place] = True
+    bits = np.zeros(1 << PRINT_BITS, bool)
+    bits[repeated.select("print").mapInArrow(codes, "place long").distinct().toArrow().column(0).to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
+    def part(again: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            many = np.unpackbits(shared.value).astype(bool)
+            for batch in batches:
+                marks = [_print(t) for t in batch.column(0).to_pylist()]
+                chosen = pa.array([bool(many[_print_place(m)]) == again for m in marks], pa.bool_())
+                rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], ["text", "print"])
+                yield rows.filter(chosen)
+
+        return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text string, print binary")
+
+    return part(False).unionByName(part(True).dropDuplicates(["print"])).select("text")
+
+
+def frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """In how many rows of ``texts`` each of ``terms`` (a column term) stands.
+
+    A bit per hash of a wanted term goes to every task (a fixed 128 KB), which then counts little else.
+    """
+    wanted = terms.select("term").distinct()
+    shared = _passing(wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes, counts = np.unpackbits(shared.value).astype(bool), Counter()
 
-        def told() -> pa.RecordBatch:
-            columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["term", "n"])
-
         for batch in batches:
             for text in batch.column(0).to_pylist() if passes.any() else ():
                 words = list({w.strip(_EDGE) for w in set(_WORD.findall((text or "").lower()))})
-                hashes = hashed_words([w.encode("utf-8", "replace") for w in words])
-                counts.update(words[i] for i in np.flatnonzero(passes[hashes >> np.uint64(64 - FILTER_BITS)]).tolist())
+                counts.update(_passed(words, passes))
                 if len(counts) > 200_000:
-                    yield told()
+                    yield _told(counts)
                     counts.clear()
-        yield told()
+        yield _told(counts)
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "term string, n long")
+    counted = texts.select(F.col("text").cast("string")).mapInArrow(run, "term string, n long")
     return counted.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term", "left_semi")
 
 
+def _passing(wanted: DataFrame):
+    """A broadcast bit per hash of the terms of ``wanted``."""
+    ship_package(wanted.sparkSession)
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = hashed_words([w.encode("utf-8") for w in batch.column(0).to_pylist()]) >> np.uint64(64 - FILTER_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64))], ["place"])
+
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[wanted.select("term").mapInArrow(codes, "place long").distinct().toArrow().column(0).to_numpy()] = True
+    return wanted.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
+def _passed(words: list[str], passes: np.ndarray) -> list[str]:
+    hashes = hashed_words([w.encode("utf-8", "replace") for w in words])
+    return [words[i] for i in np.flatnonzero(passes[hashes >> np.uint64(64 - FILTER_BITS)]).tolist()]
+
+
+def _told(counts: Counter) -> pa.RecordBatch:
+    columns = [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["term", "n"])
+
+
 def revealing(docs: DataFrame, rows: DataFrame, generalise: float, least: int) -> DataFrame:
     """(value, term, share): terms that give away at least ``generalise`` of a value's information.
 
@@ -178,8 +226,8 @@ def revealing(docs: DataFrame, rows: DataFrame, generalise: float, least: int) -
     values = near.select("value", "around").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
     pairs = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= least)
     pairs = stored(pairs, "pii-pairs")
-    known = pairs.join(values, "value").join(frequencies(docs, pairs), "term")
-    total = F.lit(float(max(rows.count(), 1)))
+    known = pairs.join(values, "value").join(frequencies(distinct_texts(docs, rows), pairs), "term")
+    total = F.lit(float(max(rows.select("print").distinct().count(), 1)))
     term = F.greatest("n_term", "n_both")
     information = F.log2(total / F.col("n_value"))
     mutual = F.log2(F.col("n_both") * total / (F.col("n_value") * term))
@@ -222,7 +270,7 @@ def sanitised(docs: DataFrame, spans: DataFrame) -> DataFrame:
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            marks = [hashlib.blake2b((t or "").encode("utf-8", "replace"), digest_size=16).digest() for t in texts]
+            marks = [_print(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], ["doc_id", "text", "print"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

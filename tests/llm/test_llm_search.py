@@ -178,6 +178,17 @@ def test_terms_by_hand(spark):
     assert got == pytest.approx(wanted)
 
 
+def test_copies_do_not_hide_a_term(spark):
+    """Texts copied many times count once in every count."""
+    texts = [f"{x} {x}{x} Quirinus jane@example.org {x} end{x}" for x in ("aaa", "bbb", "ccc")]
+    rows = [t for t in texts for _ in range(100)] + [f"other text {i}" for i in range(1000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    stored = pii.stored(pii.found(df), "pii-copies")
+    got = {(r.value, r.term): r.share for r in pii.revealing(df, stored, pii.GENERALISE, 3).collect()}
+    assert got == {("email:jane@example.org", "quirinus"): pytest.approx(1.0)}
+    assert Counter(r.text for r in pii.distinct_texts(df, stored).collect()) == Counter(set(rows))
+
+
 def test_pipeline_stages(spark):
     """Each stage against a plain version of what it must keep."""
     docs = table(spark, SF, "documents")
