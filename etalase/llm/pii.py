@@ -3,8 +3,11 @@
 After information-theoretic sanitisation: a term reveals a protected value as far as the two are
 informative about each other. With chances from the corpus, PMI(value; term) / IC(value) is the share
 of the value's information that the term gives away: 1 when the term only ever stands by that value.
-All counts are over distinct texts (copies of a text count once). Terms above the upper threshold are
-removed, terms above the lower one generalised.
+All counts are over distinct texts (copies of a text count once). Pairs are counted over whole texts, and
+beside the values over distinct surroundings; either may find a term. Over whole texts a pair counts when
+chance alone would hardly bring it: its Poisson tail, over all terms tested, must stay below ``CHANCE``.
+Texts that are nearly alike are one piece of evidence there, which min-hashes tell. Terms above the upper
+threshold are removed, terms above the lower one generalised, wherever they stand in a text with the value.
 """
 
 import hashlib
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from etalase.llm.common import documents_of, hashed_words, stored
+from etalase.llm.common import PRIME, documents_of, grams, hashed_words, mixed, stored
 from etalase.sources.workspace import ship_package
 
 # Kinds in their order.
@@ -35,10 +38,12 @@ _EDGE = ".,;:!?\"'()[]{}<>|*#$%&"
 NEAR_WORDS, NEAR_CHARACTERS, LEAST_LETTERS = 8, 160, 3
 GENERALISE, REMOVE, LEAST_SURROUNDINGS = 0.6, 0.9, 3
 FILTER_BITS = PRINT_BITS = 20
+# Terms that chance may bring for a value; min-hashes of a text; pairs a task sends at a time; parts of a large group.
+CHANCE, SKETCHES, SENT, PARTS = 0.05, 4, 20_000, 64
 
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 NEAR = "struct<value:string,term:string,start:int,end:int,around:binary>"
-FOUND = f"doc_id long, print binary, base array<{SPAN}>, near array<{NEAR}>"
+FOUND = f"doc_id long, print binary, base array<{SPAN}>, near array<{NEAR}>, values array<string>, text string"
 _SPAN = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
 _NEAR = pa.struct(
     [("value", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("around", pa.binary())]
@@ -108,12 +113,41 @@ def _near(text: str, spans: list[tuple[int, int, str, int]]) -> list[dict]:
     return out
 
 
+def _terms(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, term) of the words of a text that touch none of ``spans``, which are sorted by start."""
+    i, taken = 0, 0
+    for m in _WORD.finditer(text):
+        word = m[0]
+        a, b = m.end() - len(word.lstrip(_EDGE)), m.start() + len(word.rstrip(_EDGE))
+        if b - a < LEAST_LETTERS:
+            continue
+        while i < len(spans) and spans[i][0] < b:
+            taken = max(taken, spans[i][1])
+            i += 1
+        # A span that began before the word's end and ends behind its start touches it.
+        if taken <= a:
+            yield a, b, text[a:b].lower()
+
+
+def _sketch(text: str) -> list[int]:
+    """For each min-hash of the text's runs of three words, a bit of 64."""
+    words = hashed_words([w.encode("utf-8", "replace") for w in _WORD.findall(text.lower())])
+    runs = grams(words, min(3, max(len(words), 1)))
+    seeds = np.arange(1, SKETCHES + 1, dtype=np.uint64) * PRIME
+    least = [mixed(runs ^ seed).min() if len(runs) else np.uint64(0) for seed in seeds]
+    bits = np.uint64(1) << (mixed(np.array(least, np.uint64)) >> np.uint64(58))
+    return bits.view(np.int64).tolist()
+
+
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, a print of the text, the fixed patterns' spans and the words beside them, of every row."""
+    """doc_id, a print of the text, the fixed patterns' spans and the words beside them, of every row.
+
+    Rows that hold a value have their different values and their text too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prints, base, near = [], [], [], []
+            ids, prints, base, near, values, texts = [], [], [], [], [], []
             for doc_id, text in documents_of(batch, "doc_id", "text"):
                 text = text or ""
                 spans = base_spans(text)
@@ -121,9 +155,12 @@ def found(docs: DataFrame) -> DataFrame:
                 prints.append(_print(text))
                 base.append([dict(zip(("start", "rank", "kind", "end"), s, strict=True)) for s in spans])
                 near.append(_near(text, spans))
+                values.append(sorted({f"{kind}:{text[a:b].lower()}" for a, _, kind, b in spans}))
+                texts.append(text if spans else None)
             arrays = [pa.array(ids, pa.int64()), pa.array(prints, pa.binary())]
             arrays += [pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "print", "base", "near"])
+            arrays += [pa.array(values, pa.list_(pa.string())), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "print", "base", "near", "values", "text"])
 
     ship_package(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, FOUND)
@@ -235,23 +272,132 @@ def revealing(docs: DataFrame, rows: DataFrame, generalise: float, least: int) -
     return share.where(F.col("share") >= generalise).select("value", "term", "share")
 
 
+def _pairs(holders: DataFrame, passing) -> DataFrame:
+    """value, term, n_both and evidence over whole texts, of pairs that stand in two texts at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes, rows = np.unpackbits(passing.value).astype(bool), []
+
+        def sent() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * (2 + SKETCHES)
+            types = [pa.string()] * 2 + [pa.int64()] * SKETCHES
+            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, ["value", "term", *marks])
+
+        for batch in batches:
+            for text, base, values in documents_of(batch, "text", "base", "values"):
+                words = list({t for *_, t in _terms(text, [(x["start"], x["end"]) for x in base])})
+                sketch = _sketch(text)
+                for term in _passed(words, passes):
+                    for value in values:
+                        rows.append((value, term, *sketch))
+                        if len(rows) >= SENT:
+                            yield sent()
+                            rows.clear()
+        yield sent()
+
+    marks = [f"m{k}" for k in range(SKETCHES)]
+    sent = holders.select("text", "base", "values").mapInArrow(
+        run, ", ".join(["value string", "term string", *[f"{m} long" for m in marks]])
+    )
+    counted = sent.groupBy("value", "term").agg(F.count(F.lit(1)).alias("n_both"), *[F.bit_or(m).alias(m) for m in marks])
+    # The second largest, as near copies differ in few of their min-hashes and other texts in nearly all.
+    seen = F.array_sort(F.array(*[F.bit_count(m) for m in marks]))[SKETCHES - 2]
+    return counted.select("value", "term", "n_both", seen.alias("evidence")).where(F.col("evidence") > 1)
+
+
+def disclosing(docs: DataFrame, rows: DataFrame, generalise: float) -> tuple[DataFrame, DataFrame]:
+    """The texts that hold a value, each once, and (value, term, share) of the terms that give one away.
+
+    ``rows`` is ``found(docs)``, stored. A term in more texts than a share of ``generalise`` admits for the
+    most frequent value, or in one text with a value only, cannot pass and is left out beforehand.
+    """
+    holders = rows.where(F.size("values") > 0).select("print", "text", "base", "values").dropDuplicates(["print"])
+    holders = stored(holders, "pii-holders")
+    values = holders.select(F.explode("values").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n_value"))
+    values = stored(values.where(F.col("n_value") > 1), "pii-values")
+    most = values.agg(F.max("n_value")).first()[0] or 0
+    total = float(max(rows.select("print").distinct().count(), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter()
+        for batch in batches:
+            for text, base in documents_of(batch, "text", "base"):
+                counts.update({t for *_, t in _terms(text, [(x["start"], x["end"]) for x in base])})
+                if len(counts) > 200_000:
+                    yield _told(counts)
+                    counts.clear()
+        yield _told(counts)
+
+    # Values of one text take no part.
+    single = holders.select("print", F.explode("values").alias("value")).join(values, "value", "left_semi")
+    single = single.groupBy("print").agg(F.collect_set("value").alias("values"))
+    several = stored(holders.drop("values").join(single, "print"), "pii-several")
+    wanted = several.select("text", "base").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    wanted = stored(wanted.where(F.col("n") > 1).select("term"), "pii-wanted")
+    known = frequencies(distinct_texts(docs, rows), wanted)
+    known = stored(known.where(F.col("n_term") <= total ** (1 - generalise) * max(most, 1) ** generalise), "pii-known")
+    tested = max(known.count(), 1)
+    pairs = _pairs(several, _passing(known)).join(known, "term").join(values, "value")
+    times = F.col("n_both") * total / (F.col("n_value") * F.greatest("n_term", "n_both"))
+    # -log of the Poisson tail at the evidence, where chance would bring 1 / times of it.
+    tail = F.col("evidence") * (F.log(times) - 1 + 1 / times) + 0.5 * F.log(2 * np.pi * F.col("evidence"))
+    information = F.log2(total / F.col("n_value"))
+    share = pairs.withColumn("share", F.when(information > 0, F.log2(times) / information))
+    sure = (times > 1) & (tail >= float(np.log(tested / CHANCE)))
+    return holders, share.where(sure & (F.col("share") >= generalise)).select("value", "term", "share")
+
+
+def _everywhere(holders: DataFrame, reveal: DataFrame) -> DataFrame:
+    """print, start, end and share of every place of a revealing term in the texts that hold its value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for mark, text, base, terms in documents_of(batch, "print", "text", "base", "terms"):
+                shares = {}
+                for t in terms:
+                    shares[t["term"]] = max(shares.get(t["term"], 0.0), t["share"])
+                hits = [(a, b, shares[t]) for a, b, t in _terms(text, [(x["start"], x["end"]) for x in base]) if t in shares]
+                columns = list(zip(*hits, strict=True)) or [()] * 3
+                arrays = [pa.array([mark] * len(hits), pa.binary())]
+                arrays += [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["print", "start", "end", "share"])
+
+    # A frequent value is dealt out by the print too.
+    held = holders.select("print", F.explode("values").alias("value")).withColumn("part", _part())
+    dealt = reveal.groupBy("value").agg(F.collect_list(F.struct("term", "share")).alias("terms"))
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    told = held.join(dealt, ["value", "part"]).groupBy("print").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    return holders.join(told, "print").select("print", "text", "base", "terms").mapInArrow(
+        run, "print binary, start int, end int, share double"
+    )
+
+
+def _part(*more: str) -> Column:
+    return F.pmod(F.xxhash64("print", *more), F.lit(PARTS)).cast("int")
+
+
 def scanned(
     docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, least: int = LEAST_SURROUNDINGS
 ) -> DataFrame:
     """doc_id, print, ``base`` and ``found`` (base and method) of every row: arrays of (start, rank, kind, end).
 
-    Spans of the method have the kind ``term`` and the rank 4 (generalised) or 5 (removed). A null text is
-    empty and has none. Repeated rows each have theirs; null ids stay. Other columns are ignored.
+    Spans of the method have the kind ``term`` and the rank 4 (generalised) or 5 (removed). ``least`` is for
+    terms counted beside the values. A null text is empty and has none. Repeated rows each have theirs; null
+    ids stay. Other columns are ignored.
     """
     rows = stored(found(docs), "pii-found")
-    reveal = revealing(docs, rows, generalise, least)
-    near = rows.select("doc_id", "print", F.explode("near").alias("x")).select("doc_id", "print", "x.*")
-    hits = near.join(reveal, ["value", "term"]).groupBy("doc_id", "print", "start", "end").agg(F.max("share").alias("share"))
+    holders, whole = disclosing(docs, rows, generalise)
+    beside = revealing(docs, rows, generalise, least)
+    reveal = stored(whole.unionByName(beside).groupBy("value", "term").agg(F.max("share").alias("share")), "pii-reveal")
+    hits = _everywhere(holders, reveal).groupBy("print", "start", "end").agg(F.max("share").alias("share"))
     rank = F.when(F.col("share") >= remove, len(KINDS) + 1).otherwise(len(KINDS))
     span = F.struct("start", rank.alias("rank"), F.lit(METHOD).alias("kind"), "end")
-    more = hits.groupBy("doc_id", "print").agg(F.collect_list(span).alias("more"))
-    more = more.select(F.col("doc_id").alias("id"), F.col("print").alias("of"), "more")
-    joined = rows.join(more, (F.col("print") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")), "left")
+    more = hits.groupBy("print").agg(F.collect_list(span).alias("more"))
+    # Copies of a text are dealt out by the row too.
+    more = more.select(F.col("print").alias("of"), "more", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("at"))
+    dealt = rows.select("doc_id", "print", "base").withColumn("part", _part("doc_id"))
+    joined = dealt.join(more, (F.col("print") == F.col("of")) & (F.col("part") == F.col("at")), "left")
     none = F.array().cast(f"array<{SPAN}>")
     every = F.array_sort(F.concat("base", F.coalesce(F.col("more").cast(f"array<{SPAN}>"), none)))
     return joined.select("doc_id", "print", "base", every.alias("found"))

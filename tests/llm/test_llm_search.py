@@ -189,6 +189,20 @@ def test_copies_do_not_hide_a_term(spark):
     assert Counter(r.text for r in pii.distinct_texts(df, stored).collect()) == Counter(set(rows))
 
 
+def test_terms_far_from_their_value(spark):
+    """In the heading and a later paragraph, by a value of two texts; near copies tell nothing."""
+    rng = random.Random(11)
+    some = lambda n: " ".join(rng.choices([f"word{i}" for i in range(60)], k=n))
+    rows = [f"Zebedee {some(40)} zeb@example.org {some(40)}\n\nSigned, (zebedee)." for _ in range(2)]
+    copy = f"Aurelia {some(40)} aurelia@example.org {some(150)}"
+    rows += [copy, f"{copy} word1", f"{copy} word2"] + [f"Signed, {some(60)}" for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = pii.scanned(df)
+    found = spans.select("doc_id", F.explode("found").alias("s")).where("s.kind = 'term'").collect()
+    assert Counter(rows[r.doc_id][r.s.start : r.s.end] for r in found) == {"Zebedee": 2, "zebedee": 2}
+    assert not any("zebedee" in r.text.lower() for r in pii.sanitised(df, spans).collect())
+
+
 def test_pipeline_stages(spark):
     """Each stage against a plain version of what it must keep."""
     docs = table(spark, SF, "documents")
