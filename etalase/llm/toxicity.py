@@ -6,6 +6,7 @@ training texts, times a coefficient that a logistic regression learns on the sca
 every whole text, on the executors, with one array of weights.
 """
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,8 +59,19 @@ def _places(codes: np.ndarray) -> np.ndarray:
     return places[writer[places] == order]
 
 
-def fit(sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 200, penalty: float = 1e-4, alpha: float = 1.0) -> Model:
-    """Log-count ratios, then logistic regression on the scaled features (accelerated gradient steps)."""
+def fit(
+    sets: list[np.ndarray],
+    toxic: np.ndarray,
+    rounds: int = 200,
+    penalty: float = 1e-4,
+    alpha: float = 1.0,
+    shift: float = 0.0,
+) -> Model:
+    """Log-count ratios, then logistic regression on the scaled features (accelerated gradient steps).
+
+    ``shift`` is the log ratio of the true to the sampled odds where the sets are a sample by class; the bias
+    is moved by it, so that scores mean the same at every size.
+    """
     size = 1 << BITS
     if not sets or toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(toxic) else 0.0
@@ -87,7 +99,7 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, rounds: int = 200, penalty: f
         vw = 0.9 * vw - rate * gradient
         vb = 0.9 * vb - error.sum()
         w, b = w + vw, b + vb
-    return Model((w * ratio).astype(np.float32), float(b))
+    return Model((w * ratio).astype(np.float32), float(b + shift))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, bound: int = 1000) -> Model:
@@ -95,8 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, bound: int = 1000)
 
     ``labels`` holds doc_id and toxic (0 or 1; others and nulls are ignored); ``learn`` says,
     by doc_id, which rows may be learnt from. Only the sample is broadcast, so its size is bound.
-    The sample is richer in the rarer class, which moves the threshold towards finding it.
-    Without both classes the score is constant.
+    The sample may be richer in the rarer class; the bias is moved back to the odds of all labels that
+    may be learnt from. Without both classes the score is constant.
     """
     ship_package(docs.sparkSession)
     known = labels.where(learn & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
@@ -117,7 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, bound: int = 1000)
     found.sort(key=lambda r: (r.doc_id, bytes(r.places)))
     sets = [np.frombuffer(r.places, "<i4") for r in found]
     toxic = np.array([r.toxic == 1 for r in found], bool)
-    return fit(sets, toxic)
+    size = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    shift = math.log(size[1] / min(size[1], bound) / (size[0] / min(size[0], bound))) if len(size) == 2 and bound else 0.0
+    return fit(sets, toxic, shift=shift)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -125,6 +125,20 @@ def test_toxicity_finds_insults_and_ignores_labels_of_held_out_rows(spark):
     assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.collect()} == {0}
 
 
+def test_toxicity_keeps_the_true_share(spark):
+    """A bounded sample scores by the odds of all labels, not by its own."""
+    rng = random.Random(4)
+    words = ["bread", "house", "river", "garden", "idiot"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=8))) for i in range(440)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 11 == 0)) for i in range(440)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, F.lit(True), bound=40)
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    clean = labels.where("toxic = 0").orderBy(*order).limit(40)
+    alone = toxicity.train(docs, labels.where("toxic = 1").union(clean), F.lit(True), bound=40)
+    assert (model.weights == alone.weights).all()
+    assert model.bias - alone.bias == pytest.approx(np.log(40 / 400))
+
+
 def test_features_in_pieces(monkeypatch):
     text = odd.LONG[:5000]
     whole = set(toxicity.features(text).tolist())
