@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and character Markov models of random and ordinary strings.
 
 Two first-order models over the characters of tokens are counted from labelled samples of the
-corpus: what the fixed patterns found is random, long runs of letters are ordinary. A long token
+corpus: what the fixed patterns found is random, long runs of letters are ordinary, and so are tokens
+with marks or digits that stand in several different texts outside fixed values. A long token
 whose log-likelihood ratio of the two models passes the threshold is a secret too. Everything is
 built-ins; what reaches the driver are the two tables of character pairs, whose size is fixed.
 """
@@ -31,6 +32,9 @@ NAME = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{12,}(?![A-Za-z0-9+/_=-])"
+# Tokens with a mark or digit (identifiers, paths, dates), ordinary if they stand in so many different texts.
+JOINED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z]*[0-9+/_=-])[A-Za-z0-9+/_=-]{12,}"
+COMMON = 3
 SMOOTHING = 0.5
 # Least log-likelihood ratio of a token: random strings are rarer than one token in 100,000.
 LEAST_RATIO = 12.0
@@ -105,9 +109,25 @@ def cut_out(text: Column, found: Column) -> Column:
     return F.transform(found, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]))
 
 
-def _pairs(tokens: DataFrame) -> DataFrame:
+def _apart(found: Column, base: Column) -> Column:
+    """The spans of ``found`` that touch none of ``base``."""
+    return F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """(label, token, n) of the joined tokens of ``COMMON`` different texts, outside base spans.
+
+    n is the number of those texts, so that copies of a text with a secret tell nothing.
+    """
+    tokens = cut_out(F.col("text"), _apart(spans(F.col("text"), JOINED, 0, METHOD), F.col("found")))
+    each = rows.select(F.xxhash64("text").alias("of"), F.explode(tokens).alias("token")).distinct()
+    counted = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    return counted.select(F.lit(0).alias("label"), "token", "n")
+
+
+def _pairs(tokens: DataFrame, joined: DataFrame) -> DataFrame:
     """Counts of neighbouring characters by label; equal tokens are added up first."""
-    counted = tokens.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n"))
+    counted = tokens.groupBy("label", "token").agg(F.count(F.lit(1)).alias("n")).unionByName(joined)
     at = F.explode(F.sequence(F.lit(1), F.length("token") - 1))
     pairs = counted.where(F.length("token") > 1).select("label", "n", "token", at.alias("at"))
     return pairs.groupBy("label", F.substring("token", F.col("at"), F.lit(2)).alias("pair")).agg(F.sum("n").alias("n"))
@@ -131,7 +151,7 @@ def train(docs: DataFrame) -> list[float]:
     place = {c: i for i, c in enumerate(ALPHABET)}
     n = len(place)
     counts = [[SMOOTHING] * (n * n) for _ in range(2)]
-    for row in _pairs(random.unionByName(ordinary)).collect():
+    for row in _pairs(random.unionByName(ordinary), _joined(rows)).collect():
         if row.pair[0] in place and row.pair[1] in place:
             counts[row.label][place[row.pair[0]] * n + place[row.pair[1]]] += row.n
     sums = [[sum(c[i * n : i * n + n]) for i in range(n)] for c in counts]
@@ -165,9 +185,8 @@ def scanned(docs: DataFrame, model: list[float], least: float = LEAST_RATIO) ->
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("base", base_spans(text))
     tokens = spans(text, TOKEN, len(KINDS), METHOD)
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     likely = lambda s: ratio(F.substring(text, s["start"] + 1, s["end"] - s["start"]), model) >= least
-    more = F.filter(F.filter(tokens, apart), likely)
+    more = F.filter(_apart(tokens, F.col("base")), likely)
     return rows.withColumn("found", F.array_sort(F.concat("base", more)))
 
 

@@ -160,3 +160,21 @@ def test_redaction(spark):
 def test_no_python_in_the_plan(spark, name):
     plan = plan_text(registry.QUERIES[name](spark, SF))
     assert not [word for word in ("Python", "Pandas", "Arrow", "ExistingRDD") if word in plan]
+
+
+def test_joined_words_paths_and_dates_are_ordinary(spark):
+    """Marks and digits are learnt from tokens of several texts; a copied secret is not."""
+    rng = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    make = lambda n: "".join(rng.choices(letters, k=n))
+    parts = ["max", "pool", "size", "well", "known", "page", "some", "connection", "user", "approach", "time", "name"]
+    joined = ["_".join(rng.sample(parts, 4)) for _ in range(30)] + ["-".join(rng.sample(parts, 4)) for _ in range(30)]
+    joined += [f"https//www/20{rng.randrange(10, 25)}/{rng.randrange(10, 13)}/{rng.randrange(10, 29)}/some-page" for _ in range(20)]
+    words = ["information", "configuration", "implementation", "understanding", "representation", "internationalisation"]
+    secret, value = make(32), make(32)
+    learn = [f'token = "{make(30)}" ' + " ".join(rng.choices(words, k=20) + rng.choices(joined, k=20)) for i in range(60)]
+    learn += [f"information {secret}"] * 50
+    model = secret_scans.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"))
+    text = f"max_connection_pool_size well-known-approach https//www/2019/12/17/some-page {value} {secret}"
+    row = secret_scans.scanned(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert [text[s.start : s.end] for s in row.found] == [value, secret]
