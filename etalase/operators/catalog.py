@@ -74,7 +74,9 @@ def page(products: DataFrame, limit: int = 10, number: int = 1) -> DataFrame:
         place = F.col("position")
         wanted = (place >= (number - 1) * limit) & (place < number * limit)
         return page_index(products).where(wanted).orderBy("position").select(*SUMMARY)
-    return all_products(products).offset((number - 1) * limit).limit(limit)
+    # The order of the index, so that rows of one id keep their places at every depth.
+    rows = summary(products).orderBy(F.asc_nulls_first("product_id"), row_key())
+    return rows.offset((number - 1) * limit).limit(limit)
 
 
 def page_after(

@@ -196,3 +196,15 @@ def test_page_after_a_row_of_a_repeated_id(ten):
         seen += [(r.product_id, r.key) for r in rows]
         last = seen[-1]
     assert len(seen) == len(set(seen)) == 20 and [i for i, _ in seen] == sorted(i for i, _ in seen)
+
+
+def test_pages_of_one_repeated_id_meet_at_every_depth(spark, monkeypatch):
+    """Each row comes once, whichever way a page is cut."""
+    names = [("same", f"Item {i}") for i in range(30)]
+    random.Random(1).shuffle(names)
+    table = products(spark, names).repartition(7)
+    monkeypatch.setattr(catalog, "DEEP", 12)
+    got = [r.product_name for n in range(1, 7) for r in catalog.page(table, 5, n).collect()]
+    assert sorted(got) == sorted(name for _, name in names)
+    wanted = table.orderBy("product_id", catalog.row_key()).collect()
+    assert got == [r.product_name for r in wanted]
