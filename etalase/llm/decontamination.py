@@ -4,16 +4,17 @@ Distances are counted in words (lower case, ASCII marks left out). The CGK embed
 sequence: at each step it writes down the present word and, by a random bit of step and word, stays or
 moves on. Sequences a few edits apart mostly write the same, so edit distance becomes Hamming distance.
 Each repetition draws its own walk and its own steps; windows of an item's size that agree with the item
-on the drawn steps are candidates. The number of repetitions follows from the recall asked for. The exact
+on the drawn steps are candidates. The number of repetitions follows, size by size, from the recall asked
+for at the greatest distance and from simulated walks of insertions, deletions and substitutions. The exact
 edit distance of the item to the nearest passage that starts with the window then decides.
 
 Only windows that can be near an item are embedded: one with at most k edits keeps all but 2k of the
 item's word pairs, among them some in a row. This drops no match.
 """
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,10 @@ from etalase.sources.workspace import ship_package
 
 EDITS = 0.2  # of an item's words, rounded down
 RECALL = 0.95
-DRAWN, DIFFER = 6, 0.3  # steps drawn by a repetition; share of steps that differ at the greatest distance
-BLOCK_ITEMS = 20_000
+DRAWN = 3  # steps drawn by a repetition
+TRIALS, WALKS, MOST = 60, 8, 4096  # simulated pairs of each kind of edit, walks of a pair; repetitions at most
+BLOCK_ITEMS, BLOCK_WORDS = 20_000, 1_000_000
+SLICE = 4_000_000  # numbers that a step of the search holds in one array
 CHUNK_WORDS = 300_000
 STRETCH = 3  # steps of a walk for each word
 MATCHES = "doc_id long, item_id long, distance int, start_word long, n_words int"
@@ -43,8 +46,60 @@ def _edits(size: int, share: float) -> int:
     return int(share * size + 1e-9)
 
 
-def repetitions(recall: float = RECALL, drawn: int = DRAWN, differ: float = DIFFER) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** drawn))
+def _spread(words: np.ndarray) -> np.ndarray:
+    h = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _bits(seed: int, step: int, spread: np.ndarray) -> np.ndarray:
+    """The walk's bit (0 or 1) of each spread word, by repetition and step: a multiply-shift hash."""
+    a, b = _spread(np.array([(seed * 1_000_003 + step) * 2 + 1, (seed * 1_000_003 + step) * 2 + 2], np.int64))
+    return ((spread * (a | np.uint64(1)) + b) >> np.uint64(63)).view(np.int64)
+
+
+def _agreeing(size: int, edits: int, kind: int, walk: int) -> np.ndarray:
+    """Share of steps where walks of an item and of a copy with so many edits write the same, by trial.
+
+    ``kind`` is 0 for substitutions, 1 for insertions, 2 for deletions. Every trial has words of its own.
+    """
+    random = np.random.default_rng([size, edits, kind])
+    pair = np.zeros((2, TRIALS, STRETCH * size + 1), np.int64)
+    fresh = iter(range(2 * size * TRIALS + 1, 1 << 62))
+    for trial in range(TRIALS):
+        item = [trial * size + i + 1 for i in range(size)]
+        copy = list(item)
+        if kind == 1:
+            for at in random.integers(0, size, edits).tolist():
+                copy.insert(at, next(fresh))
+        else:
+            for at in sorted(random.choice(size, edits, replace=False).tolist(), reverse=True):
+                copy[at : at + 1] = [next(fresh)] if kind == 0 else []
+        copy += [next(fresh) for _ in range(size - len(copy))]
+        pair[0, trial, :size], pair[1, trial, :size] = item, copy[:size]
+    rows, at = np.arange(TRIALS), np.zeros((2, TRIALS), np.int64)
+    same = np.zeros(TRIALS)
+    for step in range(STRETCH * size):
+        seen = [pair[i, rows, at[i]] for i in (0, 1)]
+        same += seen[0] == seen[1]
+        for i in (0, 1):
+            at[i] += _bits(walk, step, _spread(seen[i]))
+    return same / (STRETCH * size)
+
+
+@cache
+def repetitions(size: int, share: float = EDITS, recall: float = RECALL, drawn: int = DRAWN) -> int:
+    """Repetitions that find an item of ``size`` words at its greatest distance, whatever the kind of edit.
+
+    Sizes above 64 words are rounded up to three to four bits, as they need about the same number.
+    """
+    if size > 64:
+        unit = 1 << (size.bit_length() - 4)
+        size = -(-size // unit) * unit
+    k = _edits(size, share)
+    # Each repetition walks anew, so a pair's chance is its mean over walks.
+    chances = [np.mean([_agreeing(size, k, kind, w) ** drawn for w in range(WALKS)], axis=0) for kind in range(3)]
+    enough = lambda times: all(np.mean(1 - (1 - c) ** times) >= recall for c in chances)
+    return next((times for times in range(1, MOST) if enough(times)), MOST)
 
 
 @dataclass
@@ -59,7 +114,7 @@ class Index:
     run: int  # words in a row that every match shares with its item
     runs: np.ndarray  # bit per hash of such a run of an item
     classes: dict[int, list[int]]  # items by size
-    walks: np.ndarray = field(repr=False)  # bit by repetition, step and word
+    seed: int  # of the walks
     steps: dict[int, np.ndarray] = field(repr=False)  # drawn steps by size: repetition, number
     keys: dict[int, np.ndarray] = field(repr=False)  # keys by size: repetition, item
 
@@ -99,29 +154,40 @@ def build(rows: list[tuple[int | None, str | None]], edits: float = EDITS, recal
     runs = np.zeros(1 << _PAIR_BITS, bool)
     for item in items:
         runs[_run_codes(item, np.arange(len(item) - run + 1), run)] = True
-    random, times = np.random.default_rng(seed), repetitions(recall)
-    longest = STRETCH * max(classes, default=1)
-    walks = random.random((times, longest, len(words) + 1)) < 0.5
-    steps = {n: random.integers(0, STRETCH * n, (times, DRAWN)) for n in sorted(classes)}
-    index = Index(ids, items, words, edits, pairs, run, runs, classes, walks, steps, {})
+    random = np.random.default_rng(seed)
+    steps = {n: random.integers(0, STRETCH * n, (repetitions(n, edits, recall), DRAWN)) for n in sorted(classes)}
+    index = Index(ids, items, words, edits, pairs, run, runs, classes, seed << 16, steps, {})
     for n, members in classes.items():
         texts = np.concatenate([items[i] for i in members])
-        written = embedded(texts, np.arange(len(members)) * n, index, STRETCH * n)
-        index.keys[n] = np.stack([_keys(w, index.steps[n][r], n) for r, w in enumerate(written)])
+        keys = []
+        for part in _slices(np.arange(len(members)) * n, STRETCH * n):
+            written = embedded(texts, part, index, STRETCH * n, len(steps[n]))
+            keys.append(np.stack([_keys(w, steps[n][r], n) for r, w in enumerate(written)]))
+        index.keys[n] = np.concatenate(keys, axis=1)
     return index
 
 
-def embedded(text: np.ndarray, starts: np.ndarray, index: Index, steps: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _slices(rows: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """``rows`` in parts that make at most ``SLICE`` numbers of ``width`` each."""
+    size = max(1, SLICE // max(width, 1))
+    for begin in range(0, len(rows), size):
+        yield rows[begin : begin + size]
+
+
+def embedded(
+    text: np.ndarray, starts: np.ndarray, index: Index, steps: int, times: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each repetition the words written from each start, and how far the walk was; step by start."""
     padded = np.append(text, np.zeros(steps + 1, np.int64))
-    for walk in index.walks:
+    spread = _spread(padded)
+    for r in range(times):
         at = np.zeros((steps, len(starts)), np.int32)
         word = np.zeros((steps, len(starts)), np.int32)
         offset = np.zeros(len(starts), np.int64)
         for t in range(steps):
             seen = padded[starts + offset]
             at[t], word[t] = offset, seen
-            offset = offset + walk[t, seen]
+            offset = offset + _bits(index.seed + r, t, spread[starts + offset])
         yield word, at
 
 
@@ -193,50 +259,65 @@ def _search(text: np.ndarray, ends: np.ndarray, index: Index) -> Iterator[tuple[
         k = _edits(n, index.edits)
         pairs = counted[starts + np.maximum(np.minimum(n + k, room) - 1, 0)] - counted[starts]
         able[n] = np.flatnonzero((pairs >= n - 1 - 2 * k) & (room >= n - k) & (room > 0))
-    chosen = np.unique(np.concatenate(list(able.values())))
-    if not len(chosen):
-        return
+    candidates = {n: [np.empty(0, np.int64)] for n in index.classes}
     place = np.full(len(starts), -1)
-    place[chosen] = np.arange(len(chosen))
-    candidates: dict[int, set[tuple[int, int]]] = {n: set() for n in index.classes}
-    for r, written in enumerate(embedded(text, starts[chosen], index, STRETCH * longest)):
-        for n, rows in able.items():
-            if len(rows):
-                # A text's closing 0 and what follows are past the window, as in an item's own walk.
-                sizes = np.minimum(n, room[rows])
-                keys = _keys(written, index.steps[n][r], sizes, place[rows])
-                hit, item = np.nonzero(keys[:, None] == index.keys[n][r][None, :])
-                candidates[n].update(zip(rows[hit].tolist(), item.tolist(), strict=True))
+    # Sizes up to twice each other are walked together, each group for its own windows only.
+    for band in sorted({n.bit_length() for n in index.classes}):
+        sizes_of = [n for n in index.classes if n.bit_length() == band and len(able[n])]
+        if not sizes_of:
+            continue
+        longest, times = STRETCH * max(sizes_of), max(len(index.steps[n]) for n in sizes_of)
+        for part in _slices(np.unique(np.concatenate([able[n] for n in sizes_of])), longest):
+            place[:] = -1
+            place[part] = np.arange(len(part))
+            mine = {n: able[n][place[able[n]] >= 0] for n in sizes_of}
+            for r, written in enumerate(embedded(text, starts[part], index, longest, times)):
+                for n, rows in mine.items():
+                    if len(rows) and r < len(index.steps[n]):
+                        # A text's closing 0 and what follows are past the window, as in an item's own walk.
+                        keys = _keys(written, index.steps[n][r], np.minimum(n, room[rows]), place[rows])
+                        hit, item = _equal(keys, index.keys[n][r])
+                        candidates[n].append(np.unique(rows[hit] * len(index.classes[n]) + item))
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for n, found in candidates.items():
-        if not found:
-            continue
-        rows, item = np.array(sorted(found)).T
         k = _edits(n, index.edits)
-        inside = np.arange(n + k) < room[rows][:, None]
-        places = np.where(inside, starts[rows][:, None] + np.arange(n + k), 0)
-        windows = np.where(inside, text[places], 0).astype(np.int32)
-        items = np.stack([index.items[i] for i in index.classes[n]]).astype(np.int32)[item]
-        far = np.concatenate([distances(w, x) for w, x in _parts(windows, items)])
-        for row, i, d, s in zip(rows.tolist(), item.tolist(), far.tolist(), starts[rows].tolist(), strict=True):
-            if d <= k:
-                owner = int(limit[row])
-                key = (owner, index.classes[n][i])
-                first = int(ends[owner - 1]) if owner else 0
-                best[key] = min(best.get(key, (1 << 30, 0)), (d, s - first))
+        for part in _slices(np.unique(np.concatenate(found)), n + k):
+            rows, item = np.divmod(part, len(index.classes[n]))
+            inside = np.arange(n + k) < room[rows][:, None]
+            places = np.where(inside, starts[rows][:, None] + np.arange(n + k), 0)
+            windows = np.where(inside, text[places], 0).astype(np.int32)
+            items = np.stack([index.items[index.classes[n][i]] for i in item.tolist()]).astype(np.int32)
+            far = np.concatenate([distances(w, x) for w, x in _parts(windows, items)])
+            for row, i, d, s in zip(rows.tolist(), item.tolist(), far.tolist(), starts[rows].tolist(), strict=True):
+                if d <= k:
+                    owner = int(limit[row])
+                    key = (owner, index.classes[n][i])
+                    first = int(ends[owner - 1]) if owner else 0
+                    best[key] = min(best.get(key, (1 << 30, 0)), (d, s - first))
     for (owner, i), (d, start) in sorted(best.items()):
         yield owner, i, d, start
 
 
+def _equal(keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all equal pairs."""
+    order = np.argsort(others, kind="stable")
+    low, high = (np.searchsorted(others[order], keys, side) for side in ("left", "right"))
+    size = high - low
+    hit = np.repeat(np.arange(len(keys)), size)
+    within = np.arange(len(hit)) - np.repeat(np.cumsum(size) - size, size)
+    return hit, order[low[hit] + within]
+
+
 def _parts(windows: np.ndarray, items: np.ndarray, rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for begin in range(0, len(items), rows):
         yield windows[begin : begin + rows], items[begin : begin + rows]
 
 
 def indexes(benchmark: DataFrame, edits: float, recall: float) -> Iterator[Index]:
-    """Indexes of blocks of about ``BLOCK_ITEMS`` items, which is what a task holds at a time."""
+    """Indexes of blocks of about ``BLOCK_ITEMS`` items or ``BLOCK_WORDS`` words, which is what a task holds at a time."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(F.split("text", r"\s+"))).alias("words")).first()
+    blocks = max(1, -(-size.n // BLOCK_ITEMS), -(-(size.words or 0) // BLOCK_WORDS))
     for block in range(blocks):
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         yield build(sorted(((r.item_id, r.text) for r in mine.collect()), key=repr), edits, recall)

@@ -76,6 +76,33 @@ def test_search_reaches_its_recall():
     assert exact and all(got[k] == 0 for k in exact)
 
 
+@pytest.mark.parametrize("kind", range(3))
+@pytest.mark.parametrize("size", [20, 40, 60, 100])
+def test_recall_at_the_bound(kind, size):
+    """Items with exactly k substitutions, insertions or deletions."""
+    rng = random.Random(kind * 1000 + size)
+    items = [[f"w{i}x{j}" for j in range(size)] for i in range(60)]
+    texts = []
+    for item in items:
+        words = list(item)
+        for at in sorted(rng.sample(range(size), size // 5), reverse=True):
+            words[at : at + 1] = [["zz"], [words[at], "zz"], []][kind]
+        texts.append(" ".join(["aa", *words, "bb"]))
+    index = decontamination.build([(i, " ".join(x)) for i, x in enumerate(items)])
+    got = {(t, i) for t, i, *_ in decontamination.search(texts, index)}
+    assert sum((i, i) in got for i in range(len(items))) >= 0.93 * len(items)
+
+
+def test_a_very_long_item():
+    """Its walks are not a table of steps and words, and short items are not walked to its length."""
+    words = [f"v{i}" for i in range(2000)]
+    short = [" ".join(f"s{i}x{j}" for j in range(20)) for i in range(50)]
+    index = decontamination.build([(0, " ".join(words)), *enumerate(short, 1)])
+    assert sum(k.nbytes for k in index.keys.values()) < 1_000_000
+    got = {(t, i): d for t, i, d, _ in decontamination.search([f"one {short[3]} two", " ".join(["a", *words, "b"])], index)}
+    assert got == {(0, 4): 0, (1, 0): 0}
+
+
 def test_vectorised_distances():
     rng = np.random.default_rng(0)
     a, b = rng.integers(1, 4, (200, 9)), rng.integers(1, 4, (200, 7))
