@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from etalase.llm import (
+    byte_bpe,
     decontamination,
+    hard_negatives,
     jaccard_join,
     lm_scoring,
     packing,
@@ -14,6 +16,7 @@ from etalase.llm import (
     quality_crf,
     quality_rules,
     secret_scans,
+    spelling,
     toxicity,
     url_filters,
 )
@@ -120,6 +123,38 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=97)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encoded(docs, path, public_tokenizers.PATTERN)
+    back = byte_bpe.decoded(
+        coded.select(
+            "doc_id",
+            F.size("ids").cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+            "ids",
+        ),
+        path,
+    )
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    number = lambda x: x.cast("double")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(256 * number(x)))
+    vectors = rows.where(finite).select(F.col("vec_id").alias("id"), moved.alias("label"), whole.alias("vector"))
+    return hard_negatives.mined(vectors, F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in [
@@ -133,6 +168,9 @@ QUERIES: dict[str, Query] = {
         op8_quality_classifier,
         op9_secret_scans,
         op10_pii,
+        op11_spelling_variants,
+        op12_byte_bpe,
+        op13_hard_negatives,
     ]
 }
 
