@@ -14,6 +14,7 @@ joins the bytes of the ids.
 import base64
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,7 +30,7 @@ from etalase.llm.common import stored
 FREQUENT_WORDS = 1 << 17
 # Longer words are not kept in tables.
 KEPT_BYTES = 64
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 _SLOTS = 1 << 16
 _ROWS = 256
 
@@ -46,12 +47,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return ranks
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", frequent: int = FREQUENT_WORDS) -> DataFrame:
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# For patterns that let a word begin with one blank and keep other white space apart: stretches
+# between blanks. Such a pattern cuts each stretch alike, whatever stands around it.
+STRETCHES = rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+
+
+def encoded(
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    text: str = "text",
+    out: str = "ids",
+    frequent: int = FREQUENT_WORDS,
+    coarse: str | None = None,
+) -> DataFrame:
     """``docs`` with the ids of ``text`` as array<int> in ``out``, row by row.
 
     A null text counts as empty and has no ids. All other columns stay; a column that is
     called like ``out`` is replaced. ``path``: a rank file; ``pattern``: what one word is,
     in the syntax of the regex package; words cover the text that the pattern covers.
+    ``coarse``: a faster pattern of the re package that cuts the text into stretches which
+    ``pattern`` cuts the same way alone as within the text (``STRETCHES`` for the usual ones).
     """
     context = docs.sparkSession.sparkContext
     ranks = read_ranks(path)
@@ -60,7 +77,8 @@ def encoded(docs: DataFrame, path: str, pattern: str, text: str = "text", out: s
     others = [c for c in docs.columns if c != out]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = regex.compile(pattern), Words(*shared.value)
+        cut = re.compile(coarse) if coarse else regex.compile(pattern)
+        known = Words(*shared.value, regex.compile(pattern) if coarse else None)
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(start, _ROWS)
@@ -105,24 +123,31 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
 
 class Words(dict):
-    """Ids of words as little-endian 32-bit bytes: the frequent ones, and some that came by."""
+    """Ids of words as little-endian 32-bit bytes: the frequent ones, and some that came by.
+
+    With a pattern, what is asked for is a stretch of words, and the pattern cuts it.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], frequent: dict[str, bytes]):
+    def __init__(self, ranks: dict[bytes, int], frequent: dict[str, bytes], pattern: regex.Pattern | None = None):
         super().__init__(frequent)
-        self.ranks, self.frequent = ranks, frequent
+        self.ranks, self.frequent, self.pattern = ranks, frequent, pattern
 
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else [self.ranks[p] for p in merged(raw, self.ranks)]
-        packed = np.array(ids, "<i4").tobytes()
-        if len(raw) <= KEPT_BYTES:
+    def __missing__(self, stretch: str) -> bytes:
+        words = self.pattern.findall(stretch) if self.pattern else [stretch]
+        packed = self.word(stretch) if words == [stretch] else b"".join([self.get(w) or self.word(w) for w in words])
+        if len(stretch) <= KEPT_BYTES:
             if len(self) >= REMEMBERED + len(self.frequent):
                 self.clear()
                 self.update(self.frequent)
-            self[word] = packed
+            self[stretch] = packed
         return packed
 
+    def word(self, word: str) -> bytes:
+        raw = word.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(raw)
+        ids = [whole] if whole is not None else [self.ranks[p] for p in merged(raw, self.ranks)]
+        return np.array(ids, "<i4").tobytes()
+
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The tokens of one word. A heap holds the joinable pairs, so long words take no square of steps."""
@@ -149,14 +174,16 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 def _merged_short(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    tokens, never = [word[i : i + 1] for i in range(len(word))], len(ranks) + max(ranks.values())
-    while len(tokens) > 1:
-        joined = [ranks.get(a + b, never) for a, b in zip(tokens, tokens[1:], strict=False)]
-        best = min(joined)
-        if best == never:
-            break
+    tokens, rank, never = [word[i : i + 1] for i in range(len(word))], ranks.get, float("inf")
+    joined = [rank(word[i : i + 2], never) for i in range(len(word) - 1)]
+    while joined and (best := min(joined)) != never:
         at = joined.index(best)
-        tokens[at : at + 2] = [tokens[at] + tokens[at + 1]]
+        tokens[at] += tokens.pop(at + 1)
+        del joined[at]
+        if at:
+            joined[at - 1] = rank(tokens[at - 1] + tokens[at], never)
+        if at < len(joined):
+            joined[at] = rank(tokens[at] + tokens[at + 1], never)
     return tokens
 
 

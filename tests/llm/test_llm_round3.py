@@ -112,8 +112,8 @@ RANKS = byte_bpe.read_ranks(PATH)
 TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
-def checked(spark, docs, frequent):
-    coded = byte_bpe.encoded(docs, PATH, public_tokenizers.PATTERN, frequent=frequent)
+def checked(spark, docs, frequent, coarse=byte_bpe.STRETCHES):
+    coded = byte_bpe.encoded(docs, PATH, public_tokenizers.PATTERN, frequent=frequent, coarse=coarse)
     assert set(coded.columns) == {*docs.columns, "ids"}
     for r in coded.select("text", "ids").collect():
         assert r.ids == TIKTOKEN.encode_ordinary(r.text or "")
@@ -134,6 +134,7 @@ def test_encoding_of_every_kind_of_character(spark):
     texts = ["".join(draw.choices(kinds, k=40)) for _ in range(300)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     checked(spark, docs, 1 << 17)
+    checked(spark, docs, 0, None)
 
 
 def test_the_fold_in_spark_merges_as_the_tasks_do(spark):
