@@ -131,10 +131,12 @@ class Words(dict):
     def __init__(self, ranks: dict[bytes, int], frequent: dict[str, bytes], pattern: regex.Pattern | None = None):
         super().__init__(frequent)
         self.ranks, self.frequent, self.pattern = ranks, frequent, pattern
+        self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
 
     def __missing__(self, stretch: str) -> bytes:
         words = self.pattern.findall(stretch) if self.pattern else [stretch]
-        packed = self.word(stretch) if words == [stretch] else b"".join([self.get(w) or self.word(w) for w in words])
+        # A word is remembered by itself too, as it comes with other marks around it.
+        packed = self.word(stretch) if words == [stretch] else b"".join(map(self.__getitem__, words))
         if len(stretch) <= KEPT_BYTES:
             if len(self) >= REMEMBERED + len(self.frequent):
                 self.clear()
@@ -144,9 +146,7 @@ class Words(dict):
 
     def word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
-        whole = self.ranks.get(raw)
-        ids = [whole] if whole is not None else [self.ranks[p] for p in merged(raw, self.ranks)]
-        return np.array(ids, "<i4").tobytes()
+        return self.packed.get(raw) or b"".join(map(self.packed.__getitem__, merged(raw, self.ranks)))
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
