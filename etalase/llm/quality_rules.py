@@ -90,8 +90,7 @@ def measured(docs: DataFrame, width: int = 5) -> DataFrame:
     hashed = base.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn("runs", _windows(width))
     bare = lambda w: F.rtrim(F.lower(w), F.lit(".,;:!?"))
     loud = lambda w: (F.upper(w) == w) & (F.lower(w) != w)
-    return hashed.select(
-        "doc_id",
+    counts = F.struct(
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -104,6 +103,9 @@ def measured(docs: DataFrame, width: int = 5) -> DataFrame:
         F.size(F.filter("words", lambda w: bare(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         F.size(F.filter("words", loud)).cast("long").alias("n_loud_words"),
     )
+    # Given out by a generator, which no filter on the counts passes: it would be worked out
+    # below, once for every use of a word inside the functions above.
+    return hashed.select("doc_id", F.inline(F.array(counts)))
 
 
 def metrics() -> dict[str, Column]:
