@@ -44,20 +44,23 @@ def clean_products(raw: DataFrame) -> DataFrame:
         *[strip(F.col(c)).alias(c) for c in TEXTS],
         *[whole_number(F.col(c)).alias(c) for c in WHOLE_NUMBERS],
         decimal_number(F.col("rating")).alias("rating"),
+        # A function over an array keeps this step out of whole-stage code. In there it would be
+        # one method, too long for the JVM to optimize, and would take several times as long;
+        # outside, Spark cuts the expressions into short methods.
+        F.array_compact(F.array(F.when(F.col("URL").isNull(), F.lit("product_id")))).alias("_missing"),
     )
     typed = found.select(
         "product_id",
         *TEXTS,
         *[F.when(F.col(c) != "", F.col(c).try_cast(kind)).alias(c) for c, kind in kinds.items()],
         *[F.col(c).alias(f"_{c}") for c in kinds],
+        "_missing",
     )
     problems = [
         F.when(F.col(f"_{c}").isNotNull() & F.col(c).isNull(), F.lit(c)) for c in kinds
     ]
-    problems.append(F.when(F.col("product_id").isNull(), F.lit("product_id")))
-    return typed.select(
-        "product_id", *TEXTS, *kinds, F.array_compact(F.array(*problems)).alias("problems")
-    )
+    problems = F.concat(F.array_compact(F.array(*problems)), "_missing")
+    return typed.select("product_id", *TEXTS, *kinds, problems.alias("problems"))
 
 
 # Words behind a number that change what it counts.
