@@ -1,10 +1,21 @@
 """Products most similar to one product."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from etalase.functions.vectors import cosine, norm
+from etalase.operators.neighbours import _matrix
 from etalase.schemas import SIMILAR
+from etalase.sources.workspace import materialize
+
+# Vectors of one product that travel as one value to where the other rows are read.
+FEW = 64
+# Rows of a block, and of a tile that is compared at a time.
+BLOCK_ROWS = 16_384
+TILE_ROWS = 1024
 
 
 def similar_products(
@@ -16,13 +27,8 @@ def similar_products(
     id gives no rows. Vectors without a direction are no neighbours. Ids that repeat in
     either table multiply, as in a join.
     """
-    # Tagged, so that equal rows of the feature table stay apart below.
-    scored = score(features, product_id, k).withColumn(
-        "_row", F.monotonically_increasing_id()
-    )
     # Rank on the narrow columns first, then fetch the wide ones of the winners.
-    narrow = _ranked(scored, details.select("product_id", "rating", "jumlah_terjual"), k)
-    winners = narrow.select("product_id", "cosine_similarity", "_row").distinct()
+    winners = _nearest(features, product_id, k, details).drop("rating", "jumlah_terjual").distinct()
     # At most k rows, so the broadcast has a fixed size bound.
     return _ranked(F.broadcast(winners), details, k).select(*SIMILAR)
 
@@ -35,12 +41,7 @@ def similar_topk_first(
     A neighbour without a detail row still takes one of the ``k`` places, so
     fewer rows may come back.
     """
-    top = (
-        score(features, product_id, k)
-        .orderBy(F.desc_nulls_last("cosine_similarity"), F.asc("product_id"))
-        .limit(k)
-        .where(F.col("cosine_similarity").isNotNull())
-    )
+    top = _nearest(features, product_id, k, None).select("product_id", "cosine_similarity")
     # At most k rows.
     return (
         details.select("product_id", "product_price", "product_name")
@@ -49,6 +50,105 @@ def similar_topk_first(
     )
 
 
+def _nearest(features: DataFrame, product_id: str, k: int, details: DataFrame | None) -> DataFrame:
+    """The ``k`` best pairs of another row and one of the product's vectors, narrow columns only.
+
+    A product with a few vectors meets the others where they are read; one with many, which
+    may be a third of the table, meets them block by block. With ``details`` a pair needs a
+    detail row and ranks by its columns too. ``_row`` and ``_pair`` tell equal pairs apart.
+    """
+    mine = features.where((F.col("product_id") == product_id) & F.col("features_vector").isNotNull())
+    if mine.select("product_id").limit(FEW + 1).count() <= FEW:
+        pairs = score(features, product_id, k)
+        pairs = pairs.withColumns({"_row": F.monotonically_increasing_id(), "_pair": F.lit(0).cast("long")})
+        pairs = _with_keys(pairs, details)
+    else:
+        pairs = _block_pairs(features, product_id, k, details)
+    return _top(pairs, k)
+
+
+def _with_keys(rows: DataFrame, details: DataFrame | None) -> DataFrame:
+    if details is None:
+        return rows.withColumns({c: F.lit(None).cast("double") for c in ("rating", "jumlah_terjual")})
+    return rows.join(details.select("product_id", "rating", "jumlah_terjual"), "product_id")
+
+
+def _block_pairs(features: DataFrame, product_id: str, k: int, details: DataFrame | None) -> DataFrame:
+    """The ``k`` best pairs of every block of other rows and block of the product's vectors."""
+    vector = F.col("features_vector").cast("array<double>").alias("vector")
+    rows = features.select("product_id", vector).where(F.col("vector").isNotNull())
+    same = F.col("product_id") == product_id
+    copies = F.least(F.count("*"), F.lit(k)).cast("long").alias("copies")
+    targets = rows.where(same).groupBy("vector").agg(copies)
+    targets = materialize(targets.withColumn("target", F.monotonically_increasing_id()), "target-vectors")
+    low, high, others = rows.agg(F.min(F.size("vector")), F.max(F.size("vector")), F.count_if(~same)).collect()[0]
+    if low != high:
+        raise ValueError(f"vectors of different size: {low} and {high}")
+    t_blocks, o_blocks = (max(1, -(-n // BLOCK_ROWS)) for n in (targets.count(), others))
+
+    def dealt(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, every)
+
+    held = rows.where(~same).withColumn("_row", F.monotonically_increasing_id())
+    held = _with_keys(held, details).withColumns(
+        {c: F.col(c).cast("double") for c in ("rating", "jumlah_terjual")}
+    )
+    left = dealt(targets, "target", "tb", t_blocks, "ob", o_blocks).groupBy("tb", "ob")
+    right = dealt(held, "_row", "ob", o_blocks, "tb", t_blocks).groupBy("tb", "ob")
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        return _best_pairs(asked, held, k)
+
+    return left.cogroup(right).applyInArrow(best, _PAIR)
+
+
+_PAIR = "product_id string, cosine_similarity float, rating double, jumlah_terjual double, _row long, _pair long"
+
+
+def _best_pairs(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """Best pairs of two blocks, tile by tile; only the ``k`` best so far are kept."""
+    rating = pc.if_else(pc.is_nan(held["rating"]), float("inf"), held["rating"])
+    order = pc.sort_indices(
+        pa.table([rating, held["jumlah_terjual"], held["product_id"]], names=["rating", "sold", "id"]),
+        sort_keys=[("rating", "descending"), ("sold", "descending"), ("id", "ascending")],
+        null_placement="at_end",
+    )
+    held = held.take(order)
+    best = np.empty(0, "float32"), np.empty(0, "int64"), np.empty(0, "int64")
+    if asked.num_rows and held.num_rows:
+        ours, theirs = _matrix(asked["vector"]), _matrix(held["vector"])
+        lengths = np.linalg.norm(ours, axis=1), np.linalg.norm(theirs, axis=1)
+        for i in range(0, len(ours), TILE_ROWS):
+            for j in range(0, len(theirs), TILE_ROWS):
+                mine, other = slice(i, i + TILE_ROWS), slice(j, j + TILE_ROWS)
+                with np.errstate(all="ignore"):
+                    tile = ours[mine] @ theirs[other].T
+                    tile = (tile / np.outer(lengths[0][mine], lengths[1][other])).astype("float32").ravel()
+                able = np.flatnonzero(np.isfinite(tile))
+                if len(able) > k:
+                    least = np.partition(tile[able], len(able) - k)[len(able) - k]
+                    able = able[tile[able] >= least]
+                width = len(theirs[other])
+                best = [np.concatenate(c) for c in zip(best, (tile[able], j + able % width, i + able // width), strict=True)]
+                first = np.lexsort((best[2], best[1], -best[0]))[:k]
+                best = [c[first] for c in best]
+    # A vector that the product has several times counts as often.
+    again = np.repeat(np.arange(len(best[0])), asked["copies"].to_numpy()[best[2]])[:k]
+    similarity, row, target = (c[again] for c in best)
+    copy = np.arange(len(again)) - np.searchsorted(again, again)
+    chosen = held.take(pa.array(row))
+    columns = [
+        chosen["product_id"],
+        pa.array(similarity),
+        chosen["rating"],
+        chosen["jumlah_terjual"],
+        chosen["_row"],
+        pa.array(asked["target"].to_numpy()[target] * k + copy),
+    ]
+    return pa.table(columns, names=[f.split()[0] for f in _PAIR.split(", ")])
+
+
 def score(features: DataFrame, product_id: str, k: int = 10) -> DataFrame:
     """Similarity of the other feature rows to the feature rows of one product.
 
@@ -74,9 +174,12 @@ def score(features: DataFrame, product_id: str, k: int = 10) -> DataFrame:
 
 
 def _ranked(scored: DataFrame, details: DataFrame, k: int) -> DataFrame:
+    return _top(scored.join(details, "product_id"), k)
+
+
+def _top(pairs: DataFrame, k: int) -> DataFrame:
     return (
-        scored.join(details, "product_id")
-        .orderBy(
+        pairs.orderBy(
             F.desc_nulls_last("cosine_similarity"),
             F.desc_nulls_last("rating"),
             F.desc_nulls_last("jumlah_terjual"),

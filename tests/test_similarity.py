@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from etalase.functions.vectors import cosine, unit
+from etalase.operators import similarity
 from etalase.operators.neighbours import nearest, similar_all
 from etalase.operators.similarity import similar_products, similar_topk_first
 
@@ -97,6 +98,42 @@ def test_repeated_rows_multiply(spark):
     assert len(similar_products(features, ranked, "t", k=3).collect()) == 3
 
 
+@pytest.mark.parametrize("name", ["products", "topk_first"])
+def test_blocks_give_the_same_rows(spark, monkeypatch, name):
+    rng = np.random.default_rng(7)
+    vectors = [[float(x) for x in rng.integers(-2, 3, 3)] for _ in range(40)] + [None]
+    rows = [(f"p{i % 50}", vectors[rng.integers(41)]) for i in range(160)]
+    rows += [("t", vectors[rng.integers(41)]) for _ in range(80)]
+    features = spark.createDataFrame(rows, FEATURES)
+    known = [(f"p{i}", [None, 4.0, float("nan")][i % 3], i % 4) for i in range(0, 50, 2)] + [("p0", 1.0, 1)]
+    ranked = details(spark, known)
+    ask = {"products": similar_products, "topk_first": similar_topk_first}[name]
+    got = []
+    for few, block, tile in ((1000, 16_384, 1024), (0, 16_384, 1024), (0, 13, 5)):
+        for what, value in (("FEW", few), ("BLOCK_ROWS", block), ("TILE_ROWS", tile)):
+            monkeypatch.setattr(similarity, what, value)
+        rows = ask(features, ranked, "t", k=25).drop("rating").collect()
+        got.append([tuple(r) for r in rows])
+    assert got[0] == got[1] == got[2] and len(got[0]) > 10
+
+
+def test_a_third_of_the_rows_under_one_id(spark):
+    vector = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.sin(F.col("id") * 0.37 + i * (F.col("id") % 11 + 1)))
+    name = F.when(F.col("id") % 3 == 0, F.lit("t")).otherwise(F.concat(F.lit("p"), F.col("id").cast("string")))
+    features = spark.range(60_000).select(name.alias("product_id"), vector.alias("features_vector"))
+    ranked = features.where("product_id <> 't'").select(
+        "product_id", *[F.lit(None).cast(t.split()[1]).alias(t.split()[0]) for t in DETAILS.split(", ")[1:]]
+    )
+    assert similar_products(features, ranked, "t").count() == 10
+
+
+def test_blocks_refuse_vectors_of_different_size(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "FEW", 0)
+    features = spark.createDataFrame([("t", [1.0]), ("a", [1.0, 2.0])], FEATURES)
+    with pytest.raises(ValueError, match="different size: 1 and 2"):
+        similar_topk_first(features, details(spark, []), "t")
+
+
 def test_target_with_many_vectors_ranks_each_of_them(spark):
     rng = np.random.default_rng(5)
     rows = [("t", [float(x) for x in rng.normal(size=4)]) for _ in range(60)]
