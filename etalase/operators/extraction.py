@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from etalase.functions.html import Node, parse
+from etalase.functions.tags import attribute, tags
 from etalase.schemas import RAW
 
 
@@ -87,12 +88,12 @@ def listing_frontier(categories: DataFrame, host: str, pages: int = LISTING_PAGE
 def page_links(pages: DataFrame, marker: str = PRODUCT_MARKER) -> DataFrame:
     """``(page_url, place, href)``: every link of a page whose target has the marker.
 
-    Repeats are kept, in page order. Comments and scripts hold no links. (A Java
-    pattern that respects quotes recurses per attribute and overflows the stack
-    on a long tag, so the links come from the page reader as well.)
+    Repeats are kept, in page order. Comments and scripts hold no links. Built-in functions
+    only, one row in and its links out.
     """
+    targets = F.transform(tags(F.col("html"), "a"), lambda inside: attribute(inside, "href"))
     links = pages.select(
-        F.col("url").alias("page_url"), F.posexplode(_targets("html")).alias("place", "href")
+        F.col("url").alias("page_url"), F.posexplode(F.array_compact(targets)).alias("place", "href")
     )
     return links.where(F.contains("href", F.lit(marker)))
 
@@ -149,14 +150,6 @@ def counted(rows: DataFrame, progress: Observation | str = "ingest") -> DataFram
     )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _targets(pages: pd.Series) -> pd.Series:
-    def targets(page):
-        return None if page is None else [a.attrs["href"] for a in parse(page).all("a", href=True)]
-
-    return pages.map(targets)
-
-
 def _page_reader(read, schema: T.StructType):
     """A pandas UDF from page text to a struct; a fault in one page stays with it."""
     nothing = dict.fromkeys(schema.names)

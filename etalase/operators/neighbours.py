@@ -99,6 +99,11 @@ def nearest(
     if not len(pivots):
         return _best(corpus.select(F.lit("").alias("query"), F.lit(0.0).cast("float").alias("c"), "*"), k)
 
+    if len(pivots) == 1:
+        # One cell holds all, so there is no other to look in.
+        cell = F.lit(0).alias("cell")
+        return _best(_compare(queries.select("*", cell), corpus.select("*", cell), k, block_rows), k)
+
     homed = materialize(_with_cell(corpus, pivots), "corpus-cells")
     asking = materialize(_with_cell(queries, pivots), "query-cells")
     # Cells number at most MAX_PIVOTS, so their radii are a bounded result.

@@ -1,18 +1,22 @@
 """Products most similar to one product."""
 
+import math
+from collections import Counter
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from etalase.functions.vectors import cosine, norm
+from etalase.functions.vectors import cosine
 from etalase.operators.neighbours import _matrix
 from etalase.schemas import SIMILAR
 from etalase.sources.workspace import materialize
 
-# Vectors of one product that travel as one value to where the other rows are read.
-FEW = 64
+# Vectors of one product that the query names as constants, where the other rows are read.
+FEW = 16
 # Rows of a block, and of a tile that is compared at a time.
 BLOCK_ROWS = 16_384
 TILE_ROWS = 1024
@@ -58,8 +62,12 @@ def _nearest(features: DataFrame, product_id: str, k: int, details: DataFrame |
     detail row and ranks by its columns too. ``_row`` and ``_pair`` tell equal pairs apart.
     """
     mine = features.where((F.col("product_id") == product_id) & F.col("features_vector").isNotNull())
-    if mine.select("product_id").limit(FEW + 1).count() <= FEW:
-        pairs = score(features, product_id, k)
+    first = mine.select(F.col("features_vector").cast("array<double>").alias("vector")).limit(FEW + 1).collect()
+    if not first:
+        # Nothing to compare with; the columns stay.
+        features = features.limit(0)
+    if len(first) <= FEW:
+        pairs = score(features, product_id, [row.vector for row in first], k)
         pairs = pairs.withColumns({"_row": F.monotonically_increasing_id(), "_pair": F.lit(0).cast("long")})
         pairs = _with_keys(pairs, details)
     else:
@@ -149,28 +157,38 @@ def _best_pairs(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
     return pa.table(columns, names=[f.split()[0] for f in _PAIR.split(", ")])
 
 
-def score(features: DataFrame, product_id: str, k: int = 10) -> DataFrame:
-    """Similarity of the other feature rows to the feature rows of one product.
+def score(features: DataFrame, product_id: str, vectors: list[list[float]], k: int = 10) -> DataFrame:
+    """Similarity of the other feature rows to the given few vectors of one product.
 
-    One row per other row and feature row of the product; copies of a vector beyond
-    ``k`` cannot change a list of ``k`` rows and are left out. Any other row whose
-    vector has a different size is an error, whether or not it has a detail row.
+    One row per other row and given vector; copies of a vector beyond ``k`` cannot change a
+    list of ``k`` rows and are left out. Any other row whose vector has a different size is an
+    error, whether or not it has a detail row.
     """
-    same = F.col("product_id") == product_id
-    mine = features.where(same & F.col("features_vector").isNotNull())
-    # The product's own vectors, one entry each: Spark reads them as part of the same query.
-    folded = mine.groupBy(F.col("features_vector").cast("array<double>").alias("vector")).agg(
-        F.least(F.count("*"), F.lit(k)).alias("copies")
-    )
-    targets = folded.agg(
-        F.collect_list(F.struct("vector", norm(F.col("vector")).alias("norm"), "copies"))
-    ).scalar()
+    copies = Counter(map(tuple, vectors))
+    targets = [
+        F.struct(
+            F.array(*map(F.lit, vector)).cast("array<double>").alias("vector"),
+            F.lit(_norm(vector)).alias("norm"),
+            F.lit(min(n, k)).alias("copies"),
+        )
+        for vector, n in copies.items()
+    ]
     rows = features.where(F.col("product_id") != product_id)
-    rows = rows.withColumn("_target", F.explode(targets))
+    rows = rows.withColumn("_target", F.explode(F.array(*targets))) if targets else rows.withColumn(
+        "_target", F.lit(None).cast("struct<vector:array<double>,norm:double,copies:int>")
+    )
     similarity = cosine(F.col("_target.vector"), F.col("features_vector"), F.col("_target.norm"))
     scored = rows.select("product_id", similarity.alias("cosine_similarity"), "_target.copies")
-    copies = F.explode(F.sequence(F.lit(1), "copies"))
-    return scored.select("product_id", "cosine_similarity", copies.alias("_copy")).drop("_copy")
+    again = F.explode(F.sequence(F.lit(1), "copies"))
+    return scored.select("product_id", "cosine_similarity", again.alias("_copy")).drop("_copy")
+
+
+def _norm(vector: Iterable[float]) -> float:
+    """As the column expression adds it up: from left to right, in double precision."""
+    total = 0.0
+    for x in vector:
+        total += math.nan if x is None else x * x
+    return math.sqrt(total)
 
 
 def _ranked(scored: DataFrame, details: DataFrame, k: int) -> DataFrame:

@@ -103,13 +103,13 @@ def test_blocks_give_the_same_rows(spark, monkeypatch, name):
     rng = np.random.default_rng(7)
     vectors = [[float(x) for x in rng.integers(-2, 3, 3)] for _ in range(40)] + [None]
     rows = [(f"p{i % 50}", vectors[rng.integers(41)]) for i in range(160)]
-    rows += [("t", vectors[rng.integers(41)]) for _ in range(80)]
+    rows += [("t", vectors[rng.integers(41)]) for _ in range(14)]
     features = spark.createDataFrame(rows, FEATURES)
     known = [(f"p{i}", [None, 4.0, float("nan")][i % 3], i % 4) for i in range(0, 50, 2)] + [("p0", 1.0, 1)]
     ranked = details(spark, known)
     ask = {"products": similar_products, "topk_first": similar_topk_first}[name]
     got = []
-    for few, block, tile in ((1000, 16_384, 1024), (0, 16_384, 1024), (0, 13, 5)):
+    for few, block, tile in ((16, 16_384, 1024), (0, 16_384, 1024), (0, 50, 7)):
         for what, value in (("FEW", few), ("BLOCK_ROWS", block), ("TILE_ROWS", tile)):
             monkeypatch.setattr(similarity, what, value)
         rows = ask(features, ranked, "t", k=25).drop("rating").collect()
