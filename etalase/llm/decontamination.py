@@ -9,10 +9,11 @@ for at the greatest distance and from simulated walks of insertions, deletions a
 edit distance of the item to the nearest passage that starts with the window then decides.
 
 Only windows that can be near an item are embedded: one with at most k edits keeps all but 2k of the
-item's word pairs, among them some in a row. This drops no match.
+item's word pairs, and a run of the item's words, moved by k places at most. So an item's windows are
+those around its runs in the text. This drops no match.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -51,10 +52,15 @@ def _spread(words: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _bits(seed: int, step: int, spread: np.ndarray) -> np.ndarray:
-    """The walk's bit (0 or 1) of each spread word, by repetition and step: a multiply-shift hash."""
-    a, b = _spread(np.array([(seed * 1_000_003 + step) * 2 + 1, (seed * 1_000_003 + step) * 2 + 2], np.int64))
-    return ((spread * (a | np.uint64(1)) + b) >> np.uint64(63)).view(np.int64)
+def _factors(seed: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factor and addend of a repetition's multiply-shift hash at each step."""
+    a, b = _spread(np.arange(1, 2 * steps + 1) + seed * 2_000_006).reshape(steps, 2).T
+    return a | np.uint64(1), b
+
+
+def _bits(factors: tuple[np.ndarray, np.ndarray], step: int, spread: np.ndarray) -> np.ndarray:
+    """The walk's bit (0 or 1) of each spread word at a step."""
+    return ((spread * factors[0][step] + factors[1][step]) >> np.uint64(63)).view(np.int64)
 
 
 def _agreeing(size: int, edits: int, kind: int, walk: int) -> np.ndarray:
@@ -77,12 +83,12 @@ def _agreeing(size: int, edits: int, kind: int, walk: int) -> np.ndarray:
         copy += [next(fresh) for _ in range(size - len(copy))]
         pair[0, trial, :size], pair[1, trial, :size] = item, copy[:size]
     rows, at = np.arange(TRIALS), np.zeros((2, TRIALS), np.int64)
-    same = np.zeros(TRIALS)
+    same, factors = np.zeros(TRIALS), _factors(walk, STRETCH * size)
     for step in range(STRETCH * size):
         seen = [pair[i, rows, at[i]] for i in (0, 1)]
         same += seen[0] == seen[1]
         for i in (0, 1):
-            at[i] += _bits(walk, step, _spread(seen[i]))
+            at[i] += _bits(factors, step, _spread(seen[i]))
     return same / (STRETCH * size)
 
 
@@ -99,7 +105,10 @@ def repetitions(size: int, share: float = EDITS, recall: float = RECALL, drawn:
     # Each repetition walks anew, so a pair's chance is its mean over walks.
     chances = [np.mean([_agreeing(size, k, kind, w) ** drawn for w in range(WALKS)], axis=0) for kind in range(3)]
     enough = lambda times: all(np.mean(1 - (1 - c) ** times) >= recall for c in chances)
-    return next((times for times in range(1, MOST) if enough(times)), MOST)
+    found = next((times for times in range(1, MOST + 1) if enough(times)), None)
+    if found is None:
+        raise ValueError(f"more than {MOST} repetitions would be needed for items of {size} words; draw fewer steps")
+    return found
 
 
 @dataclass
@@ -111,14 +120,23 @@ class Index:
     words: dict[bytes, int]
     edits: float
     pairs: np.ndarray  # bit per hash of a pair of neighbouring words of an item
-    run: int  # words in a row that every match shares with its item
-    runs: np.ndarray  # bit per hash of such a run of an item
+    runs: dict[int, "Runs"]  # by the number of words in a row that every match shares with its item
     classes: dict[int, list[int]]  # items by size
     seed: int  # of the walks
     steps: dict[int, np.ndarray] = field(repr=False)  # drawn steps by size: repetition, number
     keys: dict[int, np.ndarray] = field(repr=False)  # keys by size: repetition, item
 
 
+@dataclass
+class Runs:
+    """Runs of words of items, sorted by hash, each with the sizes of its items and its places there."""
+
+    bits: np.ndarray  # bit per hash, which most runs of a text fail
+    codes: np.ndarray
+    sizes: np.ndarray
+    places: np.ndarray
+
+
 def _pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(
         64 - _PAIR_BITS
@@ -126,12 +144,26 @@ def _pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _run_codes(text: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
-    """Hashes of the runs of words that begin at ``at``."""
+    """64-bit hashes of the runs of words that begin at ``at``."""
     code = np.zeros(len(at), np.uint64)
     for i in range(run):
         code = (code + text[at + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         code ^= code >> np.uint64(32)
-    return (code * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - _PAIR_BITS)
+    return code * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _runs(items: list[np.ndarray], run: int) -> Runs:
+    found = np.concatenate(
+        [
+            np.stack([_run_codes(x, at, run), np.full(len(at), len(x), np.uint64), at.astype(np.uint64)], axis=1)
+            for x in items
+            for at in [np.arange(len(x) - run + 1)]
+        ]
+    )
+    codes, sizes, places = np.unique(found, axis=0).T
+    bits = np.zeros(1 << _PAIR_BITS, bool)
+    bits[codes >> np.uint64(64 - _PAIR_BITS)] = True
+    return Runs(bits, np.ascontiguousarray(codes), sizes.astype(np.int64), places.astype(np.int64))
 
 
 def build(rows: list[tuple[int | None, str | None]], edits: float = EDITS, recall: float = RECALL, seed: int = 7) -> Index:
@@ -145,18 +177,16 @@ def build(rows: list[tuple[int | None, str | None]], edits: float = EDITS, recal
             items.append(np.array(found, np.int64))
     classes: dict[int, list[int]] = {}
     pairs = np.zeros(1 << _PAIR_BITS, bool)
-    run = 1 << 30
+    by_run: dict[int, list[np.ndarray]] = {}
     for i, item in enumerate(items):
         classes.setdefault(len(item), []).append(i)
         pairs[_pair_code(item[:-1], item[1:])] = True
         k = _edits(len(item), edits)
-        run = min(run, -(-(len(item) - k) // (k + 1)))
-    runs = np.zeros(1 << _PAIR_BITS, bool)
-    for item in items:
-        runs[_run_codes(item, np.arange(len(item) - run + 1), run)] = True
+        by_run.setdefault(-(-(len(item) - k) // (k + 1)), []).append(item)
+    runs = {run: _runs(members, run) for run, members in sorted(by_run.items())}
     random = np.random.default_rng(seed)
     steps = {n: random.integers(0, STRETCH * n, (repetitions(n, edits, recall), DRAWN)) for n in sorted(classes)}
-    index = Index(ids, items, words, edits, pairs, run, runs, classes, seed << 16, steps, {})
+    index = Index(ids, items, words, edits, pairs, runs, classes, seed << 16, steps, {})
     for n, members in classes.items():
         texts = np.concatenate([items[i] for i in members])
         keys = []
@@ -183,11 +213,10 @@ def embedded(
     for r in range(times):
         at = np.zeros((steps, len(starts)), np.int32)
         word = np.zeros((steps, len(starts)), np.int32)
-        offset = np.zeros(len(starts), np.int64)
+        here, factors = starts.copy(), _factors(index.seed + r, steps)
         for t in range(steps):
-            seen = padded[starts + offset]
-            at[t], word[t] = offset, seen
-            offset = offset + _bits(index.seed + r, t, spread[starts + offset])
+            at[t], word[t] = here - starts, padded[here]
+            here += _bits(factors, t, spread[here])
         yield word, at
 
 
@@ -237,60 +266,43 @@ def _search(text: np.ndarray, ends: np.ndarray, index: Index) -> Iterator[tuple[
     known = np.zeros(len(text), bool)
     at = np.flatnonzero(both)
     known[at] = index.pairs[_pair_code(text[at], text[at + 1])]
-    chain = text > 0 if index.run == 1 else known.copy()
-    for i in range(1, index.run - 1):
-        chain[:-i] &= known[i:]
-        chain[-i:] = False
-    anchors = np.flatnonzero(chain)
-    anchors = anchors[index.runs[_run_codes(text, anchors, index.run)]]
-    if not len(anchors):
-        return
     counted = np.concatenate([[0], np.cumsum(known)])
-    longest = max(index.classes)
-    near = np.zeros(len(text) + 1, np.int64)  # +1 where windows that hold an anchor begin, -1 behind
-    np.add.at(near, np.maximum(anchors - longest + 1, 0), 1)
-    np.add.at(near, anchors + 1, -1)
-    starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    limit = np.searchsorted(ends, starts, "right")
-    room = ends[limit] - 1 - starts  # words left in the text
-    able = {}
-    for n in index.classes:
+    able, room = {}, _room(ends)
+    for n, starts in _starts(text, known, index):
         # A passage may be longer or shorter than its item by the edits.
-        k = _edits(n, index.edits)
-        pairs = counted[starts + np.maximum(np.minimum(n + k, room) - 1, 0)] - counted[starts]
-        able[n] = np.flatnonzero((pairs >= n - 1 - 2 * k) & (room >= n - k) & (room > 0))
-    candidates = {n: [np.empty(0, np.int64)] for n in index.classes}
-    place = np.full(len(starts), -1)
+        k, left = _edits(n, index.edits), room(starts)
+        pairs = counted[starts + np.maximum(np.minimum(n + k, left) - 1, 0)] - counted[starts]
+        able[n] = starts[(pairs >= n - 1 - 2 * k) & (left >= n - k) & (left > 0)]
+    candidates = {n: [np.empty(0, np.int64)] for n in able}
     # Sizes up to twice each other are walked together, each group for its own windows only.
-    for band in sorted({n.bit_length() for n in index.classes}):
-        sizes_of = [n for n in index.classes if n.bit_length() == band and len(able[n])]
-        if not sizes_of:
-            continue
-        longest, times = STRETCH * max(sizes_of), max(len(index.steps[n]) for n in sizes_of)
-        for part in _slices(np.unique(np.concatenate([able[n] for n in sizes_of])), longest):
-            place[:] = -1
-            place[part] = np.arange(len(part))
-            mine = {n: able[n][place[able[n]] >= 0] for n in sizes_of}
-            for r, written in enumerate(embedded(text, starts[part], index, longest, times)):
-                for n, rows in mine.items():
-                    if len(rows) and r < len(index.steps[n]):
+    for band in sorted({n.bit_length() for n in able}):
+        mine = {n: starts for n, starts in able.items() if n.bit_length() == band}
+        steps = 1 + max(int(index.steps[n].max()) for n in mine)
+        times = max(len(index.steps[n]) for n in mine)
+        for part in _slices(np.unique(np.concatenate(list(mine.values()))), steps):
+            inside = {n: rows[(rows >= part[0]) & (rows <= part[-1])] for n, rows in mine.items()}
+            which = {n: np.searchsorted(part, rows) for n, rows in inside.items() if len(rows)}
+            sizes = {n: np.minimum(n, room(inside[n])) for n in which}
+            for r, written in enumerate(embedded(text, part, index, steps, times)):
+                for n, places in which.items():
+                    if r < len(index.steps[n]):
                         # A text's closing 0 and what follows are past the window, as in an item's own walk.
-                        keys = _keys(written, index.steps[n][r], np.minimum(n, room[rows]), place[rows])
+                        keys = _keys(written, index.steps[n][r], sizes[n], places)
                         hit, item = _equal(keys, index.keys[n][r])
-                        candidates[n].append(np.unique(rows[hit] * len(index.classes[n]) + item))
+                        candidates[n].append(inside[n][hit] * len(index.classes[n]) + item)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     for n, found in candidates.items():
         k = _edits(n, index.edits)
         for part in _slices(np.unique(np.concatenate(found)), n + k):
-            rows, item = np.divmod(part, len(index.classes[n]))
-            inside = np.arange(n + k) < room[rows][:, None]
-            places = np.where(inside, starts[rows][:, None] + np.arange(n + k), 0)
+            starts, item = np.divmod(part, len(index.classes[n]))
+            inside = np.arange(n + k) < room(starts)[:, None]
+            places = np.where(inside, starts[:, None] + np.arange(n + k), 0)
             windows = np.where(inside, text[places], 0).astype(np.int32)
             items = np.stack([index.items[index.classes[n][i]] for i in item.tolist()]).astype(np.int32)
             far = np.concatenate([distances(w, x) for w, x in _parts(windows, items)])
-            for row, i, d, s in zip(rows.tolist(), item.tolist(), far.tolist(), starts[rows].tolist(), strict=True):
+            owners = np.searchsorted(ends, starts, "right").tolist()
+            for owner, i, d, s in zip(owners, item.tolist(), far.tolist(), starts.tolist(), strict=True):
                 if d <= k:
-                    owner = int(limit[row])
                     key = (owner, index.classes[n][i])
                     first = int(ends[owner - 1]) if owner else 0
                     best[key] = min(best.get(key, (1 << 30, 0)), (d, s - first))
@@ -298,6 +310,41 @@ def _search(text: np.ndarray, ends: np.ndarray, index: Index) -> Iterator[tuple[
         yield owner, i, d, start
 
 
+def _room(ends: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Words from a start to the end of its text."""
+    return lambda starts: ends[np.searchsorted(ends, starts, "right")] - 1 - starts
+
+
+def _starts(text: np.ndarray, known: np.ndarray, index: Index) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size of item the places where a match may start.
+
+    A match holds a run of its item, moved by the edits at most. ``known`` tells where a pair of an item stands.
+    """
+    lines: dict[int, list[np.ndarray]] = {}
+    chain, length = text > 0, 1  # where so many words in a row may be a run
+    for run, table in index.runs.items():
+        for length in range(length + 1, run + 1):
+            chain = chain & _shifted(known, length - 2)
+        length = run
+        anchors = np.flatnonzero(chain)
+        codes = _run_codes(text, anchors, run)
+        ours = table.bits[codes >> np.uint64(64 - _PAIR_BITS)]
+        anchors, codes = anchors[ours], codes[ours]
+        for part in _slices(np.arange(len(anchors)), 64):
+            hit, entry = _equal(codes[part], table.codes)
+            begin, sizes = anchors[part][hit] - table.places[entry], table.sizes[entry]
+            for n in np.unique(sizes).tolist():
+                lines.setdefault(n, []).append(np.unique(begin[sizes == n]))
+    for n, found in lines.items():
+        k = _edits(n, index.edits)
+        starts = np.unique(np.unique(np.concatenate(found))[:, None] + np.arange(-k, k + 1))
+        yield n, starts[(starts >= 0) & (starts < len(text) - 1)]
+
+
+def _shifted(flags: np.ndarray, by: int) -> np.ndarray:
+    return np.concatenate([flags[by:], np.zeros(by, bool)])
+
+
 def _equal(keys: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all equal pairs."""
     order = np.argsort(others, kind="stable")

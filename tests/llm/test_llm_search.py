@@ -93,6 +93,37 @@ def test_recall_at_the_bound(kind, size):
     assert sum((i, i) in got for i in range(len(items))) >= 0.93 * len(items)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_around_runs_hold_every_match(seed):
+    """Items of 1 to 30 words that share words and runs, in texts that lie next to each other."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(30)]
+    items = [rng.choices(words, k=rng.randrange(1, 31)) for _ in range(25)]
+    items += [[*rng.choices(words, k=4), *item] for item in items[:5]]
+    index = decontamination.build([(i, " ".join(x)) for i, x in enumerate(items)])
+    texts = [edited(rng, item, int(0.2 * len(item))) for item in items] + [rng.choices(words, k=40) for _ in range(10)]
+    coded = [np.array([index.words.get(w.encode(), 0) for w in text] + [0], np.int64) for text in texts]
+    text, ends = np.concatenate(coded), np.cumsum([len(c) for c in coded])
+    known = np.zeros(len(text), bool)
+    known[:-1] = [a > 0 and b > 0 and index.pairs[decontamination._pair_code(a, b)] for a, b in zip(text, text[1:])]
+    starts = {n: set(found.tolist()) for n, found in decontamination._starts(text, known, index)}
+    held = 0
+    for t, c in enumerate(coded):
+        for item in index.items:
+            k = len(item) // 5
+            for s in range(len(c) - 1):
+                if nearest(item.tolist(), c[s : len(c) - 1][: len(item) + k].tolist()) <= k:
+                    held += 1
+                    assert ends[t] - len(c) + s in starts[len(item)]
+    assert held > 100
+
+
+def test_too_many_repetitions_are_refused(monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        decontamination.repetitions.__wrapped__(20)
+
+
 def test_a_very_long_item():
     """Its walks are not a table of steps and words, and short items are not walked to its length."""
     words = [f"v{i}" for i in range(2000)]
