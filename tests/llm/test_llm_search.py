@@ -105,7 +105,7 @@ def test_windows_around_runs_hold_every_match(seed):
     coded = [np.array([index.words.get(w.encode(), 0) for w in text] + [0], np.int64) for text in texts]
     text, ends = np.concatenate(coded), np.cumsum([len(c) for c in coded])
     known = np.zeros(len(text), bool)
-    known[:-1] = [a > 0 and b > 0 and index.pairs[decontamination._pair_code(a, b)] for a, b in zip(text, text[1:])]
+    known[:-1] = (text[:-1] > 0) & (text[1:] > 0) & index.pairs[decontamination._pair_code(text[:-1], text[1:])]
     starts = {n: set(found.tolist()) for n, found in decontamination._starts(text, known, index)}
     held = 0
     for t, c in enumerate(coded):
@@ -115,7 +115,7 @@ def test_windows_around_runs_hold_every_match(seed):
                 if nearest(item.tolist(), c[s : len(c) - 1][: len(item) + k].tolist()) <= k:
                     held += 1
                     assert ends[t] - len(c) + s in starts[len(item)]
-    assert held > 100
+    assert held >= len(items)  # each has a text of its own
 
 
 def test_too_many_repetitions_are_refused(monkeypatch):
