@@ -8,6 +8,7 @@ the fill closest to the capacity, and walking the bitsets back gives how many pi
 length it takes. The same fill is repeated as long as the counts allow.
 """
 
+import json
 import os
 import re
 import zlib
@@ -27,22 +28,53 @@ GROUP_PIECES = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+# How the given vocabulary's file says texts are made even and cut.
+_EVEN = ["NFC", "Replace", "Lowercase"]
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _cuts_at_blanks(path: str) -> bool:
+    """Whether a tokenizer's file has the rules that let words be encoded one by one."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    even = (rules.get("normalizer") or {}).get("normalizers", [])
+    cut = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [n["type"] for n in even] == _EVEN
+        and (even[1]["pattern"], even[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [c["type"] for c in cut] == ["Split", "ByteLevel"]
+        and (cut[0]["pattern"], cut[0]["behavior"], cut[0]["invert"]) == ({"Regex": _CUT}, "Removed", True)
+        and not (cut[1]["add_prefix_space"] or cut[1]["use_regex"])
+        and rules.get("post_processor") is None
+        and rules["model"]["type"] == "BPE"
+    )
+
+
 class PieceIds(dict):
     """Ids of one blank-separated word, as little-endian 32-bit bytes.
 
-    White space never lies inside a piece of this vocabulary, so a text's ids are those of its
-    words in turn. The table starts anew when it is full, which bounds its memory.
+    White space never lies inside a piece of the given vocabulary, so a text's ids are those of
+    its words in turn. A tokenizer with other rules encodes whole texts. A full table becomes
+    the older one, from which words still in use come back; both bound the memory.
     """
 
-    LIMIT = 300_000
+    LIMIT = 200_000
     MARK = "\x01"
+    LETTERS = re.compile("[a-zß-öø-ÿ]+")  # runs of these are one piece before merging, and even
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.by_word = _cuts_at_blanks(path)
+        if self.by_word:
+            (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), level])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -51,17 +83,33 @@ class PieceIds(dict):
         return self.whole(word.decode("utf-8"))
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode the words not yet in the table in one call, kept apart by a mark that no word holds."""
+        """Encode the words not yet in the tables, in two calls: those of letters only, and all others."""
         new = [w for w in words if w not in self and len(w) <= 64]
         if len(self) + len(new) > self.LIMIT:
+            self.older = dict(self)
             self.clear()
             new = [w for w in words if len(w) <= 64]
-        if not new:
+        letters, others = ([], []), ([], [])
+        for word in new:
+            if word in self.older:
+                self[word] = self.older[word]
+                continue
+            text = word.decode("utf-8")
+            lower = text.lower()
+            keys, texts, text = (*letters, lower) if self.LETTERS.fullmatch(lower) else (*others, text)
+            keys.append(word)
+            texts.append(text)
+        self._learn(self.plain, *letters)
+        self._learn(self.tokenizer, *others)
+
+    def _learn(self, tokenizer, words: list[bytes], texts: list[str]) -> None:
+        """Encode ``texts`` in one call, kept apart by a mark that no word holds."""
+        if not words:
             return
-        joined = f" {self.MARK} ".join(w.decode("utf-8") for w in new)
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        joined = f" {self.MARK} ".join(texts)
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         raw, begin = ids.tobytes(), 0
-        for word, end in zip(new, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
+        for word, end in zip(words, [*np.flatnonzero(ids == self.mark).tolist(), len(ids)], strict=True):
             self[word] = raw[4 * begin : 4 * end]
             begin = end + 1
 
@@ -71,7 +119,7 @@ class PieceIds(dict):
     def words(self, text: str) -> list[bytes] | None:
         """Words that are encoded one by one; None if the text must be encoded as a whole."""
         raw = text.encode("utf-8", "surrogatepass")
-        if b"<|" in raw or b"\x01" in raw:  # may hold reserved tokens, which count before any word does
+        if not self.by_word or b"<|" in raw or b"\x01" in raw:  # may hold reserved tokens, which count before any word does
             return None
         if b"\xcc" not in raw and b"\xcd" not in raw:  # no accents that stand alone: lowering first is the same
             raw = raw.lower()
@@ -200,5 +248,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         out = group.drop_columns(["group"])
         return out.append_column("sequence_id", pa.array(sequence + base)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # Rows without an id have no key of their own; copies of one would all meet in a group.
+    copy = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", copy), F.lit(groups)))
     return dealt.groupBy("group").applyInArrow(run, f"{PIECES}, sequence_id long, offset long")

@@ -1,9 +1,11 @@
 """Language model, classifiers and packing against plain versions, round trips and held-out rows."""
 
+import json
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -233,7 +235,29 @@ def test_words_encode_as_the_tokenizer_does():
     bits = ["a", "Z", "'s", "'", "é", "É", "H̱", "Σ", "İ", "K", "1", " ", "\n", "\x1c", "\xa0", ".", ",", "!!", "%&", "_", "\x01",
             "<|endoftext|>", "<|STARTOFTEXT|>", "ß", "中", "\U0001f600", "don't ", "the ", "end. ", "w%%% "]
     texts = ["".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(3000)] + odd.TEXTS[1:]
+    wanted = [table.whole(t) for t in texts]
+    assert list(table.encode(texts)) == wanted
+    small = packing.PieceIds(registry.tokenizer_path())
+    small.LIMIT = 50
+    assert [ids for t in texts for ids in small.encode([t])] == wanted and small.older
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    rules = json.loads(Path(registry.tokenizer_path()).read_text(encoding="utf-8"))
+    rules["normalizer"] = None
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    table = packing.PieceIds(str(path))
+    texts = ["The Words, THE words.", "", "É é"]
     assert list(table.encode(texts)) == [table.whole(t) for t in texts]
+    assert table.whole("THE") != table.whole("the")
+
+
+def test_copies_without_an_id_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    docs = spark.createDataFrame([(None, "")] * 2000, "doc_id long, text string")
+    sizes = packing.pack(docs, registry.tokenizer_path(), 16).groupBy((F.col("sequence_id") / (1 << 32)).cast("int")).count()
+    assert max(r["count"] for r in sizes.collect()) < 200
 
 
 @pytest.mark.parametrize("seed", range(5))
