@@ -68,7 +68,7 @@ class PieceIds(dict):
 
         self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = _cuts_at_blanks(path)
+        self.plain, self.by_word = self.tokenizer, _cuts_at_blanks(path)
         if self.by_word:
             (self.mark,) = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
             self.plain = Tokenizer.from_file(path)
