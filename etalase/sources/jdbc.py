@@ -1,8 +1,13 @@
 """Database tables. Connection options always come from the caller."""
 
+import os
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_BYTES = 7  # of an id that are compared as a number at a time
 
 
 def _quoted(value: str) -> str:
@@ -59,6 +64,89 @@ def hex_boundaries(partitions: int, digits: int = 4) -> list[str]:
     return [f"{space * i // partitions:0{digits}x}" for i in range(1, partitions)]
 
 
+class _Range(NamedTuple):
+    """Rows of the ids from ``low`` to ``high``, both of which occur."""
+
+    low: str
+    high: str
+    rows: int
+
+    @property
+    def shared(self) -> int:
+        """Bytes that all ids of the range begin with."""
+        return len(os.path.commonprefix([self.low.encode(), self.high.encode()]))
+
+    def cuts(self, points: Sequence[int]) -> list[int]:
+        """Numbers to split at: the points, and behind each, so that a frequent number stands alone."""
+        first, last = (
+            int.from_bytes(i.encode()[self.shared :][:_BYTES].ljust(_BYTES, b"\0")) for i in (self.low, self.high)
+        )
+        return sorted({c for p in points for c in (p, p + 1) if first < c <= last})
+
+
+def _spec(ranges: list[_Range], cuts: list[list[int]]) -> Column:
+    """The range that holds ``id``, with its split numbers."""
+    specs = [
+        F.struct(
+            F.lit(r.low).alias("low"),
+            F.lit(r.high).alias("high"),
+            F.lit(r.shared).alias("shared"),
+            F.array(*map(F.lit, c)).cast("array<bigint>").alias("cuts"),
+        )
+        for r, c in zip(ranges, cuts, strict=True)
+    ]
+    return F.get(F.filter(F.array(*specs), lambda s: (s["low"] <= F.col("id")) & (F.col("id") <= s["high"])), 0)
+
+
+def _numbered(ids: DataFrame, ranges: list[_Range], cuts: list[list[int]]) -> DataFrame:
+    """Rows of the ranges, with the bytes behind the range's shared ones as a number."""
+    rest = F.substring(F.encode("id", "utf-8"), F.col("range.shared") + 1, F.lit(_BYTES))
+    number = F.conv(F.rpad(F.hex(rest), 2 * _BYTES, "0"), 16, 10).cast("bigint")
+    return ids.withColumn("range", _spec(ranges, cuts)).where("range is not null").withColumn("number", number)
+
+
+def quantile_boundaries(ids: DataFrame, column: str, partitions: int) -> list[str]:
+    """Split points that give about ``partitions`` even parts, from a stored column of ids.
+
+    No part of ``id_ranges`` over these points holds more than a share of the rows, but for an id
+    that alone has more; there are at most twice as many parts, and one. Quantile sketches of the
+    ids' next bytes, merged over the tasks, split every range that is too large until none is. The
+    driver holds a number of ranges that goes with ``partitions``. Null ids are left out.
+    Ids that differ in closing zero bytes only stay together.
+    """
+    if partitions < 1:
+        raise ValueError("partitions must be at least 1")
+    ids = ids.select(F.col(column).cast("string").alias("id")).where("id is not null")
+    measures = F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("rows")
+    whole = _Range(*ids.agg(*measures).first())
+    share, done, large = whole.rows / partitions, [], [whole]
+    while large:
+        done += [r for r in large if r.rows <= share or r.low == r.high]
+        large = [r for r in large if r.rows > share and r.low < r.high]
+        if large:
+            parts = _split(ids, large, partitions, measures)
+            done += [r for r in parts if r in large]
+            large = [r for r in parts if r not in large]
+    points, filled = [], 0
+    for r in sorted(done):
+        if filled and filled + r.rows > share:
+            points.append(r.low)
+            filled = 0
+        filled += r.rows
+    return points
+
+
+def _split(ids: DataFrame, ranges: list[_Range], partitions: int, measures: tuple[Column, ...]) -> list[_Range]:
+    shares = [i / partitions for i in range(1, partitions)]
+    sketch = F.percentile_approx("number", shares, 10 * partitions).alias("points")
+    sketched = _numbered(ids, ranges, [[] for _ in ranges]).groupBy(F.col("range.low").alias("low")).agg(sketch)
+    points = {r.low: r.points for r in sketched.collect()}
+    cuts = [r.cuts(points[r.low]) for r in ranges]
+    part = F.size(F.filter("range.cuts", lambda c: c <= F.col("number")))
+    parts = _numbered(ids, ranges, cuts).groupBy(F.col("range.low").alias("begin"), part.alias("part")).agg(*measures)
+    return [_Range(r.low, r.high, r.rows) for r in parts.collect()]
+
+
 def read_table(
     spark: SparkSession,
     url: str,

@@ -109,6 +109,43 @@ def test_id_ranges_cover_every_id_once(spark):
         jdbc.hex_boundaries(0)
 
 
+@pytest.mark.parametrize(
+    "ids",
+    [
+        [f"{i:024x}" for i in range(3000)],
+        [f"https://shop.example/product/{'x' * (i % 40)}{i}" for i in range(3000)],
+        ["same"] * 1500 + [f"k{i}" for i in range(500)] + ["same and longer"] * 3 + [""],
+        [f"é{chr(0x4E00 + i % 700)}😀{i}" for i in range(2000)] + ["a'b", "\x7f", "a" * 300 + "1", "a" * 300 + "2"],
+        ["one"] * 100,
+    ],
+    ids=["hex", "addresses", "hot id", "marks", "one id"],
+)
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_split_points_give_even_parts(spark, ids, partitions):
+    table = spark.createDataFrame([(i,) for i in [*ids, None]], "product_id string").repartition(3)
+    points = jdbc.quantile_boundaries(table, "product_id", partitions)
+    assert points == sorted(set(points)) and len(points) <= 2 * partitions
+    table.createOrReplaceTempView("split_ids")
+    counts = [
+        spark.sql(f"select product_id, count(*) n from split_ids where {c} group by 1").collect()
+        for c in jdbc.id_ranges("product_id", points, "({})")
+    ]
+    assert sum(r.n for part in counts for r in part) == len(ids) + 1
+    for part in counts:
+        named = [r.n for r in part if r.product_id is not None]
+        assert sum(named) <= len(ids) / partitions or len(named) == 1
+
+
+def test_split_points_end_where_nothing_splits(spark):
+    table = spark.createDataFrame([("a",), ("a\0",), ("b",)] * 50, "product_id string")
+    assert jdbc.quantile_boundaries(table, "product_id", 8) == ["b"]
+
+
+def test_split_points_of_no_ids(spark):
+    nothing = spark.createDataFrame([(None,)], "product_id string")
+    assert jdbc.quantile_boundaries(nothing, "product_id", 4) == []
+
+
 def test_table_reads_and_appends_are_parallel():
     session, properties = MagicMock(), {"user": "u"}
     jdbc.read_table(session, "url", "t", properties, boundaries=["5"])
