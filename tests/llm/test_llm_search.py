@@ -1,6 +1,7 @@
 """Decontamination and personal data against brute force, and the whole pipeline."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import brute
@@ -261,6 +262,106 @@ def test_terms_far_from_their_value(spark):
     assert not any("zebedee" in r.text.lower() for r in pii.sanitised(df, spans).collect())
 
 
+def _disclosed(texts, generalise):
+    """Dictionary version: (value, term) to share over whole distinct texts."""
+    texts = sorted(set(texts))
+    total = len(texts)
+    base = [brute.spans(t, brute.PERSONAL) for t in texts]
+    places, of = defaultdict(set), defaultdict(set)
+    for i, spans in enumerate(base):
+        for a, _, kind, b in spans:
+            value = texts[i][a:b].lower()
+            places[f"{kind}:{value}"].add(i)
+            for x in pii.levels(kind, value):
+                places[x].add(i)
+                of[x].add(f"{kind}:{value}")
+    first = {}
+    for e in sorted(places):
+        n_of = max((len(places[v]) for v in of.get(e, ())), default=len(places[e]))
+        if 1 < len(places[e]) <= total ** (1 - generalise) * n_of**generalise + 1e-6:
+            first.setdefault((frozenset(places[e]), n_of), e)
+    n_term, inside = Counter(), []
+    for t, spans in zip(texts, base, strict=True):
+        n_term.update({w.strip(pii._EDGE) for w in t.lower().split()})
+        clear = list(t)
+        for a, _, _, b in spans:
+            clear[a:b] = "@" * (b - a)
+        words = {w.strip(pii._EDGE) for w in "".join(clear).lower().split()}
+        inside.append({w for w in words if len(w) >= 3 and "@" not in w})
+    several = set().union(*(k for k, _ in first)) if first else set()
+    seen = Counter(w for i in several for w in inside[i])
+    most = max((n for _, n in first), default=1)
+    able = {w for w, n in seen.items() if n > 1 and n_term[w] <= total ** (1 - generalise) * most**generalise + 1e-6}
+    out = {}
+    for (held, n_of), e in first.items():
+        for w in able:
+            both = [i for i in held if w in inside[i]]
+            bits = [0] * pii.SKETCHES
+            for i in both:
+                bits = [x | y & (2**64 - 1) for x, y in zip(bits, pii._sketch(texts[i]), strict=True)]
+            evidence = sorted(x.bit_count() for x in bits)[pii.SKETCHES - 2]
+            if evidence < 2:
+                continue
+            times = len(both) * total / (len(held) * max(n_term[w], len(both)))
+            tail = evidence * (np.log(times) - 1 + 1 / times) + 0.5 * np.log(2 * np.pi * evidence)
+            share = np.log2(times) / np.log2(total / n_of)
+            if times > 1 and share >= generalise and tail >= np.log(len(able) * len(first) / pii.CHANCE):
+                out[e, w] = share
+    return out
+
+
+def _people(rng, n_hosts, others):
+    """Texts with addresses: each value in one text, each host in several, with words that tell the host or the name."""
+    some = lambda n: " ".join(rng.choices([f"word{i}" for i in range(400)], k=n))
+    rows = []
+    for h in range(n_hosts):
+        for k in range(5):
+            rows.append(f"{some(30)} Firm{h}x, {some(20)} p{h}.{k}@firm{h}.example.org {some(40)} firm{h}X.")
+    for k in range(4):
+        rows.append(f"{some(30)} quirinus {some(30)} quirinus@h{k}.example.net {some(5)} 10.0.{k}.7")
+    return rows + [f"{some(60)} lone{k}@lone{k}.example.com {some(20)} only{k}" for k in range(10)] + [some(80) for _ in range(others)]
+
+
+def test_disclosure_against_dictionaries(spark):
+    rows = _people(random.Random(23), 6, 600)
+    rows += rows[:7] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = pii.stored(pii.found(df), "pii-test")
+    total = pii._total(found)
+    assert total == len(set(rows))
+    for generalise in (0.3, 0.6):
+        values = pii.stored(pii.protected(found, total, generalise), "pii-test")
+        _, several = pii._holders(found, values, total, generalise)
+        known = pii.stored(pii.frequencies(pii.distinct_texts(df, found), pii._words(several)), "pii-test")
+        got = {(r.value, r.term): r.share for r in pii.disclosing(several, values, known, total, generalise).collect()}
+        assert got == pytest.approx(_disclosed(rows, generalise)) and len(got) > 6
+
+
+def test_terms_of_values_of_one_text(spark):
+    """Terms that tell an address' host or name are found with addresses of one text each; other words stay."""
+    rows = _people(random.Random(29), 8, 1500)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = pii.scanned(df)
+    found = spans.select("doc_id", F.explode("found").alias("s")).where("s.kind = 'term'").collect()
+    words = Counter(rows[r.doc_id][r.s.start : r.s.end] for r in found)
+    planted = {f"{x}{h}{y}": 5 for h in range(8) for x, y in (("Firm", "x"), ("firm", "X"))} | {"quirinus": 4}
+    assert words == planted
+
+
+def test_personal_data_in_large_texts(spark):
+    """Many values in one text, and a value in a text of 50,000 words: time in proportion, nothing cut."""
+    rng = random.Random(31)
+    crowd = " ".join(f"u{i}@example.org w{i}" for i in range(20_000))
+    long = [" ".join([*(f"w{rng.randrange(9000)}" for _ in range(50_000)), f"Zebedee zeb@example.net d{k}"]) for k in range(3)]
+    rows = [crowd, f"{crowd} again", *long, *(f"other text {i}" for i in range(3000))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: (len(r.base), [rows[r.doc_id][s.start : s.end] for s in r.found if s.kind == "term"]) for r in pii.scanned(df).collect()}
+    assert time.monotonic() - began < 120
+    assert got[0][0] == got[1][0] == 20_000 and all("Zebedee" in got[i][1] for i in (2, 3, 4))
+    assert not any(terms for i, (_, terms) in got.items() if i > 4)
+
+
 def test_pipeline_stages(spark):
     """Each stage against a plain version of what it must keep."""
     docs = table(spark, SF, "documents")
