@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,9 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # between blanks. Such a pattern cuts each stretch alike, whatever stands around it.
 STRETCHES = rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
+# Stretches that such a pattern leaves whole where it takes letters together: Latin letters only.
+LETTERS = " ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+
 
 def encoded(
     docs: DataFrame,
@@ -61,6 +65,7 @@ def encoded(
     out: str = "ids",
     frequent: int = FREQUENT_WORDS,
     coarse: str | None = None,
+    plain: str | None = None,
 ) -> DataFrame:
     """``docs`` with the ids of ``text`` as array<int> in ``out``, row by row.
 
@@ -69,6 +74,7 @@ def encoded(
     in the syntax of the regex package; words cover the text that the pattern covers.
     ``coarse``: a faster pattern of the re package that cuts the text into stretches which
     ``pattern`` cuts the same way alone as within the text (``STRETCHES`` for the usual ones).
+    ``plain``: a pattern of the re package for stretches that are one word as a whole (``LETTERS``).
     """
     context = docs.sparkSession.sparkContext
     ranks = read_ranks(path)
@@ -78,7 +84,7 @@ def encoded(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = re.compile(coarse) if coarse else regex.compile(pattern)
-        known = Words(*shared.value, regex.compile(pattern) if coarse else None)
+        known = Words(*shared.value, regex.compile(pattern) if coarse else None, plain and re.compile(plain))
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(start, _ROWS)
@@ -100,25 +106,40 @@ def decoded(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
 
     ``ids`` goes, all other columns stay. An id without a token, or a null among the ids, is an error.
     """
-    tokens = {rank: token for token, rank in read_ranks(path).items()}
+    ranks = read_ranks(path)
+    tokens = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
     shared = rows.sparkSession.sparkContext.broadcast(tokens)
     others = [c for c in rows.columns if c not in (out, ids)]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = pa.array(shared.value, pa.binary())
         for batch in batches:
             for start in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(start, _ROWS)
-                lists = part.column(part.schema.get_field_index("_ids")).to_pylist()
-                texts = [b"".join(map(known.__getitem__, x or ())) for x in lists]
+                texts = joined(part.column(part.schema.get_field_index("_ids")), known)
                 columns = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name != "_ids"]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=[*others, out])
+                yield pa.RecordBatch.from_arrays([*columns, texts], names=[*others, out])
 
     taken = rows.select(*[F.col(f"`{c}`") for c in others], F.col(ids).cast("array<int>").alias("_ids"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in taken.schema.fields[:-1])
     return taken.mapInArrow(decode, f"{fields}`{out}` binary")
 
 
+def joined(lists: pa.ListArray, tokens: pa.BinaryArray) -> pa.BinaryArray:
+    """The bytes of each list of ids. Taken tokens stand one after the other, so only the ends are new."""
+    taken = tokens.take(lists.flatten())
+    if taken.null_count:
+        raise ValueError("an id without a token")
+    ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+    places = np.array([0], "<i4")
+    if len(taken):
+        places = np.frombuffer(taken.buffers()[1], "<i4", len(taken) + 1, 4 * taken.offset)
+    content = taken.buffers()[2] or pa.py_buffer(b"")
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(places[ends].tobytes()), content])
+
+
 # ---- words in the tasks
 
 
@@ -128,13 +149,14 @@ class Words(dict):
     With a pattern, what is asked for is a stretch of words, and the pattern cuts it.
     """
 
-    def __init__(self, ranks: dict[bytes, int], frequent: dict[str, bytes], pattern: regex.Pattern | None = None):
+    def __init__(self, ranks: dict[bytes, int], frequent: dict[str, bytes], pattern: regex.Pattern | None = None, plain: re.Pattern | None = None):
         super().__init__(frequent)
-        self.ranks, self.frequent, self.pattern = ranks, frequent, pattern
+        self.ranks, self.frequent, self.pattern, self.plain = ranks, frequent, pattern, plain
         self.packed = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
 
     def __missing__(self, stretch: str) -> bytes:
-        words = self.pattern.findall(stretch) if self.pattern else [stretch]
+        whole = self.pattern is None or self.plain and self.plain.fullmatch(stretch)
+        words = [stretch] if whole else self.pattern.findall(stretch)
         # A word is remembered by itself too, as it comes with other marks around it.
         packed = self.word(stretch) if words == [stretch] else b"".join(map(self.__getitem__, words))
         if len(stretch) <= KEPT_BYTES:

@@ -132,7 +132,7 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.encoded(docs, path, public_tokenizers.PATTERN, coarse=byte_bpe.STRETCHES)
+    coded = byte_bpe.encoded(docs, path, public_tokenizers.PATTERN, coarse=byte_bpe.STRETCHES, plain=byte_bpe.LETTERS)
     back = byte_bpe.decoded(
         coded.select(
             "doc_id",

@@ -113,7 +113,7 @@ TIKTOKEN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable
 
 
 def checked(spark, docs, frequent, coarse=byte_bpe.STRETCHES):
-    coded = byte_bpe.encoded(docs, PATH, public_tokenizers.PATTERN, frequent=frequent, coarse=coarse)
+    coded = byte_bpe.encoded(docs, PATH, public_tokenizers.PATTERN, frequent=frequent, coarse=coarse, plain=byte_bpe.LETTERS)
     assert set(coded.columns) == {*docs.columns, "ids"}
     for r in coded.select("text", "ids").collect():
         assert r.ids == TIKTOKEN.encode_ordinary(r.text or "")
