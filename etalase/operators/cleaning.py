@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from etalase.functions.text import present, strip
+from etalase.sources.workspace import materialize
 
 WHOLE_NUMBERS = ["product_price", "stok", "jumlah_terjual", "min_pembelian", "berat_satuan"]
 TEXTS = [
@@ -23,14 +24,36 @@ def latest_rows(raw: DataFrame, key: str = "URL") -> DataFrame:
 
     One partial result per key and task is shuffled, however often it was
     captured. Rows without a key cannot be told apart, so all of them stay.
+    Rows that may be the newest are found first, from keys and times, and stored.
     """
     others = [c for c in raw.columns if c not in (key, "Update")]
     newest = F.max(F.struct("Update", *others)).alias("_newest")
-    keyed = raw.where(F.col(key).isNotNull()).groupBy(key).agg(newest)
+    recent = materialize(_without_old(raw.where(F.col(key).isNotNull()), key), "recent-rows")
+    keyed = recent.groupBy(key).agg(newest)
     keyed = keyed.select(key, "_newest.*").select(*raw.columns)
     return keyed.unionByName(raw.where(F.col(key).isNull()))
 
 
+# Hash places that old rows are told by; so many rows are broadcast at most.
+PLACES = 2**18
+
+
+def _without_old(rows: DataFrame, key: str) -> DataFrame:
+    """All rows but such as are older than the newest row of every key of their hash place.
+
+    Spark sorts whole rows before it takes the greatest of them; most need not get there.
+    The newest time per key is worked out of the two columns, without a sort.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES)).cast("int").alias("_place")
+    newest = rows.groupBy(key).agg(F.max("Update").alias("_time")).select(place, "_time")
+    # A key without any time leaves its place without a bound.
+    bound = F.when(F.count("_time") == F.count("*"), F.min("_time")).alias("_bound")
+    bounds = newest.groupBy("_place").agg(bound)
+    placed = rows.select("*", place).join(F.broadcast(bounds), "_place", "left")
+    recent = placed.where(F.col("_bound").isNull() | (F.col("Update") >= F.col("_bound")))
+    return recent.drop("_place", "_bound")
+
+
 def clean_products(raw: DataFrame) -> DataFrame:
     """Typed product columns; ``problems`` lists the columns that held no clear number.
 

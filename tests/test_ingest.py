@@ -41,6 +41,34 @@ def test_latest_row_per_address(spark):
     assert plan_text(latest).count("Exchange (") == 2  # named in the tree and in the list
 
 
+@pytest.mark.parametrize("places", [1, 3, 2**18])
+def test_old_rows_do_not_reach_the_sort(spark, monkeypatch, places):
+    monkeypatch.setattr(cleaning, "PLACES", places)
+    rows = [
+        {"URL": f"/{i}", "Update": day(1 + (i + j) % 28) if j % 5 else None, "Stok": f"{j % 3}", "Description": f"{j}"}
+        for i in range(40)
+        for j in range(28)
+    ]
+    rows += [{"URL": "/hot", "Update": day(1 + j % 28), "Stok": f"{j}"} for j in range(500)]
+    df = raw(spark, *rows, {"Stok": "no address"}, {"Update": day(1)})
+    known = df.where("URL is not null")
+    assert cleaning._without_old(known, "URL").count() < 0.2 * known.count()
+    wanted = {}
+    for row in rows:
+        order = (row["Update"] or datetime.datetime.min, row["Stok"], row.get("Description", ""))
+        wanted[row["URL"]] = max(wanted.get(row["URL"], order), order)
+    got = cleaning.latest_rows(df).collect()
+    assert sorted((r.URL, r.Update, r.Stok) for r in got if r.URL) == sorted((u, o[0], o[1]) for u, o in wanted.items())
+    assert sum(r.URL is None for r in got) == 2
+
+
+def test_addresses_without_any_time_stay(spark, monkeypatch):
+    monkeypatch.setattr(cleaning, "PLACES", 1)
+    rows = [{"URL": "/a", "Update": day(3)}, {"URL": "/a", "Update": day(1)}, {"URL": "/b", "Stok": "1"}]
+    got = cleaning.latest_rows(raw(spark, *rows)).collect()
+    assert sorted((r.URL, r.Update) for r in got) == [("/a", day(3)), ("/b", None)]
+
+
 def test_clean(spark):
     df = raw(
         spark,
