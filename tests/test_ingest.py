@@ -62,6 +62,15 @@ def test_old_rows_do_not_reach_the_sort(spark, monkeypatch, places):
     assert sum(r.URL is None for r in got) == 2
 
 
+def test_rough_rows_without_an_address_are_not_stored(spark):
+    from etalase.plans import views
+
+    rows = views.rough_rows(spark, "/root/testdata/sf0.001")
+    known = rows.where("URL is not null")
+    assert cleaning._without_old(known, "URL").count() < 0.5 * known.count()
+    assert cleaning.latest_rows(rows).where("URL is null").count() == rows.count() - known.count()
+
+
 def test_addresses_without_any_time_stay(spark, monkeypatch):
     monkeypatch.setattr(cleaning, "PLACES", 1)
     rows = [{"URL": "/a", "Update": day(3)}, {"URL": "/a", "Update": day(1)}, {"URL": "/b", "Stok": "1"}]
