@@ -220,6 +220,36 @@ def test_far_cells_are_skipped(spark):
     assert away.count() == 0
 
 
+def test_a_vector_is_sent_once_per_block_however_small_the_cells(spark):
+    from etalase.operators import neighbours
+
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(400, 8))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    cells = 60
+    homes = (vectors @ vectors[:cells].T).argmax(axis=1)
+    rows = np.bincount(homes, minlength=cells)
+    order = neighbours._chain(vectors[:cells])
+    first, parts = neighbours._layout(rows, order, 100)
+    assert sorted(order) == list(range(cells)) and max(rows[first == b].sum() for b in set(first)) <= 100
+    queries = spark.createDataFrame(
+        [(f"q{i}", v.tolist(), int(homes[i]), None) for i, v in enumerate(vectors)],
+        "query string, unit array<double>, cell int, worst double",
+    )
+    away = neighbours._other_cells(queries, vectors[:cells], np.full(cells, np.pi), (first, parts)).collect()
+    blocks = set(first.tolist())
+    assert len(away) == 400 and len(blocks) <= 8
+    for row in away:
+        assert set(row.blocks) == blocks - {int(first[homes[int(row.query[1:])]])}
+
+
+def test_large_cells_have_blocks_of_their_own():
+    from etalase.operators import neighbours
+
+    first, parts = neighbours._layout(np.array([5, 250, 0, 30, 80]), [0, 1, 2, 3, 4], 100)
+    assert first.tolist() == [0, 1, 4, 4, 5] and parts.tolist() == [1, 3, 1, 1, 1]
+
+
 def test_similar_all_refuses_repeated_ids(spark):
     features = spark.createDataFrame([("a", [1.0]), ("a", [2.0])], FEATURES)
     with pytest.raises(ValueError, match="repeated product_id: a"):
