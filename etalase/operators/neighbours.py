@@ -274,7 +274,7 @@ def _may_hold(units: np.ndarray, worst: np.ndarray, centres: np.ndarray, radii:
 
 
 def _doubles(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype("float64") if isinstance(column, pa.Array) else column.to_numpy().astype("float64")
+    return column.to_numpy(zero_copy_only=False).astype("float64")
 
 
 def _other_cells(

@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -243,6 +245,56 @@ def test_a_vector_is_sent_once_per_block_however_small_the_cells(spark):
         assert set(row.blocks) == blocks - {int(first[homes[int(row.query[1:])]])}
 
 
+@pytest.mark.parametrize(("tile", "block_rows"), [(2048, 2048), (7, 5), (16, 300)])
+def test_a_pair_of_blocks_equals_brute_force(monkeypatch, tile, block_rows):
+    from etalase.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "TILE_ROWS", tile)
+    rng = np.random.default_rng(5)
+    unit = rng.integers(-2, 3, size=(120, 4)).astype(float)  # few directions, so many ties
+    unit = unit[np.linalg.norm(unit, axis=1) > 0]
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    pivots = unit[:6]
+    cell = (unit @ pivots.T).argmax(axis=1)
+    radii = np.array([np.arccos(np.clip((unit @ pivots.T)[cell == c, c], -1, 1)).max() for c in range(6)])
+    names = [f"p{i:03d}" for i in range(len(unit))]
+    rating = [None if i % 7 == 0 else float(i % 3) for i in range(len(unit))]
+    held = pa.table({"product_id": names, "unit": unit.tolist(), "rating": rating, "sold": [float(i % 2) for i in range(len(unit))], "cell": pa.array(cell, pa.int32())})
+    cosines = (unit @ unit.T).astype("float32")
+    worst = [None if i % 3 == 0 else float(np.sort(cosines[i])[-4]) for i in range(len(unit))]
+    asked = pa.table({"query": names, "unit": unit.tolist(), "worst": pa.array(worst, pa.float32())})
+    got = {}
+    for row in neighbours._block_best(asked, held, 4, block_rows, pivots, radii).to_pylist():
+        got.setdefault(row["query"], []).append((round(row["c"], 5), row["product_id"]))
+    for i, name in enumerate(names):
+        order = sorted(range(len(unit)), key=lambda j: (-round(float(cosines[i, j]), 5), rating[j] is None, -(rating[j] or 0), -(j % 2), j))
+        least = -2 if worst[i] is None else worst[i]
+        wanted = [round(float(cosines[i, j]), 5) for j in order[:4] if cosines[i, j] >= least - 1e-6]
+        assert sorted((c for c, _ in got[name]), reverse=True) == pytest.approx(wanted, abs=2e-5)
+
+
+def test_a_pair_of_full_blocks_needs_little_memory():
+    import tracemalloc
+
+    from etalase.operators import neighbours
+
+    rng = np.random.default_rng(6)
+    rows = neighbours.SENT_NUMBERS // 64
+    unit = rng.normal(size=(rows, 64))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(unit.ravel()), 64).cast(pa.list_(pa.float64()))
+    names = pa.array([str(i) for i in range(rows)])
+    zeros = pa.array(np.zeros(rows))
+    held = pa.table({"product_id": names, "unit": vectors, "rating": zeros, "sold": zeros, "cell": pa.array(np.zeros(rows, "int32"))})
+    asked = pa.table({"query": names, "unit": vectors, "worst": pa.nulls(rows, pa.float32())}).slice(0, rows // 8)
+    tracemalloc.start()
+    found = neighbours._block_best(asked, held, 11, neighbours.BLOCK_ROWS, unit[:1], np.array([np.pi]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 11 * (rows // 8) and peak < 200e6
+    assert pc.max(found["c"]).as_py() == pytest.approx(1.0)
+
+
 def test_large_cells_have_blocks_of_their_own():
     from etalase.operators import neighbours
 
