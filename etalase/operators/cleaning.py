@@ -34,8 +34,11 @@ def latest_rows(raw: DataFrame, key: str = "URL") -> DataFrame:
     return keyed.unionByName(raw.where(F.col(key).isNull()))
 
 
-# Hash places that old rows are told by; so many rows are broadcast at most.
-PLACES = 2**18
+# Hash places that old rows are told by; so many bounds are broadcast at most (some 60 MB).
+# With several keys to a place the least of their times tells fewer rows, so places are many.
+PLACES = 2**22
+# Places of a block: a block is one row of the broadcast, which takes less room than a row per place.
+BLOCK_PLACES = 64
 
 
 def _without_old(rows: DataFrame, key: str) -> DataFrame:
@@ -44,14 +47,18 @@ def _without_old(rows: DataFrame, key: str) -> DataFrame:
     Spark sorts whole rows before it takes the greatest of them; most need not get there.
     The newest time per key is worked out of the two columns, without a sort.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(PLACES)).cast("int").alias("_place")
-    newest = rows.groupBy(key).agg(F.max("Update").alias("_time")).select(place, "_time")
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES)).cast("int")
+    places = [F.floor(place / BLOCK_PLACES).cast("int").alias("_block"), (place % BLOCK_PLACES).alias("_slot")]
+    newest = rows.groupBy(key).agg(F.max("Update").alias("_time")).select(*places, "_time")
     # A key without any time leaves its place without a bound.
     bound = F.when(F.count("_time") == F.count("*"), F.min("_time")).alias("_bound")
-    bounds = newest.groupBy("_place").agg(bound)
-    placed = rows.select("*", place).join(F.broadcast(bounds), "_place", "left")
-    recent = placed.where(F.col("_bound").isNull() | (F.col("Update") >= F.col("_bound")))
-    return recent.drop("_place", "_bound")
+    bounds = newest.repartition("_block").groupBy("_block", "_slot").agg(bound).where("_bound is not null")
+    by_slot = F.map_from_entries(F.collect_list(F.struct("_slot", "_bound"))).alias("_bounds")
+    blocks = bounds.groupBy("_block").agg(by_slot)
+    placed = rows.select("*", *places).join(F.broadcast(blocks), "_block", "left")
+    oldest = F.element_at("_bounds", F.col("_slot"))
+    recent = placed.where(oldest.isNull() | (F.col("Update") >= oldest))
+    return recent.drop("_block", "_slot", "_bounds")
 
 
 def clean_products(raw: DataFrame) -> DataFrame:

@@ -71,6 +71,20 @@ def test_rough_rows_without_an_address_are_not_stored(spark):
     assert cleaning.latest_rows(rows).where("URL is null").count() == rows.count() - known.count()
 
 
+def test_stored_rows_grow_with_the_addresses(spark):
+    n = 2**18
+    captures = spark.range(4 * n).select(
+        F.concat(F.lit("/"), (F.col("id") % n).cast("string")).alias("URL"),
+        F.timestamp_seconds(F.pmod(F.xxhash64("id"), F.lit(10**9))).alias("Update"),
+    )
+    kept = cleaning._without_old(captures, "URL")
+    times = kept.groupBy("URL").agg(F.max("Update").alias("Update"), F.count("*").alias("rows"))
+    newest = captures.groupBy("URL").agg(F.max("Update").alias("Update"))
+    found = times.join(newest, ["URL", "Update"]).agg(F.count("*").alias("keys"), F.sum("rows").alias("rows")).first()
+    assert found["keys"] == n
+    assert found["rows"] < 1.1 * n
+
+
 def test_addresses_without_any_time_stay(spark, monkeypatch):
     monkeypatch.setattr(cleaning, "PLACES", 1)
     rows = [{"URL": "/a", "Update": day(3)}, {"URL": "/a", "Update": day(1)}, {"URL": "/b", "Stok": "1"}]
