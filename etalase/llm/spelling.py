@@ -78,7 +78,7 @@ def grouped(counts: DataFrame) -> DataFrame:
     # A word has at most as many near words as edits, so this group is bounded by its length.
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
     linked = pairs.unionByName(flipped).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    chosen = clean.join(linked, "word", "left").select(
+    chosen = clean.join(_by_merge(linked), "word", "left").select(
         "word",
         "n",
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
@@ -86,7 +86,7 @@ def grouped(counts: DataFrame) -> DataFrame:
     )
     chosen = stored(chosen.select("word", "to.form", "n", "n_near", "to.form_n"), "forms")
     roots = _roots(chosen.where("form is not null").select("word", F.col("form").alias("root")))
-    found = chosen.join(roots, "word", "left")
+    found = chosen.join(_by_merge(roots), "word", "left")
     return found.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", F.col("form_n").cast("long").alias("form_n"))
 
 
@@ -95,11 +95,20 @@ def variants(docs: DataFrame, every: int | None = None) -> DataFrame:
     return grouped(words(docs, every))
 
 
+def _by_merge(side: DataFrame) -> DataFrame:
+    """``side`` is never sent whole to the driver and every task.
+
+    Spark sizes it by the stored words it comes from, a few MB. Their keys take some twenty rows a
+    word, and all sides here grow with the words.
+    """
+    return side.hint("merge")
+
+
 def _roots(steps: DataFrame) -> DataFrame:
     """Follow every chain to its end; each round doubles the distance covered."""
     for _ in range(DOUBLINGS):
         onward = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = steps.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
+        moved = steps.join(_by_merge(onward), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved"))
         moved = stored(moved, "roots")
         steps = moved.drop("moved")
         if not moved.where("moved").limit(1).collect():
@@ -132,7 +141,7 @@ def near(counts: DataFrame) -> DataFrame:
 
     asked = keys(lookups)
     held = keys(entries).withColumnsRenamed({"word": "near", "n": "near_n", "last": "near_last"})
-    met = asked.join(held, "key").where((F.col("last") <= F.col("near_last")) & (F.col("word") != F.col("near")))
+    met = asked.join(_by_merge(held), "key").where((F.col("last") <= F.col("near_last")) & (F.col("word") != F.col("near")))
     met = met.where(F.levenshtein("word", "near", 1) == 1)
     # Either direction may find a pair, by several keys.
     first = F.col("word") < F.col("near")
